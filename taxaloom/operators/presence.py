@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from taxaloom import model
 from taxaloom.functions import text
-from taxaloom.functions.sizing import broadcast_if_small
 from taxaloom.operators.numbering import BAND_WIDTH, number_within
 
 RANKS = ("otu", "genus", "species")
@@ -26,7 +25,7 @@ def taxon_of(rank: str) -> Column:
 
 def labelled(cells: DataFrame, columns: DataFrame) -> DataFrame:
     """Cells with the name and attributes of their sample column."""
-    return cells.join(broadcast_if_small(columns), ["marker", "sample_pos"], "left")
+    return cells.join(columns, ["marker", "sample_pos"], "left")
 
 
 def assigned(
