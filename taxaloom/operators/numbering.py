@@ -26,10 +26,13 @@ def number_within(
     The ordinal is unique in a group, so one task never sorts more than ``width`` rows of a group.
     The counts come from a pre-aggregation. Those summed up in one window are one row per band, or
     one per distinct value of ``descending``: for counts of total T at most sqrt(2 T) rows.
-    Keys must not be NULL.
+    Only bands with rows ahead of them are joined back. Keys must not be NULL.
     """
     values = [descending] if descending else []
-    banded = df.withColumn("_band", F.floor(F.col(ordinal) / F.lit(width)))
+    # The band is declared non-null, so no filter on it is pushed into one branch only and Spark
+    # computes df once for both.
+    band = F.coalesce(F.floor(F.col(ordinal) / F.lit(width)), F.lit(0))
+    banded = df.withColumn("_band", band)
     counts = banded.groupBy(*keys, *values, "_band").agg(F.count("*").alias("_n"))
     ahead = (W.unboundedPreceding, -1)
     by_band = W.partitionBy(*keys, *values).orderBy("_band").rowsBetween(*ahead)
@@ -46,10 +49,10 @@ def number_within(
         shifts = shifts.join(larger, [*keys, descending]).withColumn(
             "_shift", F.col("_shift") + F.col("_larger")
         )
+    shifts = shifts.select(*keys, *values, "_band", "_shift").filter("_shift > 0")
     inside = W.partitionBy(*keys, *values, "_band").orderBy(ordinal)
-    shifts = shifts.select(*keys, *values, "_band", "_shift")
+    number = F.row_number().over(inside) + F.coalesce("_shift", F.lit(0))
     return (
-        banded.join(shifts, [*keys, *values, "_band"])
-        .withColumn(name, F.row_number().over(inside) + F.col("_shift"))
-        .drop("_band", "_shift")
+        banded.join(shifts, [*keys, *values, "_band"], "left")
+        .select(*df.columns, number.alias(name))
     )
