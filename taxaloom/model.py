@@ -3,7 +3,7 @@
 Frames passed between modules:
 
     cells     marker, otu, otu_pos, sample_pos, reads            one row per sheet cell
-    otus      otu, otu_pos, header                               one row per OTU
+    otus      [marker,] otu, otu_pos, header                     one row per OTU (and marker)
     names     marker, sample_pos, sample                         sample columns of each sheet
     samples   pos, site, diseased, sample, dataset, status, is_control
     columns   names with the attributes of samples               one row per sheet column

@@ -36,12 +36,25 @@ def assigned(
     return labelled(cells.filter(F.col("reads") >= min_reads), columns).filter(known)
 
 
+def otu_key(otus: DataFrame) -> list[str]:
+    """The columns that name an OTU: with the marker where each sheet has its own list."""
+    return [c for c in ("marker", "otu") if c in otus.columns]
+
+
+def with_header(cells: DataFrame, otus: DataFrame) -> DataFrame:
+    """Cells with the header of their OTU, if they do not carry it already."""
+    if "header" in cells.columns:
+        return cells
+    key = otu_key(otus)
+    return cells.join(otus.select(*key, "header"), key, "left")
+
+
 def with_taxon(cells: DataFrame, rank: str, otus: DataFrame | None = None) -> DataFrame:
     """Adds taxon. Cells without a header take it from otus, reduced to the taxon before the join."""
     if rank == "otu" or "header" in cells.columns:
         return cells.withColumn("taxon", taxon_of(rank))
-    taxa = otus.select("otu", taxon_of(rank).alias("taxon"))
-    return cells.join(taxa, "otu", "left")
+    key = otu_key(otus)
+    return cells.join(otus.select(*key, taxon_of(rank).alias("taxon")), key, "left")
 
 
 def presence(cells: DataFrame) -> DataFrame:

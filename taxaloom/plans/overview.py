@@ -29,6 +29,5 @@ def overview_by_otu(study: Study, marker: str = "ITS1") -> DataFrame:
     cells = study.cells.filter(study.cells["marker"] == marker)
     present = presence.with_taxon(presence.assigned(cells, study.columns), "otu")
     counted = prevalence(present, study.totals)
-    return counted.withColumnRenamed("taxon", "otu").join(
-        study.otus.select("otu", "header"), "otu", "left"
-    )
+    named = presence.with_header(counted.withColumnRenamed("taxon", "otu"), study.otus)
+    return named.select(*["otu" if c == "taxon" else c for c in counted.columns], "header")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from taxaloom import model
 from taxaloom.functions import numbers, text
-from taxaloom.operators import genera, ordination
+from taxaloom.operators import genera, ordination, presence
 from taxaloom.plans.prepare import Study
 
 
@@ -49,9 +49,10 @@ def selected_otus(study: Study, exclude: bool = False) -> DataFrame:
 
 def pca_selected(study: Study, k: int | None = None, exclude: bool = False) -> Pca:
     """PCA of every panel over the OTUs of selected genera."""
-    kept = selected_otus(study, exclude).select("otu")
+    key = presence.otu_key(study.otus)
+    kept = selected_otus(study, exclude).select(*key)
     panel = study.panel
-    return Pca(ordination.ordinate(study.cells.join(kept, "otu", "left_semi"), panel, k), panel)
+    return Pca(ordination.ordinate(study.cells.join(kept, key, "left_semi"), panel, k), panel)
 
 
 def _axis(axes: dict[int, tuple[int, int]], which: int) -> Column:

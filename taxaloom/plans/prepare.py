@@ -45,8 +45,6 @@ class Study:
 def long_table(study: Study, min_reads: int = model.MIN_READS_OVERVIEW) -> DataFrame:
     """Cells of assigned samples with enough reads, with header and sample attributes."""
     cells = presence.assigned(study.cells, study.columns, min_reads)
-    if "header" not in cells.columns:
-        cells = cells.join(study.otus.select("otu", "header"), "otu", "left")
-    return cells.select(
+    return presence.with_header(cells, study.otus).select(
         "marker", "otu", "otu_pos", "header", "sample", "reads", "diseased", "dataset", "status"
     )

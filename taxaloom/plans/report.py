@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from taxaloom import model
 from taxaloom.functions import text
-from taxaloom.operators import ranking
+from taxaloom.operators import presence, ranking
 from taxaloom.plans.prepare import Study
 
 # Blocks of a sample's section, in the order they are written.
@@ -50,9 +50,7 @@ def report_lines(study: Study) -> DataFrame:
         F.lit(None).cast("long").alias("otu_pos"),
         "line.text",
     )
-    shown = ranking.hit_cells(study.cells)
-    if "header" not in shown.columns:
-        shown = shown.join(study.otus.select("otu", "header"), "otu", "left")
+    shown = presence.with_header(ranking.hit_cells(study.cells), study.otus)
     fields = [F.col("otu"), F.substring("header", 1, model.REPORT_INFO_WIDTH), F.col("reads")]
     rows = shown.select(
         "marker",

@@ -11,8 +11,12 @@ from taxaloom.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(cores=8, memory="6g", **{"spark.app.name": "taxaloom-tests"})
+def spark(tmp_path_factory):
+    settings = {
+        "spark.app.name": "taxaloom-tests",
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+    }
+    session = local_session(cores=8, memory="6g", **settings)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

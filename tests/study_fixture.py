@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from taxaloom.operators import cohort, naming
 from taxaloom.plans.prepare import Study
 
@@ -40,7 +42,8 @@ CELLS = [
 GENERA = [("Millepora", "millepora"), ("Alternaria", "fungus"), ("Rare", None)]
 
 
-def make_study(spark, cells=CELLS) -> Study:
+@lru_cache(maxsize=32)
+def make_study(spark, cells=tuple(CELLS)) -> Study:
     sheet = spark.createDataFrame(SHEET, "pos long, site string, diseased string, sample string")
     headers = spark.createDataFrame(
         [("ITS2", i, n) for i, n in enumerate(OWN, start=1)],
@@ -48,7 +51,7 @@ def make_study(spark, cells=CELLS) -> Study:
     )
     return Study(
         cells=spark.createDataFrame(
-            cells, "marker string, otu long, otu_pos long, sample_pos int, reads long"
+            list(cells), "marker string, otu long, otu_pos long, sample_pos int, reads long"
         ),
         otus=spark.createDataFrame(OTUS, "otu long, otu_pos long, header string"),
         names=naming.names_by_position(sheet, "ITS1").unionByName(naming.own_names(headers)),

@@ -81,10 +81,10 @@ def test_widen_and_melt_are_inverse_up_to_zeros(spark):
     assert rows(long.filter("reads > 0"), *columns) == rows(cells, *columns)
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.permutations(CELLS))
 def test_input_order_and_partitions_do_not_matter(spark, shuffled):
-    study, moved = make_study(spark), make_study(spark, shuffled)
+    study, moved = make_study(spark), make_study(spark, tuple(shuffled))
     assert rows(overview.overview_by_taxon(study, "genus")) == rows(overview.overview_by_taxon(moved, "genus"))
     taxa = [presence.with_taxon(presence.assigned(s.cells, s.columns), "genus", s.otus) for s in (study, moved)]
     assert rows(presence.occurrences(taxa[0])) == rows(presence.occurrences(taxa[1]))
