@@ -57,13 +57,15 @@ def with_taxon(cells: DataFrame, rank: str, otus: DataFrame | None = None) -> Da
     return cells.join(otus.select(*key, taxon_of(rank).alias("taxon")), key, "left")
 
 
-def presence(cells: DataFrame) -> DataFrame:
+def presence(cells: DataFrame, columns: DataFrame) -> DataFrame:
     """One row per sample and taxon, from assigned cells with a taxon.
 
     Partial aggregation removes repeats before the shuffle, so a taxon that holds most of the rows
-    still sends one row per sample and task.
+    still sends one row per sample and task. The shuffle carries the sample as its column number;
+    name and attributes are added to the distinct rows.
     """
-    return cells.select("marker", "sample", "dataset", "status", "taxon").distinct()
+    distinct = cells.select("marker", "sample_pos", "taxon").distinct()
+    return labelled(distinct, columns).select("marker", "sample", "dataset", "status", "taxon")
 
 
 def occurrences(cells: DataFrame, width: int = BAND_WIDTH) -> DataFrame:
@@ -82,9 +84,9 @@ def occurrences(cells: DataFrame, width: int = BAND_WIDTH) -> DataFrame:
 
 def first_occurrences(cells: DataFrame) -> DataFrame:
     """The first OTU of each sample and taxon: occurrence 1, without numbering the rest."""
-    first = F.min_by(F.struct("otu", "otu_pos", "reads"), "otu_pos").alias("first")
-    return (
-        cells.groupBy("marker", "sample", "dataset", "status", "taxon")
-        .agg(first)
-        .select("marker", "sample", "dataset", "status", "taxon", "first.*")
+    # One plain column each, since a struct in the buffer would turn hashing into sorting.
+    return cells.groupBy("marker", "sample", "dataset", "status", "taxon").agg(
+        F.min_by("otu", "otu_pos").alias("otu"),
+        F.min("otu_pos").alias("otu_pos"),
+        F.min_by("reads", "otu_pos").alias("reads"),
     )

@@ -12,7 +12,7 @@ from taxaloom.plans.prepare import Study
 def presence_by(study: Study, rank: str) -> DataFrame:
     """One row per sample and taxon of the given rank."""
     cells = presence.assigned(study.cells, study.columns)
-    return presence.presence(presence.with_taxon(cells, rank, study.otus))
+    return presence.presence(presence.with_taxon(cells, rank, study.otus), study.columns)
 
 
 def overview_by_taxon(study: Study, rank: str) -> DataFrame:

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+from dataclasses import replace
+
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -90,6 +93,31 @@ def test_input_order_and_partitions_do_not_matter(spark, shuffled):
     assert rows(presence.occurrences(taxa[0])) == rows(presence.occurrences(taxa[1]))
 
 
+def test_repeated_names_are_refused(spark):
+    study = make_study(spark)
+    sheet_twice = replace(study, samples=study.samples.union(study.samples.filter("pos = 1")))
+    with pytest.raises(ValueError, match="samples in the sample sheet"):
+        sheet_twice.columns
+    same_name = study.names.withColumn(
+        "sample", F.when(F.col("sample_pos") == 2, "s1.h").otherwise(F.col("sample"))
+    )
+    with pytest.raises(ValueError, match="sample columns"):
+        replace(study, names=same_name).columns
+    study.check_otus()
+    with pytest.raises(ValueError, match="OTUs"):
+        replace(study, otus=study.otus.union(study.otus)).check_otus()
+
+
+def test_release_drops_the_cached_frames(spark):
+    study = replace(make_study(spark))
+    used = study.panel, study.totals
+    cached = study._columns, study._panel, study.totals
+    assert all("InMemory" in f._jdf.queryExecution().withCachedData().toString() for f in (*used, *cached))
+    study.release()
+    assert not any("InMemory" in f.select("*")._jdf.queryExecution().withCachedData().toString() for f in cached)
+    assert study.panel.count() == 8
+
+
 def test_rates_stay_in_bounds(spark):
     table = overview.overview_by_taxon(make_study(spark), "genus")
     wrong = (
