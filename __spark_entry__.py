@@ -17,9 +17,11 @@ from taxaloom import model  # noqa: E402
 from taxaloom.operators import cohort, naming, ordination, presence, ranking, reshape  # noqa: E402
 from taxaloom.plans import overview, pca, prepare, report  # noqa: E402
 from taxaloom.session import shared_folder  # noqa: E402
+from taxaloom.sinks.landing import land  # noqa: E402
 from taxaloom.sinks.report import write_report  # noqa: E402
 from taxaloom.sinks.tables import write_overviews  # noqa: E402
 from taxaloom.sources import testtables  # noqa: E402
+from taxaloom.sources.landed import study_from_tables  # noqa: E402
 from taxaloom.sources.ordinals import with_row_number  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -136,6 +138,23 @@ def sheets_selected_otus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pca.selected_otus(_from_files(spark, sf_dir))
 
 
+def _from_tables(spark: SparkSession, sf_dir: str) -> prepare.Study:
+    path = shared_folder(spark, "landed")
+    prefix = path.rsplit("/", 1)[-1].replace("-", "_")
+    land(study(spark, sf_dir), prefix, path, buckets=8)
+    return study_from_tables(spark, prefix)
+
+
+def landed_prevalence_genus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The genus overview from the study written as tables."""
+    return overview.overview_by_taxon(_from_tables(spark, sf_dir), "genus")
+
+
+def landed_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dot products of samples from the study written as tables."""
+    return _gram(_from_tables(spark, sf_dir))
+
+
 def panel_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study(spark, sf_dir).panel.select(
         "panel", "marker", "dataset", "sample_pos", "sample_idx", "sample"
@@ -150,12 +169,15 @@ def genus_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pca.selected_otus(study(spark, sf_dir), exclude=True)
 
 
-def sample_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    here = study(spark, sf_dir)
+def _gram(here: prepare.Study) -> DataFrame:
     sizes = ordination.panel_sizes(here.panel)
     return ordination.gram(ordination.panel_cells(here.cells, here.panel), here.panel, sizes)
 
 
+def sample_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gram(study(spark, sf_dir))
+
+
 def pca_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squared singular values of all components add up to the squared reads."""
     variances = pca.pca_all(study(spark, sf_dir)).variances
@@ -248,6 +270,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "report_files": report_files,
         "sheets_long": sheets_long,
         "sheets_selected_otus": sheets_selected_otus,
+        "landed_prevalence_genus": landed_prevalence_genus,
+        "landed_gram": landed_gram,
         "panel_samples": panel_samples,
         "genus_include": genus_include,
         "genus_exclude": genus_exclude,

@@ -398,3 +398,5 @@ SQL = {
     "panel_captions": _with(_ALL, _captions("a", PC3_ON_PANEL_3)),
     "panel_captions_selected": _with(_SELECTED, _captions("s", "2")),
 }
+SQL["landed_prevalence_genus"] = SQL["prevalence_genus"]
+SQL["landed_gram"] = SQL["sample_gram"]

@@ -38,10 +38,12 @@ def panel_sizes(panel: DataFrame) -> dict[int, int]:
 
 
 def panel_cells(cells: DataFrame, panel: DataFrame) -> DataFrame:
-    """Cells of the panels: panel, otu_pos, sample_idx, reads. Blank cells count as 0."""
+    """Non-zero cells of the panels: panel, otu_pos, sample_idx, reads. Blank cells count as 0."""
     placed = panel.select("marker", "sample_pos", "panel", "sample_idx")
-    return cells.join(placed, ["marker", "sample_pos"]).select(
-        "panel", "otu_pos", "sample_idx", F.coalesce("reads", F.lit(0)).alias("reads")
+    return (
+        cells.filter("reads <> 0")
+        .join(placed, ["marker", "sample_pos"])
+        .select("panel", "otu_pos", "sample_idx", "reads")
     )
 
 
@@ -123,7 +125,7 @@ def decompose_iteratively(
     Rows of the matrix are OTUs, so the samples x k result is the right side of the decomposition.
     MLlib drops components that vanish next to the first; they are given back as zeros.
     """
-    entries = cells.filter((F.col("panel") == panel_number) & (F.col("reads") != 0)).select(
+    entries = cells.filter(F.col("panel") == panel_number).select(
         F.col("otu_pos").alias("i"),
         F.col("sample_idx").cast("long").alias("j"),
         F.col("reads").cast("double").alias("value"),

@@ -30,15 +30,14 @@ def widen(cells: DataFrame, ids: Sequence[str], positions: Sequence[int]) -> Dat
 
 
 def sparse_rows(cells: DataFrame) -> DataFrame:
-    """One row per panel and OTU: the sample_idx and reads of its non-zero cells.
+    """One row per panel and OTU: the sample_idx and reads of its cells.
 
     A row holds at most one entry per sample of the panel. It is keyed by the OTU's row in the sheet,
     so a repeated id stays two rows.
     """
     entry = F.struct("sample_idx", "reads")
     return (
-        cells.filter("reads <> 0")
-        .groupBy("panel", "otu_pos")
+        cells.groupBy("panel", "otu_pos")
         .agg(F.collect_list(entry).alias("entries"))
         .select(
             "panel",
