@@ -161,6 +161,17 @@ def panel_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def overview_tables_otu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The OTU overview written as one folder per table, read back."""
+    path = shared_folder(spark, "overview")
+    write_overviews(prevalence_otu(spark, sf_dir), path, "otu", model.OTU_TABLE_NAMES)
+    return spark.read.parquet(path).drop("marker", "dataset")
+
+
+def panel_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pca.panel_matrix(study(spark, sf_dir))
+
+
 def genus_include(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pca.selected_otus(study(spark, sf_dir))
 
@@ -264,6 +275,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "prevalence_species": _prevalence("species"),
         "prevalence_otu": prevalence_otu,
         "overview_tables": overview_tables,
+        "overview_tables_otu": overview_tables_otu,
         "sample_hits": sample_hits,
         "sample_ranked": sample_ranked,
         "sample_report_lines": sample_report_lines,
@@ -273,6 +285,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "landed_prevalence_genus": landed_prevalence_genus,
         "landed_gram": landed_gram,
         "panel_samples": panel_samples,
+        "panel_matrix": panel_matrix,
         "genus_include": genus_include,
         "genus_exclude": genus_exclude,
         "sample_gram": sample_gram,

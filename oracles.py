@@ -315,6 +315,12 @@ SQL = {
     "overview_tables": _with(
         CELLS + TOTALS, f"SELECT * EXCLUDE (marker, dataset), {OVERVIEW_TABLE} FROM ({_prevalence('species')})"
     ),
+    "overview_tables_otu": _with(
+        CELLS + TOTALS,
+        f"""
+    SELECT p.* EXCLUDE (taxon, marker, dataset), p.taxon AS otu, header, dataset AS "table"
+    FROM ({_prevalence("otu", "WHERE marker = 'ITS1'")}) p JOIN otus ON p.taxon = otus.otu""",
+    ),
     "sample_hits": _with(CELLS + REPORT, "SELECT * FROM hits"),
     "sample_ranked": _with(
         CELLS,
@@ -352,6 +358,12 @@ SQL = {
     "panel_samples": _with(
         SHEETS + PANEL, "SELECT panel, marker, dataset, sample_pos, sample_idx, sample FROM panel"
     ),
+    "panel_matrix": _with(
+        CELLS + PANEL,
+        """
+    SELECT panel, sample, 'OTU_' || otu AS label, reads
+    FROM cells JOIN panel USING (marker, sample_pos) WHERE reads <> 0""",
+    ),
     "genus_include": _with(
         CELLS,
         """

@@ -38,6 +38,8 @@ TABLE_NAMES = {
     ("ITS1", "extra"): "ITS1_extra",
     ("ITS2", "extra"): "ITS2_extra",
 }
+OTU_TABLE_NAMES = {("ITS1", "original"): "original", ("ITS1", "extra"): "extra"}
+OTU_LABEL = "OTU_"
 REPORT_HEADING = "### "
 REPORT_NO_HITS = "no hits!"
 REPORT_COLUMNS = "OTU | Info | Abundance"

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg.distributed import CoordinateMatrix
 from pyspark.sql import DataFrame
@@ -135,15 +136,22 @@ def decompose_iteratively(
     d, scores = np.zeros(k), np.zeros((n_samples, k))
     if bounds[0] is not None:
         # The JVM class reads the frame itself; the Python class would need an RDD of Python rows.
+        spark = cells.sparkSession
         matrix = CoordinateMatrix(
             callMLlibFunc("createCoordinateMatrix", entries, int(bounds[0]) + 1, n_samples)
-        )
-        svd = matrix.toIndexedRowMatrix().computeSVD(k)
+        ).toIndexedRowMatrix()
+        # Every iteration reads all rows, so they are kept in the form they are multiplied in.
+        rows = matrix._java_matrix_wrapper._java_model.rows()
+        rows.persist(spark.sparkContext._getJavaStorageLevel(StorageLevel.MEMORY_AND_DISK))
+        try:
+            svd = matrix.computeSVD(k)
+        finally:
+            rows.unpersist(False)
         found = svd.s.toArray()
         d[: len(found)] = found
         scores[:, : len(found)] = signed_scores(found, svd.V.toArray())
-    rows = score_rows(panel_number, d, scores, float(bounds[1] or 0.0))
-    return cells.sparkSession.createDataFrame(rows, SCORES)
+    result = score_rows(panel_number, d, scores, float(bounds[1] or 0.0))
+    return cells.sparkSession.createDataFrame(result, SCORES)
 
 
 def ordinate(

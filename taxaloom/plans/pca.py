@@ -20,6 +20,10 @@ class Pca:
     scores: DataFrame
     panel: DataFrame
 
+    def cached(self) -> Pca:
+        """The same PCA, computed once for several results. One row is kept per sample and component."""
+        return Pca(self.scores.persist(), self.panel)
+
     @property
     def variances(self) -> DataFrame:
         """Shares of the components with the marker and dataset of their panel."""
@@ -35,6 +39,17 @@ class Pca:
         return self.scores.join(named, ["panel", "sample_idx"])
 
 
+def panel_matrix(study: Study) -> DataFrame:
+    """The matrix of every panel as its non-zero entries: panel, sample, label, reads."""
+    placed = study.panel.select("marker", "sample_pos", "panel", "sample")
+    label = F.concat(F.lit(model.OTU_LABEL), F.col("otu").cast("string")).alias("label")
+    return (
+        study.cells.filter("reads <> 0")
+        .join(placed, ["marker", "sample_pos"])
+        .select("panel", "sample", label, "reads")
+    )
+
+
 def pca_all(study: Study, k: int | None = None) -> Pca:
     """PCA of every panel over all OTUs."""
     panel = study.panel

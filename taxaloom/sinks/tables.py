@@ -8,23 +8,33 @@ from pyspark.sql import functions as F
 from taxaloom import model
 
 
-def table_name() -> Column:
+Names = dict[tuple[str, str], str]
+
+
+def table_name(names: Names) -> Column:
     """The name of the overview table a row belongs to."""
     name = F.lit(None).cast("string")
-    for (marker, dataset), text in model.TABLE_NAMES.items():
+    for (marker, dataset), text in names.items():
         here = (F.col("marker") == marker) & (F.col("dataset") == dataset)
         name = F.when(here, text).otherwise(name)
     return name
 
 
-def write_overviews(overview: DataFrame, path: str, key: str = "taxon", fmt: str = "parquet") -> None:
+def write_overviews(
+    overview: DataFrame,
+    path: str,
+    key: str = "taxon",
+    names: Names = model.TABLE_NAMES,
+    fmt: str = "parquet",
+) -> None:
     """Replaces path by one folder per overview table, each sorted by taxon with NULL last.
 
-    Sorting is by range over table and taxon, so the largest table is spread over many files.
+    ``names`` names the table of each marker and dataset. Sorting is by range over table and taxon, so
+    the largest table is spread over many files.
     """
     order = ["table", F.asc_nulls_last(key)]
     writer = (
-        overview.withColumn("table", table_name())
+        overview.withColumn("table", table_name(names))
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .write.mode("overwrite")
