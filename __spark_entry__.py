@@ -119,7 +119,7 @@ def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "report")
     write_report(sample_report_lines(spark, sf_dir), path)
     lines = spark.read.text(path).withColumnRenamed("value", "text")
-    return with_row_number(lines, "line", per=["marker"])
+    return with_row_number(lines, "line", "text", per=["marker"])
 
 
 def _from_files(spark: SparkSession, sf_dir: str) -> prepare.Study:

@@ -9,34 +9,45 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from taxaloom.functions.sizing import broadcast_if_small
+from taxaloom.session import shared_folder
 
-SPLIT = ["_path", "_start"]
+PIECE = ["_path", "_start"]
 
 
-def with_row_number(scan: DataFrame, name: str, per: Sequence[str] = ()) -> DataFrame:
+def _placed(scan: DataFrame, fmt: str) -> DataFrame:
+    """The rows with the piece of input they come from and a number that rises within it.
+
+    Parquet knows the place of a row in its file. Text does not: its rows are known by split and order
+    of reading, and how Spark splits files depends on the executors it has at the time. So text is
+    written once with its places, and everything after reads that table.
+    """
+    path = F.col("_metadata.file_path").alias("_path")
+    if fmt == "parquet":
+        row = F.col("_metadata.row_index").alias("_id")
+        return scan.select("*", path, F.lit(0).cast("long").alias("_start"), row)
+    start = F.col("_metadata.file_block_start").alias("_start")
+    folder = shared_folder(scan.sparkSession, "rows")
+    scan.select("*", path, start, F.monotonically_increasing_id().alias("_id")).write.parquet(folder)
+    return scan.sparkSession.read.parquet(folder)
+
+
+def with_row_number(
+    scan: DataFrame, name: str, fmt: str = "csv", per: Sequence[str] = ()
+) -> DataFrame:
     """Numbers the rows of a file scan from 1, by file path and line, per partition value if asked.
 
-    ``scan`` must come straight from a file reader. Rows of one split of a file stay together and in
-    order in one task, so a row's place in its split is its task-local id less the smallest of the
-    split. Splits are counted, a running sum over that small table shifts each one, and no data row
+    ``scan`` is a file reader's frame, or columns of one. Rows of one piece (a Parquet file, or a split
+    of a text file) are numbered by their place in it, shifted by the rows of the pieces ahead. Only the
+    table of pieces is summed up in one place: a row per 128 MB of text or per Parquet file. No data row
     is shuffled or sorted.
     """
-    placed = scan.select(
-        "*",
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_id"),
-    )
-    splits = placed.groupBy(*per, *SPLIT).agg(
+    placed = _placed(scan, fmt)
+    pieces = placed.groupBy(*per, *PIECE).agg(
         F.count("*").alias("_n"), F.min("_id").alias("_first")
     )
-    ahead = W.partitionBy(*per).orderBy(*SPLIT).rowsBetween(W.unboundedPreceding, -1)
-    shifts = splits.select(
-        *SPLIT, "_first", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_shift")
+    ahead = W.partitionBy(*per).orderBy(*PIECE).rowsBetween(W.unboundedPreceding, -1)
+    shifts = pieces.select(
+        *PIECE, "_first", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_shift")
     )
     number = F.col("_id") - F.col("_first") + F.col("_shift") + 1
-    return (
-        placed.join(broadcast_if_small(shifts), SPLIT)
-        .withColumn(name, number)
-        .drop(*SPLIT, "_id", "_first", "_shift")
-    )
+    return placed.join(broadcast_if_small(shifts), PIECE).select(*scan.columns, number.alias(name))

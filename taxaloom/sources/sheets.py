@@ -18,16 +18,16 @@ from taxaloom.sources.ordinals import with_row_number
 
 @dataclass(frozen=True)
 class AbundanceSheet:
-    """A wide count sheet: its rows, and its sample columns with the names they carry."""
+    """A wide count sheet: its rows with counts in s1, s2, .. and the names of those columns."""
 
     marker: str
     rows: DataFrame
-    sample_columns: Sequence[str]
+    titles: Sequence[str]
 
     @property
     def headers(self) -> DataFrame:
         """The sample columns as rows: marker, sample_pos, sample. As many as the schema has."""
-        named = [(self.marker, i, c) for i, c in enumerate(self.sample_columns, start=1)]
+        named = [(self.marker, i, c) for i, c in enumerate(self.titles, start=1)]
         return self.rows.sparkSession.createDataFrame(
             named, "marker string, sample_pos int, sample string"
         )
@@ -35,7 +35,8 @@ class AbundanceSheet:
     @property
     def cells(self) -> DataFrame:
         """One row per OTU and sample column, headers kept beside the counts."""
-        long = melt(self.rows, ["otu", "otu_pos", "header"], self.sample_columns)
+        counts = [f"s{i}" for i in range(1, len(self.titles) + 1)]
+        long = melt(self.rows, ["otu", "otu_pos", "header"], counts)
         return long.select(
             F.lit(self.marker).alias("marker"),
             "otu",
@@ -67,29 +68,31 @@ def read_abundance_sheet(
 ) -> AbundanceSheet:
     """A count sheet whose sample columns stand at positions first..last, counted from 1.
 
-    ``ordinal`` names a column that numbers the rows. Without it, rows are numbered as they stand in
-    the files.
+    ``ordinal`` names a column that numbers the rows, which saves a pass over CSV. Without it, rows are
+    numbered as they stand in the files.
     """
     scan = _scan(spark, path, fmt)
-    sample_columns = scan.columns[first - 1 : last]
-    rows = with_row_number(scan, "otu_pos") if ordinal is None else scan.withColumn(
-        "otu_pos", F.col(ordinal).cast("long")
-    )
-    rows = rows.select(
+    titles = scan.columns[first - 1 : last]
+    kept = [
         numbers.whole_count(F.col("OTU")).alias("otu"),
-        "otu_pos",
         "header",
-        *[F.col(f"`{c}`") for c in sample_columns],
-    )
-    return AbundanceSheet(marker, rows, sample_columns)
+        *[F.col(f"`{t}`").alias(f"s{i}") for i, t in enumerate(titles, start=1)],
+    ]
+    if ordinal is None:
+        rows = with_row_number(scan.select(*kept), "otu_pos", fmt)
+    else:
+        rows = scan.select(*kept, F.col(f"`{ordinal}`").cast("long").alias("otu_pos"))
+    return AbundanceSheet(marker, rows, titles)
 
 
 def read_sample_sheet(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """pos, site, diseased, sample from the first three columns, whatever they are called."""
     scan = _scan(spark, path, fmt)
-    first_three = [F.col(f"`{c}`").cast("string") for c in scan.columns[:3]]
-    numbered = with_row_number(scan, "pos")
-    return numbered.select("pos", *first_three).toDF("pos", "site", "diseased", "sample")
+    kept = [
+        F.col(f"`{c}`").cast("string").alias(name)
+        for c, name in zip(scan.columns, ("site", "diseased", "sample"))
+    ]
+    return with_row_number(scan.select(*kept), "pos", fmt)
 
 
 def read_genus_lookup(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
