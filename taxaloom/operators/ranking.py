@@ -11,11 +11,16 @@ from taxaloom.operators.numbering import BAND_WIDTH, number_within
 
 def sample_hits(cells: DataFrame, columns: DataFrame) -> DataFrame:
     """All reads of each sample column before any filter, 0 for one without cells."""
-    sums = cells.groupBy("marker", "sample_pos").agg(F.sum("reads").alias("hits"))
-    return (
-        columns.select("marker", "sample_pos", "sample")
-        .join(sums, ["marker", "sample_pos"], "left")
-        .withColumn("hits", F.coalesce("hits", F.lit(0)))
+    # A zero for every column keeps the empty ones, and blank cells count as 0.
+    zeros = columns.select("marker", "sample_pos", F.lit(0).cast("long").alias("reads"))
+    sums = (
+        cells.select("marker", "sample_pos", "reads")
+        .unionByName(zeros)
+        .groupBy("marker", "sample_pos")
+        .agg(F.sum("reads").alias("hits"))
+    )
+    return sums.join(
+        columns.select("marker", "sample_pos", "sample"), ["marker", "sample_pos"]
     )
 
 

@@ -38,8 +38,8 @@ def with_row_number(
 
     ``scan`` is a file reader's frame, or columns of one. Rows of one piece (a Parquet file, or a split
     of a text file) are numbered by their place in it, shifted by the rows of the pieces ahead. Only the
-    table of pieces is summed up in one place: a row per 128 MB of text or per Parquet file. No data row
-    is shuffled or sorted.
+    table of pieces is summed up in one place, once: a row per 128 MB of text or per Parquet file. No
+    data row is shuffled or sorted.
     """
     placed = _placed(scan, fmt)
     pieces = placed.groupBy(*per, *PIECE).agg(
@@ -50,4 +50,5 @@ def with_row_number(
         *PIECE, "_first", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_shift")
     )
     number = F.col("_id") - F.col("_first") + F.col("_shift") + 1
-    return placed.join(broadcast_if_small(shifts), PIECE).select(*scan.columns, number.alias(name))
+    shifts = broadcast_if_small(shifts.persist())
+    return placed.join(shifts, PIECE).select(*scan.columns, number.alias(name))
