@@ -88,3 +88,69 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         pipeline,
     )
     return {q.__name__: q for q in own}
+
+
+def oracle_sql() -> dict[str, str]:
+    """The queries that SQL can express."""
+    return {
+        "op4_substring_dedup": SUBSTRING_DEDUP,
+        "op5_chat_formatting": CHAT_FORMATTING,
+        "op6_warc": WARC,
+    }
+
+
+SUBSTRING_DEDUP = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS window_text
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50)
+), firsts AS (
+    SELECT window_text, min(doc_id) AS first_doc FROM windows GROUP BY window_text HAVING count(*) > 1
+), removed AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p
+    FROM windows JOIN firsts USING (window_text) WHERE first_doc < doc_id
+), gone AS (
+    SELECT doc_id, list(p) AS ps FROM removed GROUP BY doc_id
+), placed AS (
+    SELECT doc_id, p, w[p] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM words)
+), kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t
+    FROM placed ANTI JOIN removed USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+CHAT_FORMATTING = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL
+    SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+), sized AS (
+    SELECT *, length(role || text)
+        + len(regexp_extract_all(role || chr(1) || text, '\\'))
+        + 2 * len(regexp_extract_all(role || chr(1) || text, '<\|/?turn\|>|<\|text\|>|</s>|\[/?INST\]'))
+        + length('<|turn|><|text|><|/turn|>') AS shown
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(shown) + length('</s>') AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+WARC = r"""
+WITH payloads AS (
+    SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS size FROM pages
+), holders AS (
+    SELECT html, max(page_id) AS holder FROM payloads WHERE size >= 1000 GROUP BY html
+)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN holder <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN holder <> page_id THEN holder END AS refers_to
+FROM payloads LEFT JOIN holders USING (html)
+"""
