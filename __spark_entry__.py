@@ -24,6 +24,11 @@ from taxaloom.sources import testtables  # noqa: E402
 from taxaloom.sources.landed import study_from_tables  # noqa: E402
 from taxaloom.sources.ordinals import with_row_number  # noqa: E402
 
+try:  # the operators on documents are a package of their own that may be absent
+    from taxaloom.llm import queries as llm_queries
+except ImportError:
+    llm_queries = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 LEADING = 3
 
@@ -259,6 +264,16 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query by name."""
+    return core_queries() | (llm_queries.queries() if llm_queries else {})
+
+
+def oracle_sql() -> dict[str, str]:
+    """The same queries as DuckDB SQL, where SQL can express them."""
+    return dict(SQL) | (llm_queries.oracle_sql() if llm_queries else {})
+
+
+def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries on count tables."""
     return {
         "sample_dimension": sample_dimension,
         "blank_numbering": blank_numbering,
@@ -300,8 +315,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "panel_captions": _captions(selected=False),
         "panel_captions_selected": _captions(selected=True),
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    """The same queries as DuckDB SQL."""
-    return dict(SQL)

@@ -9,7 +9,7 @@ from taxaloom.functions import sizing
 from taxaloom.plans import overview
 from taxaloom.sources import testtables
 
-QUERIES = [q for q in entry_point.queries() if not q.startswith(("sheets", "landed", "report_files", "overview_tables"))]
+QUERIES = [q for q in entry_point.core_queries() if not q.startswith(("sheets", "landed", "report_files", "overview_tables"))]
 
 
 def _plan(df) -> str:
@@ -18,14 +18,14 @@ def _plan(df) -> str:
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_no_cross_joins_and_no_row_python(spark, name):
-    plan = _plan(entry_point.queries()[name](spark, entry_point.SMOKE_DIR))
+    plan = _plan(entry_point.core_queries()[name](spark, entry_point.SMOKE_DIR))
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
         assert operator not in plan
 
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_windows_are_partitioned(spark, name):
-    plan = _plan(entry_point.queries()[name](spark, entry_point.SMOKE_DIR))
+    plan = _plan(entry_point.core_queries()[name](spark, entry_point.SMOKE_DIR))
     lines = plan.splitlines()
     for i, line in enumerate(lines):
         if "Window [" in line:

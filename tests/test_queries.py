@@ -14,13 +14,13 @@ def con():
 
 
 def test_every_query_has_its_sql():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(entry_point.core_queries()) == set(entry_point.SQL)
 
 
-@pytest.mark.parametrize("name", list(entry_point.queries()))
+@pytest.mark.parametrize("name", list(entry_point.core_queries()))
 def test_query_equals_its_sql(spark, con, name):
-    result = entry_point.queries()[name](spark, SF_DIR)
-    assert difference(con, entry_point.oracle_sql()[name], result) is None
+    result = entry_point.core_queries()[name](spark, SF_DIR)
+    assert difference(con, entry_point.SQL[name], result) is None
 
 
 def test_entry(spark):
