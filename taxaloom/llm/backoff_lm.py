@@ -132,7 +132,8 @@ class Grams:
         self.block, self.total, self.first, self.kept = block, {}, {}, {}
         self.key = {1: block.hash}
         everywhere = np.ones(len(block.hash), bool)
-        self.where = {1: everywhere}
+        self.where = {1: everywhere}  # positions whose n-gram can reach the threshold
+        self.follows: dict[int, np.ndarray] = {}  # positions whose context can
         block.unique(1, block.hash, everywhere)
         for n in range(1, orders + 1):
             if n > 1:
@@ -154,7 +155,8 @@ class Grams:
         start = np.uint64(START) if n == 2 else np.uint64(0)
         self.key[n] = mix(block.before(self.key[n - 1], start) * BASE + block.hash)
         # The start of text is a context of length one, so order 2 begins at the first token.
-        self.where[n] = enough & block.before(enough, n == 2)
+        self.follows[n] = block.before(enough, n == 2)
+        self.where[n] = enough & self.follows[n]
         block.unique(n, self.key[n], self.where[n])
 
     def context_key(self, n: int) -> np.ndarray:
@@ -165,12 +167,12 @@ class Grams:
         """Distinct contexts of order-n positions, the place of each position's, and what this block reports on them."""
         block = self.block
         found, place = block.order[n]
-        where = self.where[n]
-        keys, inverse = np.unique(self.context_key(n)[where], return_inverse=True)
+        where, follows = self.where[n], self.follows[n]
+        keys, inverse = np.unique(self.context_key(n)[follows], return_inverse=True)
         of = np.full(len(where), NONE, np.int64)
-        of[where] = inverse
+        of[follows] = inverse
         context = np.zeros(len(found), np.int64)
-        context[place[where]] = inverse
+        context[place[where]] = of[where]
         mine = self.first[n] & (self.total[n] >= MIN_COUNT)
         sums = np.bincount(context[mine], self.total[n][mine], len(keys)).astype(np.int64)
         kinds = np.bincount(context[mine], minlength=len(keys)).astype(np.int64)
@@ -285,8 +287,6 @@ class Automaton:
             p1 = np.ones(len(counts))
         self.token = place
         p = p1[place]  # probability of each position's token in the context of the order so far
-        state = np.zeros(len(place), np.int64)  # state whose context is that order's n-gram, if there is one
-        state_after = state
         self.fail, self.back = [0], [0.0]
         self.arcs: dict[int, tuple[float, int]] = {}
         contexts: dict[int, np.ndarray] = {}  # per order: at each position, the state of its context or 0
@@ -357,7 +357,6 @@ class Automaton:
                 target_of[k] = t  # a text's last token has no follower, so the largest is the state
             for k, logp in zip(pairs[one].tolist(), np.log10(prob[at][one]).tolist()):
                 self.arcs[k] = (logp, target_of[k])
-        del state, state_after
 
     def _set_root(self, p1: np.ndarray, place: np.ndarray, after: np.ndarray) -> None:
         following = np.zeros(self.words, np.int64)
