@@ -20,7 +20,7 @@ from taxaloom.session import shared_folder  # noqa: E402
 from taxaloom.sinks.landing import land  # noqa: E402
 from taxaloom.sinks.report import write_report  # noqa: E402
 from taxaloom.sinks.tables import write_overviews  # noqa: E402
-from taxaloom.sources import testtables  # noqa: E402
+from taxaloom.sources import sheets, testtables  # noqa: E402
 from taxaloom.sources.landed import study_from_tables  # noqa: E402
 from taxaloom.sources.ordinals import with_row_number  # noqa: E402
 
@@ -55,7 +55,7 @@ def cohort_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unpivot_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide sheets with all their zero cells, made long again and named by position."""
     here = study(spark, sf_dir)
-    positions = range(1, testtables.SAMPLE_COUNT + 1)
+    positions = range(1, testtables.sample_count(spark, sf_dir) + 1)
     wide = reshape.widen(here.cells, ["marker", "otu"], positions)
     long = reshape.melt(wide, ["marker", "otu"], [str(p) for p in positions])
     return presence.labelled(long, here.columns).select(
@@ -104,6 +104,13 @@ def overview_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).drop("marker", "dataset")
 
 
+def overview_tables_genus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The genus overview written as one folder per table, read back."""
+    path = shared_folder(spark, "overview")
+    write_overviews(_prevalence("genus")(spark, sf_dir), path)
+    return spark.read.parquet(path).drop("marker", "dataset")
+
+
 def sample_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     here = study(spark, sf_dir)
     return ranking.sample_hits(here.cells, here.columns)
@@ -124,13 +131,13 @@ def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "report")
     write_report(sample_report_lines(spark, sf_dir), path)
     lines = spark.read.text(path).withColumnRenamed("value", "text")
-    return with_row_number(lines, "line", "text", per=["marker"])
+    return with_row_number(lines, "line", "text", per=["marker"], landing=shared_folder(spark, "lines"))
 
 
-def _from_files(spark: SparkSession, sf_dir: str) -> prepare.Study:
+def _from_files(spark: SparkSession, sf_dir: str, fmt: str = "csv") -> prepare.Study:
     path = shared_folder(spark, "sheets")
-    testtables.write_sheets(spark, sf_dir, path)
-    return testtables.study_from_files(spark, path)
+    testtables.write_sheets(spark, sf_dir, path, fmt)
+    return testtables.study_from_files(spark, path, fmt)
 
 
 def sheets_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,11 +145,33 @@ def sheets_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.long_table(_from_files(spark, sf_dir))
 
 
+def sheets_parquet_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long table from sheets written as Parquet and read back."""
+    return prepare.long_table(_from_files(spark, sf_dir, "parquet"))
+
+
 def sheets_selected_otus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OTUs of the included genera from sheets written as CSV and read back."""
     return pca.selected_otus(_from_files(spark, sf_dir))
 
 
+def sheets_pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The PCA with matrix rows taken straight from wide sheets."""
+    return _rounded(pca.pca_all(_from_files(spark, sf_dir, "parquet"), LEADING))
+
+
+def sheets_wide_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads per column of a sheet with every sample column twice, all columns from the first on."""
+    n = testtables.sample_count(spark, sf_dir)
+    here = testtables.cells(spark, sf_dir).filter("marker = 'ITS1'")
+    wide = reshape.widen(here, ["otu"], range(1, n + 1))
+    named = [F.col(str(p)).alias(f"{name} {p}") for name in ("first", "second") for p in range(1, n + 1)]
+    path = shared_folder(spark, "sheets")
+    wide.select(F.col("otu").alias("OTU"), F.lit("one").alias("header"), *named).write.parquet(path)
+    sheet = sheets.read_abundance_sheet(spark, path, "ITS1", "parquet", first=3)
+    return sheet.cells.groupBy("sample_pos").agg(F.sum("reads").alias("reads"))
+
+
 def _from_tables(spark: SparkSession, sf_dir: str) -> prepare.Study:
     path = shared_folder(spark, "landed")
     prefix = path.rsplit("/", 1)[-1].replace("-", "_")
@@ -195,17 +224,17 @@ def sample_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pca_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Squared singular values of all components add up to the squared reads."""
-    variances = pca.pca_all(study(spark, sf_dir)).variances
-    squared = F.col("singular_value") * F.col("singular_value")
-    return variances.groupBy("marker", "dataset").agg(
-        F.round(F.sum(squared)).cast("long").alias("energy")
+    """Squared reads of each panel, as the PCA takes them for all variance."""
+    found = pca.pca_all(study(spark, sf_dir), 1)
+    return found.sample_scores.groupBy("marker", "dataset").agg(
+        F.round(F.max("energy")).cast("long").alias("energy")
     )
 
 
 def pca_sample_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squared scores of a sample on all components add up to its squared reads."""
-    scores = pca.pca_all(study(spark, sf_dir)).sample_scores
+    every = testtables.sample_count(spark, sf_dir)
+    scores = pca.pca_all(study(spark, sf_dir), every).sample_scores
     squared = F.col("score") * F.col("score")
     return scores.groupBy("marker", "dataset", "sample").agg(
         F.round(F.sum(squared)).cast("long").alias("energy")
@@ -232,13 +261,27 @@ def _variance(selected: bool) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def _rounded(found: pca.Pca) -> DataFrame:
+    return found.sample_scores.select(
+        "marker", "dataset", "component", "sample", F.round("score", 4).alias("score")
+    )
+
+
 def _scores(selected: bool) -> Callable[[SparkSession, str], DataFrame]:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _pca(spark, sf_dir, selected).sample_scores.select(
-            "marker", "dataset", "component", "sample", F.round("score", 4).alias("score")
-        )
+    return lambda spark, sf_dir: _rounded(_pca(spark, sf_dir, selected))
 
-    return query
+
+def pca_excluded_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The PCA over all genera but the excluded ones; those without a description stay in."""
+    return _rounded(pca.pca_selected(study(spark, sf_dir), LEADING, exclude=True))
+
+
+def landed_pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(pca.pca_all(_from_tables(spark, sf_dir), LEADING))
+
+
+def landed_pca_selected_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(pca.pca_selected(_from_tables(spark, sf_dir), LEADING))
 
 
 def _axes(selected: bool) -> dict[int, tuple[int, int]]:
@@ -291,14 +334,20 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "prevalence_otu": prevalence_otu,
         "overview_tables": overview_tables,
         "overview_tables_otu": overview_tables_otu,
+        "overview_tables_genus": overview_tables_genus,
         "sample_hits": sample_hits,
         "sample_ranked": sample_ranked,
         "sample_report_lines": sample_report_lines,
         "report_files": report_files,
         "sheets_long": sheets_long,
+        "sheets_parquet_long": sheets_parquet_long,
         "sheets_selected_otus": sheets_selected_otus,
+        "sheets_pca_scores": sheets_pca_scores,
+        "sheets_wide_range": sheets_wide_range,
         "landed_prevalence_genus": landed_prevalence_genus,
         "landed_gram": landed_gram,
+        "landed_pca_scores": landed_pca_scores,
+        "landed_pca_selected_scores": landed_pca_selected_scores,
         "panel_samples": panel_samples,
         "panel_matrix": panel_matrix,
         "genus_include": genus_include,
@@ -308,6 +357,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pca_sample_energy": pca_sample_energy,
         "pca_variance": _variance(selected=False),
         "pca_scores": _scores(selected=False),
+        "pca_excluded_scores": pca_excluded_scores,
         "pca_selected_variance": _variance(selected=True),
         "pca_selected_scores": _scores(selected=True),
         "plot_points": _points(selected=False),

@@ -72,7 +72,8 @@ otus AS (
     FROM part),
 genus_info AS (
     SELECT DISTINCT p_brand || '-' || p_size AS genus,
-           ['fungus', 'coral', 'sponge', 'anemone'][p_size % 4 + 1] AS description
+           CASE WHEN p_size % 11 = 0 THEN NULL WHEN p_size % 13 = 0 THEN 'alga'
+                ELSE ['fungus', 'coral', 'sponge', 'anemone'][p_size % 4 + 1] END AS description
     FROM part),
 cells AS (
     SELECT CASE WHEN l_linestatus = 'O' THEN 'ITS1' ELSE 'ITS2' END AS marker, l_partkey AS otu,
@@ -209,8 +210,15 @@ selected AS (
     SELECT * FROM cells WHERE otu IN (
         SELECT otu FROM otus JOIN genus_info USING (genus) WHERE description = 'fungus'))"""
 
+EXCLUDED = """,
+excluded AS (
+    SELECT * FROM cells WHERE otu IN (
+        SELECT otu FROM otus JOIN genus_info USING (genus)
+        WHERE coalesce(description NOT IN ('coral', 'sponge', 'millepora', 'anemone'), true)))"""
+
 _ALL = CELLS + PANEL + _pca("a", "cells")
 _SELECTED = CELLS + SELECTED + PANEL + _pca("s", "selected")
+_EXCLUDED = CELLS + EXCLUDED + PANEL + _pca("e", "excluded")
 
 
 def _variance(name: str) -> str:
@@ -412,3 +420,17 @@ SQL = {
 }
 SQL["landed_prevalence_genus"] = SQL["prevalence_genus"]
 SQL["landed_gram"] = SQL["sample_gram"]
+SQL["landed_pca_scores"] = SQL["sheets_pca_scores"] = SQL["pca_scores"]
+SQL["landed_pca_selected_scores"] = SQL["pca_selected_scores"]
+SQL["pca_excluded_scores"] = _with(_EXCLUDED, _scores("e"))
+SQL["sheets_parquet_long"] = SQL["sheets_long"]
+SQL["sheets_wide_range"] = _with(
+    CELLS,
+    """
+    SELECT CAST(p + shift AS INTEGER) AS sample_pos, CAST(coalesce(sum(reads), 0) AS BIGINT) AS reads
+    FROM (SELECT unnest(range(1, 126)) AS p) CROSS JOIN (SELECT unnest([0, 125]) AS shift)
+         LEFT JOIN cells ON cells.sample_pos = p AND marker = 'ITS1' GROUP BY ALL""",
+)
+SQL["overview_tables_genus"] = _with(
+    CELLS + TOTALS, f"SELECT * EXCLUDE (marker, dataset), {OVERVIEW_TABLE} FROM ({_prevalence('genus')})"
+)

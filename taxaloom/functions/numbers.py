@@ -18,10 +18,19 @@ def percent(share: Column, digits: int = 2) -> Column:
 
 def whole_count(value: Column) -> Column:
     """A count read from a sheet as text or double. Blank cells stay NULL."""
-    return value.cast("double").cast("long")
+    # Straight to long where it is one: a double keeps whole numbers up to 2**53 only.
+    return F.coalesce(value.try_cast("long"), value.cast("double").cast("long"))
+
+
+def whole_id(value: Column) -> Column:
+    """A whole-number id read as text or number, without passing through a double."""
+    return F.regexp_replace(value.cast("string"), r"\.0+$", "").cast("long")
 
 
 def status_code(value: Column) -> Column:
-    """A health code as '0' or '1', with '-' for a missing one."""
-    # By way of int, since a code read as 1.0 must show as 1.
-    return F.coalesce(value.try_cast("double").cast("int").cast("string"), F.lit("-"))
+    """A health code as '0' or '1', with '-' for a missing one. Any other code is refused by name."""
+    text = F.trim(value.cast("string"))
+    number = text.try_cast("double")  # a code read as 1.0 shows as 1
+    missing = text.isNull() | text.isin("", "-")
+    unknown = F.raise_error(F.concat(F.lit("unknown status code: "), text))
+    return F.when(missing, "-").when(number == 0, "0").when(number == 1, "1").otherwise(unknown)

@@ -3,6 +3,7 @@
 Frames passed between modules:
 
     cells     marker, otu, otu_pos, sample_pos, reads            one row per sheet cell
+    rows      marker, otu, otu_pos, header, counts               one row per OTU with all its cells
     otus      [marker,] otu, otu_pos, header                     one row per OTU (and marker)
     names     marker, sample_pos, sample                         sample columns of each sheet
     samples   pos, site, diseased, sample, dataset, status, is_control
@@ -47,7 +48,6 @@ REPORT_RULE = "--- | --- | ---"
 REPORT_SEPARATOR = " | "
 REPORT_INFO_WIDTH = 40
 FIRST_SAMPLE_COLUMN = 28
-LAST_SAMPLE_COLUMN = 197
 PANELS = (
     ("ITS1", "original"),
     ("ITS1", "extra"),

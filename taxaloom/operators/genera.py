@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxaloom import model
+from taxaloom.functions.sizing import broadcast_if_small
 from taxaloom.functions.text import genus
 
 
@@ -26,6 +27,16 @@ def excluded_out_genera(
     return genus_info.filter(~listed).select("genus").distinct()
 
 
+def rows_of(rows: DataFrame, genera: DataFrame) -> DataFrame:
+    """Rows or cells whose own genus is listed, judged by the header each carries.
+
+    Genera that measure small are broadcast, so the rows stay where they are.
+    """
+    own = F.col("genus") if "genus" in rows.columns else genus(F.col("header"))
+    listed = broadcast_if_small(genera.select(F.col("genus").alias("_genus")))
+    return rows.join(listed, own == F.col("_genus"), "left_semi")
+
+
 def otus_of(otus: DataFrame, genera: DataFrame) -> DataFrame:
     """OTUs whose genus is listed. An OTU without header has no genus and is left out.
 

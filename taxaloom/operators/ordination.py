@@ -1,30 +1,31 @@
 """Uncentred PCA of samples by their OTU counts.
 
 For a panel with the samples x OTUs matrix X the scores are U D of its singular value decomposition.
-Samples are few and OTUs many, so up to MAX_GRAM_SAMPLES samples per panel the small matrix X X' is
-summed in one pass over all panels and decomposed, one task per panel. Panels beyond that use the
-iterative decomposition of MLlib, which keeps vectors of one number per sample instead of the matrix.
-Either way the OTUs stay distributed.
+OTUs stay distributed: a row of the matrix is one OTU with its counts in a panel, and MLlib's ``computeSVD``
+multiplies with the rows where they are, for panels of any size. What reaches the driver are vectors of
+one number per sample and component. Panels are decomposed at the same time, over one cached frame of rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
+from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.common import callMLlibFunc
-from pyspark.mllib.linalg.distributed import CoordinateMatrix
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from taxaloom.functions.linear import score_rows, signed_scores
-from taxaloom.operators.reshape import sparse_rows
+from taxaloom.operators.reshape import dense_rows, picked, sparse_rows
 
-MAX_GRAM_SAMPLES = 1024
 BLOCK_CELLS = 4_000_000
 GRAM = "panel int, i int, j int, dot double"
 SCORES = (
@@ -52,7 +53,8 @@ def gram(cells: DataFrame, panel: DataFrame, sizes: dict[int, int]) -> DataFrame
     """Dot products of the samples of each panel: panel, i, j, dot with i <= j.
 
     A task adds up its OTUs in one small matrix per panel, so pairs of cells are never rows. The
-    diagonal is there for every sample, also for one without reads.
+    diagonal is there for every sample, also for one without reads. The result has a row per pair of samples and
+    a task holds it whole, so it is a table for panels of hundreds of samples; the PCA does not use it.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,90 +100,74 @@ def gram(cells: DataFrame, panel: DataFrame, sizes: dict[int, int]) -> DataFrame
     )
 
 
-def decompose(grams: DataFrame, sizes: dict[int, int], k: int | None = None) -> DataFrame:
-    """The first k components (all without k) from the dot products, one task per panel.
-
-    A panel's group is at most n (n + 1) / 2 rows for its n <= MAX_GRAM_SAMPLES samples.
-    """
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        panel = int(pdf["panel"].iloc[0])
-        n = sizes[panel]
-        matrix = np.zeros((n, n))
-        matrix[pdf["i"], pdf["j"]] = pdf["dot"]
-        matrix[pdf["j"], pdf["i"]] = pdf["dot"]
-        values, vectors = np.linalg.eigh(matrix)
-        d = np.sqrt(np.clip(values[::-1][: k or n], 0.0, None))
-        scores = signed_scores(d, vectors[:, ::-1][:, : k or n])
-        return score_rows(panel, d, scores, float(np.trace(matrix)))
-
-    return grams.groupBy("panel").applyInPandas(solve, SCORES)
-
-
-def decompose_iteratively(
-    cells: DataFrame, panel_number: int, n_samples: int, k: int
-) -> DataFrame:
-    """The first k components of one panel by MLlib, for more samples than a dense matrix allows.
-
-    Rows of the matrix are OTUs, so the samples x k result is the right side of the decomposition.
-    MLlib drops components that vanish next to the first; they are given back as zeros.
-    """
-    entries = cells.filter(F.col("panel") == panel_number).select(
-        F.col("otu_pos").alias("i"),
-        F.col("sample_idx").cast("long").alias("j"),
-        F.col("reads").cast("double").alias("value"),
-    )
-    bounds = entries.agg(F.max("i"), F.sum(F.col("value") * F.col("value"))).first()
-    k = min(k, n_samples)
-    d, scores = np.zeros(k), np.zeros((n_samples, k))
-    if bounds[0] is not None:
+def layout(panel: DataFrame) -> dict[int, tuple[str, list[int]]]:
+    """Marker and sheet positions of each panel, in order of sample_idx. A row per sheet column is collected."""
+    found: dict[int, tuple[str, list[int]]] = {}
+    rows = panel.select("panel", "marker", "sample_idx", "sample_pos").collect()
+    for number, marker, _, position in sorted(tuple(r) for r in rows):
+        found.setdefault(number, (marker, []))[1].append(position)
+    return found
+
+
+def rows_of_sheets(rows: DataFrame, panels: dict[int, tuple[str, Sequence[int]]]) -> DataFrame:
+    """Matrix rows straight from wide rows: panel, values. Nothing is exploded by cell or shuffled."""
+    out = None
+    for marker in sorted({m for m, _ in panels.values()}):
+        parts = [
+            F.struct(F.lit(number).alias("panel"), picked(F.col("counts"), positions).alias("values"))
+            for number, (m, positions) in panels.items()
+            if m == marker
+        ]
+        here = rows.filter(F.col("marker") == marker).select(F.explode(F.array(*parts)).alias("row"))
+        out = here if out is None else out.unionAll(here)
+    if out is None:
+        return rows.sparkSession.createDataFrame([], "panel int, values array<double>")
+    return out.select("row.panel", "row.values")
+
+
+def rows_of_cells(cells: DataFrame, panel: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """Matrix rows from cells: one grouping by OTU row, which a table bucketed by it has done already."""
+    return dense_rows(sparse_rows(panel_cells(cells, panel)), sizes)
+
+
+def _decompose(rows: DataFrame, number: int, n: int, k: int, energy: float) -> pd.DataFrame:
+    """The first k components of one panel. MLlib drops components that vanish next to the first; they are zeros."""
+    k = min(k, n)
+    d, scores = np.zeros(k), np.zeros((n, k))
+    if energy:
+        vectors = rows.filter(F.col("panel") == number).select(array_to_vector("values").alias("vector"))
+        vectors = MLUtils.convertVectorColumnsFromML(vectors, "vector")
         # The JVM class reads the frame itself; the Python class would need an RDD of Python rows.
-        spark = cells.sparkSession
-        matrix = CoordinateMatrix(
-            callMLlibFunc("createCoordinateMatrix", entries, int(bounds[0]) + 1, n_samples)
-        ).toIndexedRowMatrix()
-        # Every iteration reads all rows, so they are kept in the form they are multiplied in.
-        rows = matrix._java_matrix_wrapper._java_model.rows()
-        rows.persist(spark.sparkContext._getJavaStorageLevel(StorageLevel.MEMORY_AND_DISK))
-        try:
-            svd = matrix.computeSVD(k)
-        finally:
-            rows.unpersist(False)
-        found = svd.s.toArray()
+        matrix = RowMatrix(callMLlibFunc("createRowMatrix", vectors, 0, n))
+        # With a third of the components MLlib decomposes a small matrix directly, not iteratively.
+        svd = matrix.computeSVD(max(k, n // 3 + 1) if n < 100 else k)
+        found = svd.s.toArray()[:k]
         d[: len(found)] = found
-        scores[:, : len(found)] = signed_scores(found, svd.V.toArray())
-    result = score_rows(panel_number, d, scores, float(bounds[1] or 0.0))
-    return cells.sparkSession.createDataFrame(result, SCORES)
+        scores[:, : len(found)] = signed_scores(found, svd.V.toArray()[:, : len(found)])
+    return score_rows(number, d, scores, energy)
 
 
-def ordinate(
-    cells: DataFrame,
-    panel: DataFrame,
-    k: int | None = None,
-    max_gram_samples: int = MAX_GRAM_SAMPLES,
-) -> DataFrame:
+def ordinate(rows: DataFrame, sizes: dict[int, int], k: int) -> DataFrame:
     """Scores of every sample on the first k components of its panel.
 
-    Columns: panel, component, singular_value, energy (sum of squared reads), n_samples, sample_idx,
-    score. Panels too large for the dense matrix need k.
+    ``rows`` are matrix rows (panel, values). Columns of the result: panel, component, singular_value,
+    energy (sum of squared reads), n_samples, sample_idx, score.
     """
-    sizes = panel_sizes(panel)
-    dense = {p: n for p, n in sizes.items() if n <= max_gram_samples}
-    large = {p: n for p, n in sizes.items() if n > max_gram_samples}
-    if large and k is None:
-        raise ValueError(f"k is needed for panels of more than {max_gram_samples} samples")
-    placed = panel_cells(cells, panel)
-    parts = []
-    if dense or not large:
-        small = F.col("panel").isin(*dense)
-        grams = gram(placed.filter(small), panel.filter(small), dense)
-        parts.append(decompose(grams, dense, k))
-    for number, n in large.items():
-        parts.append(decompose_iteratively(placed, number, n, k))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    spark = rows.sparkSession
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        squares = F.aggregate("values", F.lit(0.0), lambda total, x: total + x * x)
+        energy = {r[0]: r[1] for r in rows.groupBy("panel").agg(F.sum(squares)).collect()}
+        with ThreadPoolExecutor(max(1, len(sizes))) as pool:
+            jobs = [
+                pool.submit(_decompose, rows, number, n, k, float(energy.get(number) or 0.0))
+                for number, n in sorted(sizes.items())
+            ]
+            found = [job.result() for job in jobs]
+    finally:
+        rows.unpersist()
+    table = pd.concat(found) if found else pd.DataFrame()
+    return spark.createDataFrame(table, SCORES) if len(table) else spark.createDataFrame([], SCORES)
 
 
 def variances(scores: DataFrame) -> DataFrame:

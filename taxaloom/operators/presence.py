@@ -51,7 +51,9 @@ def with_header(cells: DataFrame, otus: DataFrame) -> DataFrame:
 
 def with_taxon(cells: DataFrame, rank: str, otus: DataFrame | None = None) -> DataFrame:
     """Adds taxon. Cells without a header take it from otus, reduced to the taxon before the join."""
-    if rank == "otu" or "header" in cells.columns:
+    if rank in cells.columns:  # landed cells carry genus and species
+        return cells.withColumn("taxon", F.col(rank))
+    if "header" in cells.columns:
         return cells.withColumn("taxon", taxon_of(rank))
     key = otu_key(otus)
     return cells.join(otus.select(*key, taxon_of(rank).alias("taxon")), key, "left")
@@ -71,13 +73,14 @@ def presence(cells: DataFrame, columns: DataFrame) -> DataFrame:
 def occurrences(cells: DataFrame, width: int = BAND_WIDTH) -> DataFrame:
     """Numbers the OTUs of each sample and taxon in sheet order (column ``occurrence``)."""
     # A taxon may be NULL and is a group of its own, so it enters the keys in two non-null parts.
+    # Samples enter by their column number: the shuffle carries no names.
     keyed = cells.withColumns(
         {
             "_taxon": F.coalesce(F.col("taxon").cast("string"), F.lit("")),
             "_no_taxon": F.col("taxon").isNull(),
         }
     )
-    keys = ["marker", "sample", "_taxon", "_no_taxon"]
+    keys = ["marker", "sample_pos", "_taxon", "_no_taxon"]
     numbered = number_within(keyed, keys, "otu_pos", "occurrence", width=width)
     return numbered.drop("_taxon", "_no_taxon")
 

@@ -14,3 +14,9 @@ def require_unique(df: DataFrame, keys: Sequence[str], what: str) -> None:
     examples = [tuple(r[k] for k in keys) for r in repeated.take(5)]
     if examples:
         raise ValueError(f"repeated {what}: {examples}")
+
+
+def require_as_many(names: int, columns: int, what: str) -> None:
+    """Raises ValueError if names given by position do not match the columns they name."""
+    if names != columns:
+        raise ValueError(f"{names} names for {columns} columns: {what}")

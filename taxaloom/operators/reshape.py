@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,11 @@ def melt(wide: DataFrame, ids: Sequence[str], sample_columns: Sequence[str]) ->
     which at 170 columns leaves compiled code and takes about twice as long.
     """
     cells = F.array(*[F.col(f"`{c}`") for c in sample_columns])
+    return melt_array(wide, ids, cells)
+
+
+def melt_array(wide: DataFrame, ids: Sequence[str], cells: Column) -> DataFrame:
+    """The same for cells that are one array already."""
     return wide.select(*ids, F.posexplode(cells).alias("_at", "reads")).select(
         *ids, (F.col("_at") + 1).alias("sample_pos"), "reads"
     )
@@ -29,6 +34,12 @@ def widen(cells: DataFrame, ids: Sequence[str], positions: Sequence[int]) -> Dat
     return wide.na.fill(0, [str(p) for p in positions])
 
 
+def picked(counts: Column, positions: Sequence[int]) -> Column:
+    """The counts at the given positions (from 1) as doubles, blank cells as 0."""
+    places = F.array(*[F.lit(p) for p in positions])
+    return F.transform(places, lambda p: F.coalesce(F.get(counts, p - 1), F.lit(0)).cast("double"))
+
+
 def sparse_rows(cells: DataFrame) -> DataFrame:
     """One row per panel and OTU: the sample_idx and reads of its cells.
 
@@ -46,3 +57,20 @@ def sparse_rows(cells: DataFrame) -> DataFrame:
             F.col("entries.reads").cast("array<double>").alias("val"),
         )
     )
+
+
+def dense_rows(rows: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """panel, values from sparse rows: the entries in place, with runs of zeros between them."""
+    n = F.lit(None).cast("int")
+    for panel, size in sizes.items():
+        n = F.when(F.col("panel") == panel, F.lit(size)).otherwise(n)
+    zeros = lambda times: F.array_repeat(F.lit(0.0), times)
+    entries = F.array_sort(F.arrays_zip("idx", "val"))
+    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.col("entries")[i - 1]["idx"])
+    placed = F.transform("entries", lambda e, i: F.concat(zeros(e["idx"] - before(i) - 1), F.array(e["val"])))
+    last = F.element_at("entries", -1)["idx"]
+    return (
+        rows.withColumn("entries", entries)
+        .withColumn("runs", F.concat(placed, F.array(zeros(n - last - 1))))
+        .select("panel", F.flatten("runs").alias("values"))
+    )

@@ -24,8 +24,9 @@ def overview_by_otu(study: Study, marker: str = "ITS1") -> DataFrame:
     """The overview tables of one marker by OTU, with headers.
 
     Sample and OTU name a cell, so nothing has to be made distinct, and headers join the aggregated
-    rows instead of the cells.
+    rows instead of the cells. A repeated OTU would repeat result rows and is refused.
     """
+    study.check_otus()
     cells = study.cells.filter(study.cells["marker"] == marker)
     present = presence.with_taxon(presence.assigned(cells, study.columns), "otu")
     counted = prevalence(present, study.totals)

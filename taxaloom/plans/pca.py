@@ -9,21 +9,20 @@ from pyspark.sql import functions as F
 
 from taxaloom import model
 from taxaloom.functions import numbers, text
-from taxaloom.operators import genera, ordination, presence
+from taxaloom.operators import genera, ordination
 from taxaloom.plans.prepare import Study
 
 
 @dataclass(frozen=True)
 class Pca:
-    """Scores of all panels (see ``ordination.ordinate``) and the columns they belong to."""
+    """Scores of all panels (see ``ordination.ordinate``) and the columns they belong to.
+
+    Scores are computed when the PCA is made; they have one row per sample and component.
+    """
 
     scores: DataFrame
     panel: DataFrame
 
-    def cached(self) -> Pca:
-        """The same PCA, computed once for several results. One row is kept per sample and component."""
-        return Pca(self.scores.persist(), self.panel)
-
     @property
     def variances(self) -> DataFrame:
         """Shares of the components with the marker and dataset of their panel."""
@@ -50,24 +49,47 @@ def panel_matrix(study: Study) -> DataFrame:
     )
 
 
-def pca_all(study: Study, k: int | None = None) -> Pca:
-    """PCA of every panel over all OTUs."""
-    panel = study.panel
-    return Pca(ordination.ordinate(study.cells, panel, k), panel)
+def pca_all(study: Study, k: int) -> Pca:
+    """The first k components of every panel over all OTUs."""
+    return _pca(study, k)
 
 
 def selected_otus(study: Study, exclude: bool = False) -> DataFrame:
     """OTUs of the included genera, or of all but the excluded ones."""
+    return genera.otus_of(study.otus, _genera(study, exclude))
+
+
+def pca_selected(study: Study, k: int, exclude: bool = False) -> Pca:
+    """The first k components of every panel over the OTUs of selected genera.
+
+    A row counts by its own genus, also where another row has the same OTU id.
+    """
+    return _pca(study, k, _genera(study, exclude))
+
+
+def _genera(study: Study, exclude: bool) -> DataFrame:
     choose = genera.excluded_out_genera if exclude else genera.included_genera
-    return genera.otus_of(study.otus, choose(study.genus_info))
+    return choose(study.genus_info)
 
 
-def pca_selected(study: Study, k: int | None = None, exclude: bool = False) -> Pca:
-    """PCA of every panel over the OTUs of selected genera."""
-    key = presence.otu_key(study.otus)
-    kept = selected_otus(study, exclude).select(*key)
+def matrix_rows(study: Study, listed: DataFrame | None = None) -> DataFrame:
+    """The rows of all panels' matrices, of listed genera if given: panel, values."""
     panel = study.panel
-    return Pca(ordination.ordinate(study.cells.join(kept, key, "left_semi"), panel, k), panel)
+    if study.rows is not None:
+        rows = study.rows if listed is None else genera.rows_of(study.rows, listed)
+        return ordination.rows_of_sheets(rows, ordination.layout(panel))
+    cells = study.cells
+    if listed is not None and ("genus" in cells.columns or "header" in cells.columns):
+        cells = genera.rows_of(cells, listed)
+    elif listed is not None:
+        key = [c for c in ("marker", "otu_pos") if c in study.otus.columns]
+        cells = cells.join(genera.otus_of(study.otus, listed).select(*key), key, "left_semi")
+    return ordination.rows_of_cells(cells, panel, ordination.panel_sizes(panel))
+
+
+def _pca(study: Study, k: int, listed: DataFrame | None = None) -> Pca:
+    scores = ordination.ordinate(matrix_rows(study, listed), ordination.panel_sizes(study.panel), k)
+    return Pca(scores, study.panel)
 
 
 def _axis(axes: dict[int, tuple[int, int]], which: int) -> Column:

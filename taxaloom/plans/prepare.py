@@ -25,6 +25,7 @@ class Study:
     names: DataFrame
     samples: DataFrame
     genus_info: DataFrame
+    rows: DataFrame | None = None  # the wide sheets, where the study comes from them
 
     @cached_property
     def _columns(self) -> DataFrame:
@@ -56,8 +57,10 @@ class Study:
         return cohort.status_totals(self.samples).persist()
 
     def check_otus(self) -> None:
-        """Refuses repeated OTUs, which would repeat result rows. A shuffle over all OTUs."""
-        quality.require_unique(self.otus, presence.otu_key(self.otus), "OTUs")
+        """Refuses repeated OTUs, which would repeat result rows. One aggregate over all OTUs, once per study."""
+        if "_otus_checked" not in self.__dict__:
+            quality.require_unique(self.otus, presence.otu_key(self.otus), "OTUs")
+            self.__dict__["_otus_checked"] = True
 
     def release(self) -> None:
         """Drops the cached frames."""

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Adaptive execution merges partitions but does not split them for size: start with many.
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "2000",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -28,6 +30,7 @@ def session(app: str = "taxaloom", **extra: str) -> SparkSession:
 def local_session(cores: int = 8, memory: str = "8g", **extra: str) -> SparkSession:
     """A session on this machine, for tests and the benchmark."""
     settings = {
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(cores),
         "spark.master": f"local[{cores}]",
         "spark.driver.memory": memory,
         "spark.sql.shuffle.partitions": str(cores),

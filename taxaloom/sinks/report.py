@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def write_report(lines: DataFrame, path: str) -> None:
-    """Replaces path by one folder per marker; its part files in name order are the report.
+    """Replaces path by one folder per marker; its part files in order of part number are the report.
 
     One range shuffle on the full sort key. Its last column is unique within a sample, so the lines
     of a large sample spread over many tasks.

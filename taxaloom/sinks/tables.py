@@ -12,8 +12,8 @@ Names = dict[tuple[str, str], str]
 
 
 def table_name(names: Names) -> Column:
-    """The name of the overview table a row belongs to."""
-    name = F.lit(None).cast("string")
+    """The name of the overview table a row belongs to; marker and dataset where no name is given."""
+    name = F.concat_ws("_", "marker", "dataset")
     for (marker, dataset), text in names.items():
         here = (F.col("marker") == marker) & (F.col("dataset") == dataset)
         name = F.when(here, text).otherwise(name)

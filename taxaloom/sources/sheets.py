@@ -9,16 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxaloom import model
-from taxaloom.functions import numbers
-from taxaloom.operators import cohort, naming
-from taxaloom.operators.reshape import melt
+from taxaloom.functions import numbers, text
+from taxaloom.operators import cohort, naming, quality
+from taxaloom.operators.reshape import melt_array
 from taxaloom.plans.prepare import Study
 from taxaloom.sources.ordinals import with_row_number
 
 
 @dataclass(frozen=True)
 class AbundanceSheet:
-    """A wide count sheet: its rows with counts in s1, s2, .. and the names of those columns."""
+    """A wide count sheet: otu, otu_pos, header, counts (an array) and the names of the counted columns."""
 
     marker: str
     rows: DataFrame
@@ -32,19 +32,20 @@ class AbundanceSheet:
             named, "marker string, sample_pos int, sample string"
         )
 
+    @property
+    def wide(self) -> DataFrame:
+        """One row per OTU with all its counts."""
+        marker = F.lit(self.marker).alias("marker")
+        return self.rows.select(marker, "otu", "otu_pos", "header", "counts")
+
     @property
     def cells(self) -> DataFrame:
-        """One row per OTU and sample column, headers kept beside the counts."""
-        counts = [f"s{i}" for i in range(1, len(self.titles) + 1)]
-        long = melt(self.rows, ["otu", "otu_pos", "header"], counts)
-        return long.select(
-            F.lit(self.marker).alias("marker"),
-            "otu",
-            "otu_pos",
-            "header",
-            "sample_pos",
-            numbers.whole_count(F.col("reads")).alias("reads"),
-        )
+        """One row per OTU and sample column. Header, genus and species are made once per OTU."""
+        header = F.col("header")
+        named = self.rows.withColumns({"genus": text.genus(header), "species": text.species(header)})
+        ids = ["otu", "otu_pos", "header", "genus", "species"]
+        long = melt_array(named, ids, F.col("counts"))
+        return long.select(F.lit(self.marker).alias("marker"), *ids, "sample_pos", "reads")
 
     @property
     def otus(self) -> DataFrame:
@@ -63,36 +64,45 @@ def read_abundance_sheet(
     marker: str,
     fmt: str = "csv",
     first: int = model.FIRST_SAMPLE_COLUMN,
-    last: int = model.LAST_SAMPLE_COLUMN,
+    last: int | None = None,
     ordinal: str | None = None,
+    landing: str | None = None,
+    otu_type: str = "long",
 ) -> AbundanceSheet:
     """A count sheet whose sample columns stand at positions first..last, counted from 1.
 
-    ``ordinal`` names a column that numbers the rows, which saves a pass over CSV. Without it, rows are
-    numbered as they stand in the files.
+    Without ``last`` all columns from ``first`` on are samples. A range that the sheet does not have is
+    refused. ``ordinal`` names a column that numbers the rows. Without it rows are numbered as they
+    stand in the files, for which a CSV is written once to the folder ``landing``. ``otu_type`` is
+    ``long`` or ``string``.
     """
     scan = _scan(spark, path, fmt)
-    titles = scan.columns[first - 1 : last]
-    kept = [
-        numbers.whole_count(F.col("OTU")).alias("otu"),
-        "header",
-        *[F.col(f"`{t}`").alias(f"s{i}") for i, t in enumerate(titles, start=1)],
-    ]
-    if ordinal is None:
-        rows = with_row_number(scan.select(*kept), "otu_pos", fmt)
-    else:
-        rows = scan.select(*kept, F.col(f"`{ordinal}`").cast("long").alias("otu_pos"))
+    end = len(scan.columns) if last is None else last
+    if not 1 <= first <= end <= len(scan.columns):
+        raise ValueError(f"sample columns {first}..{end} asked for, the sheet has {len(scan.columns)} columns")
+    titles = [t for t in scan.columns[first - 1 : end] if t != ordinal]
+    otu = F.col("OTU")
+    counts = F.array(*[numbers.whole_count(F.col(f"`{t}`")) for t in titles]).alias("counts")
+    kept = [(numbers.whole_id(otu) if otu_type == "long" else otu.cast("string")).alias("otu"), "header"]
+    if ordinal is not None:
+        position = F.col(f"`{ordinal}`").cast("long").alias("otu_pos")
+        return AbundanceSheet(marker, scan.select(*kept, position, counts), titles)
+    rows = with_row_number(scan.select(*kept, counts), "otu_pos", fmt, landing=landing)
     return AbundanceSheet(marker, rows, titles)
 
 
-def read_sample_sheet(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_sample_sheet(
+    spark: SparkSession, path: str, fmt: str = "csv", landing: str | None = None
+) -> DataFrame:
     """pos, site, diseased, sample from the first three columns, whatever they are called."""
     scan = _scan(spark, path, fmt)
+    if len(scan.columns) < 3:
+        raise ValueError(f"a sample sheet has three columns, this one {len(scan.columns)}")
     kept = [
         F.col(f"`{c}`").cast("string").alias(name)
         for c, name in zip(scan.columns, ("site", "diseased", "sample"))
     ]
-    return with_row_number(scan.select(*kept), "pos", fmt)
+    return with_row_number(scan.select(*kept), "pos", fmt, landing=landing)
 
 
 def read_genus_lookup(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -107,7 +117,13 @@ def study_from_sheets(
     genus_info: DataFrame,
     appended: Sequence[str] = (),
 ) -> Study:
-    """A study of two sheets: one named by the sample sheet's row order, one by its own headers."""
+    """A study of two sheets: one named by the sample sheet's row order, one by its own headers.
+
+    The sample sheet must have as many rows as the first sheet has sample columns, since its rows name them.
+    """
+    quality.require_as_many(
+        sample_sheet.count(), len(by_position.titles), f"sample sheet and columns of {by_position.marker}"
+    )
     names = naming.names_by_position(sample_sheet, by_position.marker).unionByName(
         naming.own_names(by_own_names.headers)
     )
@@ -119,4 +135,5 @@ def study_from_sheets(
         names=names,
         samples=cohort.sample_dimension(sample_sheet, appended),
         genus_info=genus_info,
+        rows=by_position.wide.unionByName(by_own_names.wide),
     )

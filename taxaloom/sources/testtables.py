@@ -7,7 +7,9 @@ ITS2.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxaloom import model
@@ -27,9 +29,7 @@ SCHEMAS = {
 }
 
 # Fixed values of the mapping.
-SEGMENTS = "array('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY')"
 APPENDED_SAMPLES = ("PCR_neg_5",)
-SAMPLE_COUNT = 125
 SHEET_NAME = """
     CASE WHEN pos % 31 = 0 THEN concat('PCR_neg_', pos DIV 31)
          WHEN pos % 29 = 0 THEN concat('Ex_con_', pos)
@@ -43,19 +43,45 @@ OWN_NAME = """
          ELSE concat('n', k, '.', i, '  (07.11)') END"""
 DISEASED = "CASE WHEN pos % 7 = 0 THEN NULL WHEN (k + i) % 2 = 0 THEN '0' ELSE '1' END"
 GENUS = "concat(p_brand, '-', p_size)"
-DESCRIPTION = "element_at(array('fungus', 'coral', 'sponge', 'anemone'), p_size % 4 + 1)"
+# The fifth kind has no description, the sixth one that no list names.
+DESCRIPTION = """
+    CASE WHEN p_size % 11 = 0 THEN NULL WHEN p_size % 13 = 0 THEN 'alga'
+         ELSE element_at(array('fungus', 'coral', 'sponge', 'anemone'), p_size % 4 + 1) END"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=8)
+def segments(spark: SparkSession, sf_dir: str) -> tuple[str, ...]:
+    """The market segments in order of name: what a sample column's number is counted in."""
+    found = table(spark, sf_dir, "customer").select("c_mktsegment").distinct().dropna().collect()
+    return tuple(sorted(r[0] for r in found))
+
+
+@lru_cache(maxsize=8)
+def sample_count(spark: SparkSession, sf_dir: str) -> int:
+    """Sample columns of a sheet: one per nation key and segment."""
+    nations = table(spark, sf_dir, "nation").agg(F.max("n_nationkey") + 1).first()[0]
+    return nations * len(segments(spark, sf_dir))
+
+
+def _segment_array(spark: SparkSession, sf_dir: str) -> Column:
+    return F.array(*[F.lit(s) for s in segments(spark, sf_dir)])
+
+
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nation k, segment number i and pos of each sample."""
+    n = len(segments(spark, sf_dir))
     return (
         table(spark, sf_dir, "nation")
-        .selectExpr("n_nationkey AS k", "n_regionkey", f"posexplode({SEGMENTS}) AS (i, segment)")
-        .selectExpr("k", "i", "n_regionkey", "CAST(k * 5 + i + 1 AS BIGINT) AS pos")
+        .select(
+            F.col("n_nationkey").alias("k"),
+            "n_regionkey",
+            F.posexplode(_segment_array(spark, sf_dir)).alias("i", "segment"),
+        )
+        .selectExpr("k", "i", "n_regionkey", f"CAST(k * {n} + i + 1 AS BIGINT) AS pos")
     )
 
 
@@ -96,9 +122,10 @@ def genus_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The non-zero cells of both sheets."""
-    customers = table(spark, sf_dir, "customer").selectExpr(
-        "c_custkey AS o_custkey",
-        f"CAST(c_nationkey * 5 + array_position({SEGMENTS}, c_mktsegment) AS INT) AS sample_pos",
+    number = F.array_position(_segment_array(spark, sf_dir), F.col("c_mktsegment"))
+    place = F.col("c_nationkey") * len(segments(spark, sf_dir)) + number
+    customers = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), place.cast("int").alias("sample_pos")
     )
     placed = (
         table(spark, sf_dir, "orders")
@@ -131,22 +158,23 @@ def study(spark: SparkSession, sf_dir: str) -> Study:
     )
 
 
-def write_sheets(spark: SparkSession, sf_dir: str, path: str) -> None:
-    """Writes the study as the CSV sheets a user would export: wide counts, samples, genera.
+def write_sheets(spark: SparkSession, sf_dir: str, path: str, fmt: str = "csv") -> None:
+    """Writes the study as the sheets a user would export, CSV or Parquet: wide counts, samples, genera.
 
     Rows stand in order of OTU, spread over range-partitioned files. Attributes take the first 27
     columns of a count sheet. ITS1 columns carry names of no meaning, since position names them.
     """
     own = [r["sample"] for r in own_headers(spark, sf_dir).orderBy("sample_pos").collect()]
+    columns = sample_count(spark, sf_dir)
     titles = {
-        "ITS1": [f"column {p}" for p in range(1, SAMPLE_COUNT + 1)],
+        "ITS1": [f"column {p}" for p in range(1, columns + 1)],
         # A header line cannot repeat a name, so blanks get their place appended.
         "ITS2": [f"{n} at {p}" if n == "PCR neg" else n for p, n in enumerate(own, start=1)],
     }
     attributes = [F.lit(None).cast("string").alias(f"attribute {i}") for i in range(4, 28)]
     for marker, names in titles.items():
         here = cells(spark, sf_dir).filter(F.col("marker") == marker)
-        wide = widen(here, ["otu"], range(1, SAMPLE_COUNT + 1))
+        wide = widen(here, ["otu"], range(1, columns + 1))
         (
             wide.join(otus(spark, sf_dir).select("otu", "header"), "otu")
             .repartitionByRange("otu")
@@ -159,7 +187,7 @@ def write_sheets(spark: SparkSession, sf_dir: str, path: str) -> None:
                 *[F.col(str(p)).alias(n) for p, n in enumerate(names, start=1)],
             )
             .write.mode("overwrite")
-            .csv(f"{path}/{marker}", header=True)
+            .save(f"{path}/{marker}", format=fmt, header=True)
         )
     (
         sample_sheet(spark, sf_dir)
@@ -167,18 +195,17 @@ def write_sheets(spark: SparkSession, sf_dir: str, path: str) -> None:
         .sortWithinPartitions("pos")
         .select("site", "diseased", "sample")
         .write.mode("overwrite")
-        .csv(f"{path}/samples", header=True)
+        .save(f"{path}/samples", format=fmt, header=True)
     )
-    genus_info(spark, sf_dir).write.mode("overwrite").csv(f"{path}/genera", header=True)
+    genus_info(spark, sf_dir).write.mode("overwrite").save(f"{path}/genera", format=fmt, header=True)
 
 
-def study_from_files(spark: SparkSession, path: str) -> Study:
-    """The study read back from the sheets of ``write_sheets``."""
-    last = model.FIRST_SAMPLE_COLUMN + SAMPLE_COUNT - 1
+def study_from_files(spark: SparkSession, path: str, fmt: str = "csv") -> Study:
+    """The study read back from the sheets of ``write_sheets``. CSV is landed beside them."""
     return sheets.study_from_sheets(
-        sheets.read_abundance_sheet(spark, f"{path}/ITS1", "ITS1", last=last),
-        sheets.read_abundance_sheet(spark, f"{path}/ITS2", "ITS2", last=last),
-        sheets.read_sample_sheet(spark, f"{path}/samples"),
-        sheets.read_genus_lookup(spark, f"{path}/genera"),
+        sheets.read_abundance_sheet(spark, f"{path}/ITS1", "ITS1", fmt, landing=f"{path}/landed/ITS1"),
+        sheets.read_abundance_sheet(spark, f"{path}/ITS2", "ITS2", fmt, landing=f"{path}/landed/ITS2"),
+        sheets.read_sample_sheet(spark, f"{path}/samples", fmt, landing=f"{path}/landed/samples"),
+        sheets.read_genus_lookup(spark, f"{path}/genera", fmt),
         APPENDED_SAMPLES,
     )
