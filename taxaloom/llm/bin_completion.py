@@ -18,6 +18,7 @@ any; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ from taxaloom.llm.common import batch_rows, stored
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 SEPARATOR = 0
-WORDS_KEPT = 300_000
+WORDS_KEPT = 1_000_000
 SEARCH_STEPS = 20_000  # fillings tried beyond the first descent
 ENUMERATED = 400  # nodes looked at while enumerating fillings of one sequence
 OPTIONS = 4  # fillings kept per sequence
@@ -53,10 +54,20 @@ class WordIds(dict):
     """Token ids of words as little-endian 32-bit numbers.
 
     The vocabulary's pre-tokeniser always splits at white space, so a text's ids are those of its words in
-    order, and a word is encoded once.
+    order, and a word is encoded once. A Python worker keeps its words from task to task.
     """
 
+    kept: dict[str, WordIds] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordIds:
+        if path not in cls.kept:
+            cls.kept[path] = cls(path)
+        return cls.kept[path]
+
     def __init__(self, path: str):
+        # Spark runs a worker per core; threads of their own would only compete.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -64,7 +75,7 @@ class WordIds(dict):
 
     def learn(self, words: list[bytes]) -> None:
         """Encodes the words not seen yet, all at once."""
-        new = list({w for w in words if w not in self})
+        new = [w for w in set(words) if w not in self]
         if not new:
             return
         if len(self) > WORDS_KEPT:
@@ -83,7 +94,7 @@ def pieces(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, and part, rank: the place among its task's pieces of that length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = WordIds.of(path)
         part, counts = TaskContext.get().partitionId(), [0] * (CAPACITY + 1)
         step = 4 * CAPACITY
         for batch, (ids, text) in batch_rows(batches, "doc_id", "text"):
