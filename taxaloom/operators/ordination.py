@@ -3,13 +3,12 @@
 For a panel with the samples x OTUs matrix X the scores are U D of its singular value decomposition.
 OTUs stay distributed: a row of the matrix is one OTU with its counts in a panel, and MLlib's ``computeSVD``
 multiplies with the rows where they are, for panels of any size. What reaches the driver are vectors of
-one number per sample and component. Panels are decomposed at the same time, over one cached frame of rows.
+one number per sample and component. Panels are decomposed one after another, over one cached frame of rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -158,12 +157,9 @@ def ordinate(rows: DataFrame, sizes: dict[int, int], k: int) -> DataFrame:
     try:
         squares = F.aggregate("values", F.lit(0.0), lambda total, x: total + x * x)
         energy = {r[0]: r[1] for r in rows.groupBy("panel").agg(F.sum(squares)).collect()}
-        with ThreadPoolExecutor(max(1, len(sizes))) as pool:
-            jobs = [
-                pool.submit(_decompose, rows, number, n, k, float(energy.get(number) or 0.0))
-                for number, n in sorted(sizes.items())
-            ]
-            found = [job.result() for job in jobs]
+        found = [
+            _decompose(rows, number, n, k, float(energy.get(number) or 0.0)) for number, n in sorted(sizes.items())
+        ]
     finally:
         rows.unpersist()
     table = pd.concat(found) if found else pd.DataFrame()

@@ -3,8 +3,9 @@ from __future__ import annotations
 import pytest
 
 from study_fixture import make_study, rows
-from taxaloom.operators import ordination
+from taxaloom.operators import genera
 from taxaloom.plans import overview, pca, prepare, report
+from taxaloom.plans.prepare import Study
 from taxaloom.sinks.landing import land
 from taxaloom.sources.landed import study_from_tables
 
@@ -28,15 +29,24 @@ def test_results_are_those_of_the_source(spark, landed):
     assert rows(pca.pca_selected(landed, 1).scores) == rows(pca.pca_selected(study, 1).scores)
 
 
-def test_matrix_rows_are_built_without_a_shuffle(spark, landed):
-    cells = ordination.panel_cells(landed.cells, landed.panel)
-    grams = ordination.gram(cells, landed.panel, {1: 2, 2: 3, 3: 2, 4: 1})
-    plan = grams._jdf.queryExecution().executedPlan().toString()
-    below = plan[plan.index("MapInArrow") : plan.index("FileScan")]
-    assert "Exchange hashpartitioning" not in below
+@pytest.mark.parametrize("listed", [False, True])
+def test_matrix_rows_are_built_without_a_shuffle(spark, landed, listed):
+    chosen = genera.included_genera(landed.genus_info) if listed else None
+    plan = pca.matrix_rows(landed, chosen)._jdf.queryExecution().executedPlan().toString()
+    below = plan[: plan.index("FileScan")]
+    assert "Exchange hashpartitioning" not in below and "SortMergeJoin" not in plan
     assert "Bucketed: true" in plan
 
 
+def test_a_repeated_otu_is_refused(spark, tmp_path):
+    study = make_study(spark)
+    twice = Study(study.cells, study.otus.union(study.otus.filter("otu = 10")), study.names, study.samples, study.genus_info)
+    with pytest.raises(ValueError, match="repeated OTUs"):
+        overview.overview_by_otu(twice)
+    with pytest.raises(ValueError, match="repeated OTUs"):
+        land(twice, "twice", str(tmp_path / "t"), buckets=2)
+
+
 def test_filters_and_columns_reach_the_scan(spark, landed):
     plan = overview.presence_by(landed, "genus")._jdf.queryExecution().executedPlan().toString()
     scan = next(line for line in plan.splitlines() if "FileScan parquet" in line and "small_cells" in line)

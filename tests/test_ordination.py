@@ -8,6 +8,7 @@ from study_fixture import make_study, rows
 from taxaloom import model
 from taxaloom.operators import ordination
 from taxaloom.plans import pca
+from taxaloom.plans.prepare import Study
 
 PANEL = "panel int, marker string, sample_pos int, sample_idx int"
 
@@ -23,6 +24,23 @@ def _data(spark, n_samples, n_otus, seed, panel=1, marker="ITS1", density=0.3):
     return matrix.astype(float), cells, spark.createDataFrame(columns, PANEL)
 
 
+def _ordinate(cells, panel, k):
+    sizes = ordination.panel_sizes(panel)
+    return ordination.ordinate(ordination.rows_of_cells(cells, panel, sizes), sizes, k)
+
+
+def _ordinate_wide(cells, panel, k):
+    """The same from wide rows."""
+    n = panel.agg(F.max("sample_pos")).first()[0]
+    entry = F.map_from_entries(F.collect_list(F.struct("sample_pos", "reads")))
+    counts = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.col("found")[i])
+    rows = cells.filter("reads IS NOT NULL").groupBy("marker", "otu_pos").agg(entry.alias("found"))
+    rows = rows.select("marker", "otu_pos", counts.alias("counts"))
+    return ordination.ordinate(
+        ordination.rows_of_sheets(rows, ordination.layout(panel)), ordination.panel_sizes(panel), k
+    )
+
+
 def _matrix_of(scores, panel=1):
     found = scores.filter(F.col("panel") == panel).collect()
     k = max(r["component"] for r in found)
@@ -42,11 +60,11 @@ def _expected(matrix, k):
     return d[:k], scores[:, :k]
 
 
-@pytest.mark.parametrize("max_gram_samples", [1024, 0], ids=["dense", "iterative"])
+@pytest.mark.parametrize("run", [_ordinate, _ordinate_wide])
 @pytest.mark.parametrize("n_samples, n_otus", [(12, 60), (130, 300)])
-def test_scores_equal_a_local_decomposition(spark, n_samples, n_otus, max_gram_samples):
+def test_scores_equal_a_local_decomposition(spark, n_samples, n_otus, run):
     matrix, cells, panel = _data(spark, n_samples, n_otus, seed=n_otus)
-    scores = ordination.ordinate(cells, panel, 3, max_gram_samples)
+    scores = run(cells, panel, 3)
     d, x = _matrix_of(scores)
     expected_d, expected_x = _expected(matrix, 3)
     assert np.allclose(d, expected_d, rtol=1e-8)
@@ -59,7 +77,7 @@ def test_it_is_not_centred(spark):
         [("ITS1", 1, 1, 1), ("ITS1", 2, 2, 2)], "marker string, otu_pos long, sample_pos int, reads long"
     )
     panel = spark.createDataFrame([(1, "ITS1", 1, 0), (1, "ITS1", 2, 1)], PANEL)
-    variances = ordination.variances(ordination.ordinate(cells, panel))
+    variances = ordination.variances(_ordinate(cells, panel, 2))
     found = variances.orderBy("component").collect()
     assert [r["singular_value"] for r in found] == pytest.approx([2, 1])
     assert [r["variance"] for r in found] == pytest.approx([4, 1])
@@ -67,14 +85,14 @@ def test_it_is_not_centred(spark):
     assert [r["cum_share"] for r in found] == pytest.approx([0.8, 1.0])
 
 
-@pytest.mark.parametrize("max_gram_samples", [1024, 0], ids=["dense", "iterative"])
-def test_a_sample_without_reads_and_a_panel_without_reads(spark, max_gram_samples):
+@pytest.mark.parametrize("run", [_ordinate, _ordinate_wide])
+def test_a_sample_without_reads_and_a_panel_without_reads(spark, run):
     cells = spark.createDataFrame(
         [("ITS1", 1, 1, 3), ("ITS1", 2, 2, 4), ("ITS1", 2, 3, None)],
         "marker string, otu_pos long, sample_pos int, reads long",
     )
     columns = [(1, "ITS1", s, s - 1) for s in (1, 2, 3)] + [(2, "ITS2", s, s - 1) for s in (1, 2)]
-    scores = ordination.ordinate(cells, spark.createDataFrame(columns, PANEL), 2, max_gram_samples)
+    scores = run(cells, spark.createDataFrame(columns, PANEL), 2)
     d, x = _matrix_of(scores)
     assert d == pytest.approx([4, 3])
     assert np.allclose(x, [[0, 3], [4, 0], [0, 0]])
@@ -88,25 +106,35 @@ def test_a_repeated_otu_id_stays_two_columns(spark):
     study = make_study(spark)
     cells = study.cells.withColumn("otu", F.lit(1))
     assert rows(pca.pca_all(study, 2).scores) == rows(
-        ordination.ordinate(cells, study.panel, 2)
+        _ordinate(cells, study.panel, 2)
     )
 
 
 def test_more_components_than_samples(spark):
     _, cells, panel = _data(spark, 3, 10, seed=4, density=0.9)
-    assert ordination.ordinate(cells, panel, 9).count() == 9
-    assert ordination.ordinate(cells, panel, 9, max_gram_samples=0).count() == 9
+    assert _ordinate(cells, panel, 9).count() == 9
 
 
-def test_large_panels_need_k(spark):
-    _, cells, panel = _data(spark, 3, 10, seed=4)
-    with pytest.raises(ValueError):
-        ordination.ordinate(cells, panel, max_gram_samples=2)
+def test_a_panel_of_more_than_a_thousand_samples(spark):
+    matrix, cells, panel = _data(spark, 1100, 60, seed=5, density=0.05)
+    d, x = _matrix_of(_ordinate_wide(cells, panel, 2))
+    expected_d, expected_x = _expected(matrix, 2)
+    assert np.allclose(d, expected_d, rtol=1e-6)
+    assert np.allclose(x, expected_x, atol=1e-4 * expected_d[0])
+
+
+def test_a_row_counts_by_its_own_genus(spark):
+    study = make_study(spark)
+    counts = [("ITS1", 1, 1, "Fungus x", [0, 0, 0]), ("ITS1", 1, 2, "Coral y", [9, 9, 9])]
+    wide = spark.createDataFrame(counts, "marker string, otu long, otu_pos long, header string, counts array<long>")
+    genera = spark.createDataFrame([("Fungus", "fungus"), ("Coral", "coral")], "genus string, description string")
+    twice = Study(study.cells, study.otus, study.names, study.samples, genera, wide)
+    assert pca.pca_selected(twice, 1).scores.agg(F.max("energy")).first()[0] == 0
 
 
 def test_all_components_carry_all_energy(spark):
     matrix, cells, panel = _data(spark, 20, 80, seed=9)
-    d, x = _matrix_of(ordination.ordinate(cells, panel))
+    d, x = _matrix_of(_ordinate(cells, panel, 20))
     assert np.isclose((d**2).sum(), (matrix**2).sum())
     assert np.allclose(x @ x.T, matrix @ matrix.T)
     off = x.T @ x
@@ -114,10 +142,10 @@ def test_all_components_carry_all_energy(spark):
     assert (np.diff(d) <= 1e-9).all()
 
 
-def test_panels_of_both_sizes_together(spark):
+def test_panels_of_different_sizes_together(spark):
     first, cells_1, panel_1 = _data(spark, 5, 40, seed=1, density=0.9)
     second, cells_2, panel_2 = _data(spark, 9, 40, seed=2, panel=3, marker="ITS2", density=0.9)
-    scores = ordination.ordinate(cells_1.union(cells_2), panel_1.union(panel_2), 2, max_gram_samples=6)
+    scores = _ordinate(cells_1.union(cells_2), panel_1.union(panel_2), 2)
     for matrix, number in ((first, 1), (second, 3)):
         d, x = _matrix_of(scores, number)
         expected_d, expected_x = _expected(matrix, 2)

@@ -9,7 +9,7 @@ from taxaloom.functions import sizing
 from taxaloom.plans import overview
 from taxaloom.sources import testtables
 
-QUERIES = [q for q in entry_point.core_queries() if not q.startswith(("sheets", "landed", "report_files", "overview_tables"))]
+QUERIES = list(entry_point.core_queries())
 
 
 def _plan(df) -> str:

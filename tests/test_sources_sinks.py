@@ -5,6 +5,7 @@ import random
 import pytest
 
 from study_fixture import CELLS, GENERA, OTUS, OWN, SHEET, make_study, rows
+from taxaloom.operators import cohort
 from taxaloom.plans import overview, pca, prepare, report
 from taxaloom.session import shared_folder
 from taxaloom.sinks.tables import write_overviews
@@ -26,7 +27,8 @@ def small_splits(spark):
 def test_row_numbers_survive_another_split_of_the_files(spark, tmp_path):
     values = [f"{i:05d}" for i in range(2000)]
     spark.createDataFrame([(v,) for v in values], "v string").coalesce(1).write.csv(str(tmp_path / "in"))
-    numbered = with_row_number(spark.read.schema("v string").csv(str(tmp_path / "in")), "n")
+    scan = spark.read.schema("v string").csv(str(tmp_path / "in"))
+    numbered = with_row_number(scan, "n", landing=str(tmp_path / "landed"))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
     try:
@@ -49,10 +51,11 @@ def test_row_numbers_follow_file_and_line(spark, tmp_path, small_splits, fmt):
     reader = spark.read.option("header", True) if fmt == "csv" else spark.read
     scan = reader.format(fmt).load(str(tmp_path))
     assert scan.rdd.getNumPartitions() > 1
-    numbered = with_row_number(scan, "n", fmt).orderBy("n").collect()
+    landing = str(tmp_path.parent / f"{tmp_path.name}-landed")
+    numbered = with_row_number(scan, "n", fmt, landing=landing).orderBy("n").collect()
     assert [r["n"] for r in numbered] == list(range(1, len(values) + 1))
     assert [r["v"] for r in numbered] == values
-    per_part = with_row_number(scan, "n", fmt, per=["p"]).orderBy("p", "n").collect()
+    per_part = with_row_number(scan, "n", fmt, per=["p"], landing=landing).orderBy("p", "n").collect()
     assert [r["n"] for r in per_part] == [i for length in lengths for i in range(1, length + 1)]
     assert [r["v"] for r in per_part] == values
 
@@ -78,11 +81,12 @@ def files(tmp_path):
     return paths
 
 
-def test_a_study_read_from_sheets_gives_the_same_results(spark, files):
+def test_a_study_read_from_sheets_gives_the_same_results(spark, files, tmp_path):
+    here = lambda name: str(tmp_path / "landed" / name)
     read = sheets.study_from_sheets(
-        sheets.read_abundance_sheet(spark, files["ITS1"], "ITS1", first=3, last=8),
-        sheets.read_abundance_sheet(spark, files["ITS2"], "ITS2", first=3, last=8),
-        sheets.read_sample_sheet(spark, files["samples"]),
+        sheets.read_abundance_sheet(spark, files["ITS1"], "ITS1", first=3, last=8, landing=here("its1")),
+        sheets.read_abundance_sheet(spark, files["ITS2"], "ITS2", first=3, landing=here("its2")),
+        sheets.read_sample_sheet(spark, files["samples"], landing=here("samples")),
         sheets.read_genus_lookup(spark, files["genera"]),
         appended=["PCR_neg_2"],
     )
@@ -103,8 +107,8 @@ def test_a_sheet_with_its_own_row_numbers(spark, tmp_path):
     path = _write(tmp_path / "s.csv", [["OTU", "header", "row", "a"], [7, "x", 2, 5], [8, "y", 1, ""]])
     sheet = sheets.read_abundance_sheet(spark, path, "ITS1", first=4, last=4, ordinal="row")
     assert rows(sheet.cells) == [
-        ("ITS1", 7, 2, "x", 1, 5),
-        ("ITS1", 8, 1, "y", 1, None),
+        ("ITS1", 7, 2, "x", "x", None, 1, 5),
+        ("ITS1", 8, 1, "y", "y", None, 1, None),
     ]
 
 
@@ -137,3 +141,58 @@ def test_shared_folder_is_the_one_the_cluster_names(spark):
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     first, second = shared_folder(spark, "x"), shared_folder(spark, "x")
     assert first.startswith(f"{root}/x-") and first != second
+
+
+def test_part_files_follow_each_other_by_number(spark, tmp_path):
+    for number in (99999, 100000, 2):
+        spark.createDataFrame([(number,)], "v long").coalesce(1).write.parquet(str(tmp_path / "one" / str(number)))
+        source = next((tmp_path / "one" / str(number)).glob("part-*.parquet"))
+        target = tmp_path / "in" / f"part-{number:05d}-x.parquet"
+        target.parent.mkdir(exist_ok=True)
+        target.write_bytes(source.read_bytes())
+    numbered = with_row_number(spark.read.parquet(str(tmp_path / "in")), "n", "parquet").orderBy("n").collect()
+    assert [r["v"] for r in numbered] == [2, 99999, 100000]
+
+
+def test_text_without_landing_folder_or_ordinal_is_refused(spark, tmp_path):
+    path = _write(tmp_path / "s.csv", [["OTU", "header", "a"], [7, "x", 5]])
+    with pytest.raises(ValueError, match="landing"):
+        sheets.read_abundance_sheet(spark, path, "ITS1", first=3)
+
+
+def test_all_columns_count_and_absent_ones_are_refused(spark, tmp_path):
+    columns = [f"s{i}" for i in range(200)]
+    frame = spark.createDataFrame([(1, "h", *[1] * 200)], ["OTU", "header", *columns])
+    frame.write.parquet(str(tmp_path / "wide"))
+    sheet = sheets.read_abundance_sheet(spark, str(tmp_path / "wide"), "ITS1", "parquet", first=3)
+    assert sheet.cells.agg({"reads": "sum"}).first()[0] == 200
+    for first, last in ((3, 203), (204, None), (0, 5)):
+        with pytest.raises(ValueError, match="columns"):
+            sheets.read_abundance_sheet(spark, str(tmp_path / "wide"), "ITS1", "parquet", first=first, last=last)
+
+
+def test_names_and_columns_must_agree(spark, files, tmp_path):
+    here = lambda name: str(tmp_path / "landed" / name)
+    with pytest.raises(ValueError, match="6 names for 4 columns"):
+        sheets.study_from_sheets(
+            sheets.read_abundance_sheet(spark, files["ITS1"], "ITS1", first=3, last=6, landing=here("its1")),
+            sheets.read_abundance_sheet(spark, files["ITS2"], "ITS2", first=3, landing=here("its2")),
+            sheets.read_sample_sheet(spark, files["samples"], landing=here("samples")),
+            sheets.read_genus_lookup(spark, files["genera"]),
+        )
+
+
+def test_ids_stay_whole_or_text(spark, tmp_path):
+    path = _write(tmp_path / "s.csv", [["OTU", "header", "row", "a"], [2**53 + 1, "x", 1, 2**53 + 1], [2**53, "y", 2, 1]])
+    sheet = sheets.read_abundance_sheet(spark, path, "ITS1", first=4, ordinal="row")
+    assert rows(sheet.cells, "otu", "reads") == [(2**53, 1), (2**53 + 1, 2**53 + 1)]
+    path = _write(tmp_path / "t.csv", [["OTU", "header", "row", "a"], ["OTU_12", "x", 1, 5]])
+    sheet = sheets.read_abundance_sheet(spark, path, "ITS1", first=4, ordinal="row", otu_type="string")
+    assert rows(sheet.cells, "otu", "reads") == [("OTU_12", 5)]
+
+
+@pytest.mark.parametrize("code", ["sick", "0.7", "2"])
+def test_unknown_status_codes_are_refused(spark, code):
+    sheet = spark.createDataFrame([(1, "s", code, "a")], "pos long, site string, diseased string, sample string")
+    with pytest.raises(Exception, match=f"unknown status code: {code}"):
+        cohort.sample_dimension(sheet).collect()
