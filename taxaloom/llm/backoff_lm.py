@@ -42,6 +42,7 @@ from taxaloom.llm.common import Blocks, mix, stored, texts
 
 ORDER = 3
 MIN_COUNT = 2
+BLOCK_BYTES = 6 * 1024 * 1024  # of text; a block's automaton takes about sixty times that
 FOLDS, HELD_OUT = 7, 2
 BASE = np.uint64(0x9E3779B97F4A7C15)
 START, END = (xxhash.xxh3_64_intdigest(x, seed=1) for x in (b"start of text", b"end of text"))
@@ -62,7 +63,7 @@ class Sums:
             self.by_kind[kind][bucket] = (np.frombuffer(totals, np.int64), np.frombuffer(first, bool))
 
     def of(self, kind: str, keys: np.ndarray, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
-        """Totals and the first-asked marks of sorted keys, as they were asked for."""
+        """Totals and the first-asked marks of keys, in the order in which they were asked for."""
         totals = np.zeros((len(keys), width), np.int64)
         first = np.zeros(len(keys), bool)
         for bucket, at in split(keys, self.buckets):
@@ -102,7 +103,11 @@ class Block:
         self.weight = in_train.astype(np.float64)
         word_hash = np.array([END if w is None else xxhash.xxh3_64_intdigest(w) for w in number], np.uint64)
         self.hash = word_hash[self.token]
-        self.order: dict[int, tuple] = {}
+        order = np.argsort(word_hash)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        # Per order: distinct keys, sorted, and the place of each position's n-gram there or NONE.
+        self.order: dict[int, tuple] = {1: (word_hash[order], rank[self.token])}
 
     def before(self, values: np.ndarray, at_start) -> np.ndarray:
         """The value one position to the left; at_start at the first token of a text."""
@@ -131,10 +136,8 @@ class Grams:
     def __init__(self, block: Block, sums: Sums, orders: int):
         self.block, self.total, self.first, self.kept = block, {}, {}, {}
         self.key = {1: block.hash}
-        everywhere = np.ones(len(block.hash), bool)
-        self.where = {1: everywhere}  # positions whose n-gram can reach the threshold
+        self.where = {1: np.ones(len(block.hash), bool)}  # positions whose n-gram can reach the threshold
         self.follows: dict[int, np.ndarray] = {}  # positions whose context can
-        block.unique(1, block.hash, everywhere)
         for n in range(1, orders + 1):
             if n > 1:
                 self.extend(n)
@@ -159,20 +162,23 @@ class Grams:
         self.where[n] = enough & self.follows[n]
         block.unique(n, self.key[n], self.where[n])
 
-    def context_key(self, n: int) -> np.ndarray:
-        """The key of the context of each position's n-gram."""
-        return self.block.before(self.key[n - 1], np.uint64(START) if n == 2 else np.uint64(0))
-
     def context_request(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct contexts of order-n positions, the place of each position's, and what this block reports on them."""
         block = self.block
+        shorter, shorter_place = block.order[n - 1]
         found, place = block.order[n]
         where, follows = self.where[n], self.follows[n]
-        keys, inverse = np.unique(self.context_key(n)[follows], return_inverse=True)
+        # A context is an n-gram of the order below, or the start of text, which stands behind them all.
+        behind = block.before(shorter_place, len(shorter) if n == 2 else NONE)
+        every = np.append(shorter, np.uint64(START))
+        used = np.zeros(len(every), bool)
+        used[behind[follows]] = True
+        number = np.cumsum(used) - 1
         of = np.full(len(where), NONE, np.int64)
-        of[follows] = inverse
+        of[follows] = number[behind[follows]]
         context = np.zeros(len(found), np.int64)
         context[place[where]] = of[where]
+        keys = every[used]
         mine = self.first[n] & (self.total[n] >= MIN_COUNT)
         sums = np.bincount(context[mine], self.total[n][mine], len(keys)).astype(np.int64)
         kinds = np.bincount(context[mine], minlength=len(keys)).astype(np.int64)
@@ -344,19 +350,15 @@ class Automaton:
         self._set_root(p1, place, after[2])
         for depth, (here, arc, prob) in enumerate(held):
             at = np.flatnonzero(arc)
-            _, one = np.unique(here[at] * self.words + place[at], return_index=True)
+            pairs, one, inverse = np.unique(here[at] * self.words + place[at], return_index=True, return_inverse=True)
             # An arc of order n leads to a state of order n + 1 if the n-gram is a context, else to the next shorter.
-            longest = min(depth + 3, ORDER)
             target = np.zeros(len(place), np.int64)
-            for n in range(2, longest + 1):
+            for n in range(2, min(depth + 3, ORDER) + 1):
                 target = np.where(after[n] > 0, after[n], target)
-            target_of: dict[int, int] = {}
-            pairs = here[at] * self.words + place[at]
-            order = np.argsort(target[at], kind="stable")
-            for k, t in zip(pairs[order].tolist(), target[at][order].tolist()):
-                target_of[k] = t  # a text's last token has no follower, so the largest is the state
-            for k, logp in zip(pairs[one].tolist(), np.log10(prob[at][one]).tolist()):
-                self.arcs[k] = (logp, target_of[k])
+            # A text's last token has no follower, so the largest number is the state.
+            state = np.zeros(len(pairs), np.int64)
+            np.maximum.at(state, inverse, target[at])
+            self.arcs.update(zip(pairs.tolist(), zip(np.log10(prob[at][one]).tolist(), state.tolist())))
 
     def _set_root(self, p1: np.ndarray, place: np.ndarray, after: np.ndarray) -> None:
         following = np.zeros(self.words, np.int64)
@@ -417,7 +419,7 @@ def _scorer(model: Model, buckets: int):
 def scores(docs: DataFrame) -> DataFrame:
     """One row per document with the columns of SCHEMA."""
     spark = docs.sparkSession
-    blocks = Blocks(docs)
+    blocks = Blocks(docs, BLOCK_BYTES)
     buckets = 2 * blocks.count
     grouped = blocks.frame.groupBy("block")
     answers = spark.createDataFrame([], _ddl(ANSWER))
