@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pytest
 
 import __spark_entry__ as entry_point
@@ -16,16 +18,22 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@lru_cache(maxsize=None)
+def _plan_of(spark, name: str) -> str:
+    """The plan of a query, built once: some write sheets or tables first."""
+    return _plan(entry_point.core_queries()[name](spark, entry_point.SMOKE_DIR))
+
+
 @pytest.mark.parametrize("name", QUERIES)
 def test_no_cross_joins_and_no_row_python(spark, name):
-    plan = _plan(entry_point.core_queries()[name](spark, entry_point.SMOKE_DIR))
+    plan = _plan_of(spark, name)
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
         assert operator not in plan
 
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_windows_are_partitioned(spark, name):
-    plan = _plan(entry_point.core_queries()[name](spark, entry_point.SMOKE_DIR))
+    plan = _plan_of(spark, name)
     lines = plan.splitlines()
     for i, line in enumerate(lines):
         if "Window [" in line:
