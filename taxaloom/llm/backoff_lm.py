@@ -10,7 +10,8 @@ contexts are states, a kept n-gram is an arc with its log-probability, and a sta
 context and costs log b(h). A text is one left-to-right traversal that carries the state and sums up weights. A text
 begins in the state of the text start; its end is a token.
 
-The model grows with the corpus, so it is never in one place. Documents are written in blocks (common.Blocks). Per order, each
+The model grows with the corpus, so it is never in one place. Documents are written once in blocks of numbered
+tokens (common.Blocks), which every later pass reads. Per order, each
 block sends its distinct n-gram hashes, sorted and packed, with its own counts to hash buckets; a bucket adds up and
 sends each block the totals of what that block asked for, in the order asked, so hashes travel one way only. A hash
 is in a bucket once per block at most, however frequent the n-gram. A third kind of sum, by context, gives the mass of the kept
@@ -82,32 +83,48 @@ def split(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
             yield b, order[edges[b] : edges[b + 1]]
 
 
+def _encode(rows: pa.Table) -> pa.Table:
+    """A block's documents as one row: ids, tokens per document, the words' sorted hashes and the tokens as places there."""
+    number: defaultdict = defaultdict(count().__next__)
+    look, end = number.__getitem__, number[None]
+    parts, sizes = [], []
+    for text in texts(rows["text"]):
+        words = text.lower().split()
+        parts += [np.fromiter(map(look, words), np.int32, len(words)), np.array([end], np.int32)]
+        sizes.append(len(words) + 1)
+    found = np.array([END if w is None else xxhash.xxh3_64_intdigest(w) for w in number], np.uint64)
+    order = np.argsort(found)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    tokens = rank[np.concatenate(parts)]
+    one = (rows["block"][0].as_py(), rows["doc_id"].to_pylist(), sizes, tokens.tobytes(), found[order].tobytes())
+    return pa.table([pa.array([x], f.type) for x, f in zip(one, ENCODED)], schema=ENCODED)
+
+
+ENCODED = pa.schema(
+    [
+        ("block", pa.int32()),
+        ("ids", pa.list_(pa.int64())),
+        ("sizes", pa.list_(pa.int64())),
+        ("tokens", pa.binary()),
+        ("words", pa.binary()),
+    ]
+)
+
+
 class Block:
     """The tokens of a block's documents as local numbers, documents one after another."""
 
-    def __init__(self, rows: pa.Table):
-        number: defaultdict = defaultdict(count().__next__)
-        look, end = number.__getitem__, number[None]
-        self.ids = rows["doc_id"].to_pylist()
-        parts, sizes = [], []
-        for text in texts(rows["text"]):
-            words = text.lower().split()
-            own = np.fromiter(map(look, words), np.int32, len(words) + 0)
-            parts += [own, np.array([end], np.int32)]
-            sizes.append(len(words) + 1)
-        self.token = np.concatenate(parts) if parts else np.empty(0, np.int32)
+    def __init__(self, row: pa.Table):
+        self.ids, sizes, tokens, words = (row[n][0].as_py() for n in ENCODED.names[1:])
         self.sizes = np.array(sizes, np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.trained = np.array([in_training(i) for i in self.ids], bool)
-        in_train = np.repeat(self.trained, self.sizes)
-        self.weight = in_train.astype(np.float64)
-        word_hash = np.array([END if w is None else xxhash.xxh3_64_intdigest(w) for w in number], np.uint64)
-        self.hash = word_hash[self.token]
-        order = np.argsort(word_hash)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        self.weight = np.repeat(self.trained, self.sizes).astype(np.float64)
+        place, found = np.frombuffer(tokens, np.int32).astype(np.int64), np.frombuffer(words, np.uint64)
+        self.hash = found[place]
         # Per order: distinct keys, sorted, and the place of each position's n-gram there or NONE.
-        self.order: dict[int, tuple] = {1: (word_hash[order], rank[self.token])}
+        self.order: dict[int, tuple] = {1: (found, place)}
 
     def before(self, values: np.ndarray, at_start) -> np.ndarray:
         """The value one position to the left; at_start at the first token of a text."""
@@ -205,6 +222,7 @@ ANSWER = pa.schema(
 
 def _ddl(schema: pa.Schema) -> str:
     names = {pa.int32(): "int", pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+    names[pa.list_(pa.int64())] = "array<long>"
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
@@ -419,7 +437,7 @@ def _scorer(model: Model, buckets: int):
 def scores(docs: DataFrame) -> DataFrame:
     """One row per document with the columns of SCHEMA."""
     spark = docs.sparkSession
-    blocks = Blocks(docs, BLOCK_BYTES)
+    blocks = Blocks(docs, BLOCK_BYTES, _encode, _ddl(ENCODED))
     buckets = 2 * blocks.count
     grouped = blocks.frame.groupBy("block")
     answers = spark.createDataFrame([], _ddl(ANSWER))

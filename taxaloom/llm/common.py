@@ -48,17 +48,19 @@ class Blocks:
     """Documents written once as a table bucketed by block.
 
     Grouping or co-grouping it by block needs no shuffle of the texts, so an operator can pass over
-    them several times. ``drop`` takes the table out of the catalog.
+    them several times. ``drop`` takes the table out of the catalog. With ``encode`` and its schema (which
+    has block) the table holds what encode makes of each block instead.
     """
 
-    def __init__(self, docs: DataFrame, block_bytes: int = BLOCK_BYTES):
+    def __init__(self, docs: DataFrame, block_bytes: int = BLOCK_BYTES, encode=None, schema: str = ""):
         spark = docs.sparkSession
         self.count = block_count(docs, block_bytes)
         self.name = f"llm_blocks_{uuid.uuid4().hex}"
+        rows = with_block(docs, self.count).repartition(self.count, "block")
+        if encode is not None:
+            rows = rows.groupBy("block").applyInArrow(encode, schema)
         (
-            with_block(docs, self.count)
-            .repartition(self.count, "block")
-            .write.bucketBy(self.count, "block")
+            rows.write.bucketBy(self.count, "block")
             .option("path", shared_folder(spark, "blocks"))
             .option("compression", "zstd")
             .saveAsTable(self.name)
