@@ -385,16 +385,18 @@ class Automaton:
 
     def score(self, tokens: list[int]) -> float:
         """The log10 probability of a text, token by token from its start."""
-        arcs, root, fail, back, words = self.arcs, self.root, self.fail, self.back, self.words
+        arc_of, root, fail, back, words = self.arcs.get, self.root, self.fail, self.back, self.words
         total, state = 0.0, self.start
         for token in tokens:
-            arc = arcs.get(state * words + token) if state else root[token]
-            while arc is None:
+            while state:
+                if arc := arc_of(state * words + token):
+                    break
                 total += back[state]
                 state = fail[state]
-                arc = arcs.get(state * words + token) if state else root[token]
-            total += arc[0]
-            state = arc[1]
+            else:
+                arc = root[token]
+            weight, state = arc
+            total += weight
         return total
 
 
