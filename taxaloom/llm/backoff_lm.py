@@ -54,6 +54,20 @@ def in_training(doc_id: int | None) -> bool:
     return crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS != HELD_OUT
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on, most of them small: a byte each, and eight more for those from 255 on."""
+    flat = numbers.astype(np.int64).ravel()
+    large = flat[flat >= 255]
+    return np.minimum(flat, 255).astype(np.uint8).tobytes() + large.tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    head = np.frombuffer(data, np.uint8, n)
+    out = head.astype(np.int64)
+    out[head == 255] = np.frombuffer(data, np.int64, offset=n)
+    return out
+
+
 class Sums:
     """Totals that came back for the keys a block asked for, by kind."""
 
@@ -61,7 +75,7 @@ class Sums:
         self.buckets = buckets
         self.by_kind: dict[str, dict[int, tuple]] = defaultdict(dict)
         for kind, bucket, totals, first in zip(*(rows[c].to_pylist() for c in ("kind", "bucket", "totals", "first"))):
-            self.by_kind[kind][bucket] = (np.frombuffer(totals, np.int64), np.frombuffer(first, bool))
+            self.by_kind[kind][bucket] = (totals, first)
 
     def of(self, kind: str, keys: np.ndarray, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """Totals and the first-asked marks of keys, in the order in which they were asked for."""
@@ -69,7 +83,8 @@ class Sums:
         first = np.zeros(len(keys), bool)
         for bucket, at in split(keys, self.buckets):
             t, f = self.by_kind[kind][bucket]
-            totals[at], first[at] = t.reshape(-1, width), f
+            totals[at] = unpacked(t, width * len(at)).reshape(-1, width)
+            first[at] = np.unpackbits(np.frombuffer(f, np.uint8), count=len(at))
         return totals, first
 
 
@@ -228,7 +243,7 @@ def _ddl(schema: pa.Schema) -> str:
 
 def _requests(number: int, kind: str, keys: np.ndarray, values: np.ndarray, buckets: int) -> Iterator[tuple]:
     for bucket, at in split(keys, buckets):
-        yield number, kind, bucket, keys[at].tobytes(), values[at].astype(np.int64).tobytes()
+        yield number, kind, bucket, keys[at].tobytes(), packed(values[at])
 
 
 def _add_up(rows: pa.Table) -> pa.Table:
@@ -236,7 +251,8 @@ def _add_up(rows: pa.Table) -> pa.Table:
     rows = rows.sort_by("block")
     block, kind, bucket, keys, values = (rows[c].to_pylist() for c in REQUEST.names)
     keys = [np.frombuffer(k, np.uint64) for k in keys]
-    values = [np.frombuffer(v, np.int64).reshape(len(k), -1) for k, v in zip(keys, values)]
+    width = 2 if kind[0].startswith("c") else 1
+    values = [unpacked(v, width * len(k)).reshape(-1, width) for k, v in zip(keys, values)]
     found, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     joined = np.concatenate(values)
     total = np.stack([np.bincount(inverse, c, len(found)) for c in joined.T], axis=1).astype(np.int64)
@@ -249,7 +265,7 @@ def _add_up(rows: pa.Table) -> pa.Table:
     for i, end in enumerate(ends):
         at = slice(end - len(keys[i]), end)
         told = stats if i == 0 else [0] * 4
-        out.append((block[i], kind[i], bucket[i], total[inverse[at]].tobytes(), mark[at].tobytes(), *told))
+        out.append((block[i], kind[i], bucket[i], packed(total[inverse[at]]), np.packbits(mark[at]).tobytes(), *told))
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), ANSWER)], schema=ANSWER)
 
 
