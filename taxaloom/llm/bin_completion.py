@@ -35,7 +35,7 @@ from taxaloom.llm.common import batch_rows, stored
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 SEPARATOR = 0
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 2_000_000  # about 230 bytes each
 SEARCH_STEPS = 20_000  # fillings tried beyond the first descent
 ENUMERATED = 400  # nodes looked at while enumerating fillings of one sequence
 OPTIONS = 4  # fillings kept per sequence
