@@ -21,6 +21,7 @@ from taxaloom.llm import (
     multiset_hash,
     secret_links,
     segment_simhash,
+    shingle_groups,
     subword_quality,
     template_decontam,
     warc,
@@ -394,3 +395,33 @@ def test_stages(spark, odd, empty, monkeypatch):
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None and r["doc_id"] in (1, 2, 3, 4, 9)) == [1, 2]
     assert sum(r["doc_id"] is None for r in kept) == 2
     assert corpus_pipeline.mask_secrets(spark, odd, "none").count() == len(ROWS)
+
+
+def test_near_copies_are_verified(spark):
+    """Copies at five-word likeness 0.8 and more go, those below stay, however many bits their fingerprints differ by."""
+    words = [f"v{i * i % 9973}" for i in range(100)]
+
+    def with_changes(*places):
+        return " ".join("changed" if i in places else w for i, w in enumerate(words))
+
+    texts = [with_changes(), with_changes(50), with_changes(30, 60), with_changes(20, 40, 60, 80), PASSAGE, PASSAGE.upper()]
+    prints = [segment_simhash.fingerprint(t.encode()) for t in texts]
+    assert max((prints[0] ^ p).bit_count() for p in prints[1:3]) > 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "none").collect()) == [0, 3, 4]
+
+
+def test_groups_of_near_copies_against_all_pairs():
+    draw = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(60)]
+    sets = []
+    for _ in range(120):
+        own = [w if draw.random() > 0.03 else f"x{draw.integers(9)}" for w in base]
+        sets.append(shingle_groups.runs(" ".join(own).encode().split()))
+    label = np.arange(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            if shared / (len(sets[i]) + len(sets[j]) - shared) >= 0.8:
+                label[label == max(label[i], label[j])] = min(label[i], label[j])
+    assert np.array_equal(shingle_groups.labels(sets), label) and 1 < len(set(label)) < len(sets)
