@@ -1,12 +1,12 @@
 """Language-model scores from a weighted backoff automaton.
 
 The model is an interpolated absolute-discounting n-gram model of order 3. The unigram gives the discounted mass to
-one unknown word; n-grams of order 2 and 3 enter if they occur at least twice, as is usual for such models:
+one unknown word; every n-gram of order 2 and 3 seen in training enters, those seen once too:
 
-    p(w | h) = (c(h w) - D) / c(h)  [if c(h w) >= 2]  +  b(h) p(w | h'),   b(h) = 1 - sum over kept w of (c(h w) - D) / c(h)
+    p(w | h) = (c(h w) - D) / c(h)  [if c(h w) >= 1]  +  b(h) p(w | h'),   b(h) = 1 - sum over seen w of (c(h w) - D) / c(h)
 
-with D = n1 / (n1 + 2 n2) per order, n1 and n2 being the numbers of n-grams seen once and twice. As an automaton:
-contexts are states, a kept n-gram is an arc with its log-probability, and a state's failure arc leads to the shorter
+with D = n1 / (n1 + 2 n2) per order, n1 and n2 being the numbers of all n-grams seen once and twice. As an automaton:
+contexts are states, a seen n-gram is an arc with its log-probability, and a state's failure arc leads to the shorter
 context and costs log b(h). A text is one left-to-right traversal that carries the state and sums up weights. A text
 begins in the state of the text start; its end is a token.
 
@@ -16,8 +16,8 @@ block sends its distinct n-gram hashes, sorted and packed, with its own counts t
 sends each block the totals of what that block asked for, in the order asked, so hashes travel one way only. A hash
 is in a bucket once per block at most, however frequent the n-gram. A third kind of sum, by context, gives the mass of the kept
 n-grams of a context: the first block that asked for an n-gram reports it, so each counts once. Then every block
-builds the automaton of the n-grams it holds and runs its texts through. An n-gram can only reach the threshold if its
-shorter parts do, so later orders ask for few.
+builds the automaton of the n-grams it holds and runs its texts through. An n-gram is only asked for if its shorter parts
+were seen in training.
 
 Words and n-grams are known by 64-bit hashes.
 
@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 from taxaloom.llm.common import Blocks, mix, stored, texts
 
 ORDER = 3
-MIN_COUNT = 2
-BLOCK_BYTES = 6 * 1024 * 1024  # of text; a block's automaton takes about sixty times that
+MIN_COUNT = 1  # every n-gram seen in training is an arc and counts for the discounts
+BLOCK_BYTES = 3 * 1024 * 1024  # of text; a block's automaton holds every n-gram, so half of what it was with repeated ones only
 FOLDS, HELD_OUT = 7, 2
 BASE = np.uint64(0x9E3779B97F4A7C15)
 START, END = (xxhash.xxh3_64_intdigest(x, seed=1) for x in (b"start of text", b"end of text"))

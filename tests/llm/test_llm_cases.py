@@ -425,3 +425,39 @@ def test_groups_of_near_copies_against_all_pairs():
             if shared / (len(sets[i]) + len(sets[j]) - shared) >= 0.8:
                 label[label == max(label[i], label[j])] = min(label[i], label[j])
     assert np.array_equal(shingle_groups.labels(sets), label) and 1 < len(set(label)) < len(sets)
+
+
+def test_scores_count_every_n_gram(spark):
+    """The plain formula with all n-grams of the training texts, those seen once too."""
+    lines = ["a b c a b d", "a b c e", "f a b c", "b d f g", "a c e g h", "h a b", "c a b c e", "e g h a", "b c", "d f a b"]
+    texts = {i: lines[i % len(lines)] + f" u{i % 7}" for i in range(40)}
+    tokens = {i: [*t.split(), None] for i, t in texts.items()}
+    train = [t for i, t in tokens.items() if backoff_lm.in_training(i)]
+    counts = [Counter(), Counter(), Counter()]
+    for t in train:
+        padded = ["<s>", *t]
+        counts[0].update((w,) for w in t)
+        counts[1].update(zip(padded, padded[1:]))
+        counts[2].update(zip(padded, padded[1:], padded[2:]))
+    discount = []
+    for c in counts:
+        tally = Counter(c.values())
+        discount.append(tally[1] / (tally[1] + 2 * tally[2]) if tally[1] and tally[2] else 0.5)
+    n, v, shorter = sum(counts[0].values()), len(counts[0]), counts[0] | Counter({("<s>",): len(train)})
+
+    def p(history, w):
+        c = counts[len(history)][(*history, w)]
+        if not history:
+            return (c - discount[0]) / n if c else discount[0] * v / n
+        d, whole = discount[len(history)], (shorter if len(history) == 1 else counts[1])[history]
+        seen = [x for g, x in counts[len(history)].items() if g[:-1] == history]
+        if not seen:
+            return p(history[1:], w)
+        return (1 - sum(x - d for x in seen) / whole) * p(history[1:], w) + (max(c - d, 0) / whole if c else 0)
+
+    got = backoff_lm.scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    for r in got:
+        padded = ["<s>", *tokens[r["doc_id"]]]
+        want = sum(np.log10(p(tuple(padded[max(0, k - 2) : k]), padded[k])) for k in range(1, len(padded)))
+        assert abs(r["score"] - want) < 1e-8, r["doc_id"]
+    assert len(got) == len(texts) and not all(backoff_lm.in_training(i) for i in texts)
