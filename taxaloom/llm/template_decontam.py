@@ -4,8 +4,9 @@ A text becomes a sequence of template tokens: words in lower case without outer
 behind a number, and names (capitalised words inside a sentence) replaced by typed placeholders. Windows of five
 template tokens of documents are hash-joined with those of benchmark items, so an item whose numbers or names
 were changed still matches. A document holds an item if at least 0.8 of the item's windows occur in it
-and the slots agree: within a document, one value of the item stands for one value of the document. Windows whose
-slots break the majority's mapping do not count.
+and the slots agree: one value of the item stands for one value of the document. Windows whose slots break the
+majority's mapping do not count. The majority is asked for each occurrence by itself, that is for the windows at one
+distance between document and item and those near it, and also for the whole document; the best of these counts.
 
 Windows with fewer than two plain words say nothing and are left out on both sides, except where an item has no
 other. A text of fewer than five tokens is one window.
@@ -21,6 +22,7 @@ rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -176,20 +178,46 @@ def matches(text: bytes, index: Index, tokens: Tokens) -> list[tuple[int, int, i
         item = index.items[number]
         if len(by_hash) < MIN_COVERAGE * item.n_windows:
             continue
-        votes: dict[int, Counter] = defaultdict(Counter)
-        pairs = {h: [_slots(t, item, at, place) for at, place in where] for h, where in by_hash.items()}
-        for options in pairs.values():
-            for slots in options:
-                for theirs, ours in slots:
-                    votes[theirs][ours] += 1
-        chosen = {theirs: min(c.items(), key=lambda x: (-x[1], x[0] != theirs, x[0]))[0] for theirs, c in votes.items()}
-        good = sum(any(all(chosen[a] == b for a, b in slots) for slots in options) for options in pairs.values())
+        good, chosen = _best(t, item, by_hash)
         coverage = good / item.n_windows
         if coverage >= MIN_COVERAGE:
             found.append((item.item_id, good, item.n_windows, coverage, any(a != b for a, b in chosen.items())))
     return sorted(found)
 
 
+def _best(t: Template, item: Item, by_hash: dict[int, list[tuple[int, int]]]) -> tuple[int, dict[int, int]]:
+    """Most windows that agree on one value per slot value, and these values: of any occurrence or the whole text."""
+    hits = sorted((at - place, h, _slots(t, item, at, place)) for h, where in by_hash.items() for at, place in where)
+    shifts = [shift for shift, _, _ in hits]
+    best = _agreeing([hits])
+    # An occurrence is led by the windows at one shift; those shifted by less than the item's length add what they agree on.
+    for start in sorted(set(shifts)):
+        if best[0] >= item.n_windows:
+            break
+        low, high = bisect_left(shifts, start - len(item.values)), bisect_right(shifts, start + len(item.values))
+        if len({h for _, h, _ in hits[low:high]}) <= max(best[0], MIN_COVERAGE * item.n_windows - 1):
+            continue
+        by_distance: dict[int, list] = defaultdict(list)
+        for hit in hits[low:high]:
+            by_distance[abs(hit[0] - start)].append(hit)
+        best = max(best, _agreeing([by_distance[d] for d in sorted(by_distance)]), key=lambda x: x[0])
+    return best
+
+
+def _agreeing(tiers: list[list[tuple[int, int, list]]]) -> tuple[int, dict[int, int]]:
+    """Windows that agree with the majority's values; an earlier tier's values stand before those of later ones."""
+    chosen: dict[int, int] = {}
+    for tier in tiers:
+        votes: dict[int, Counter] = defaultdict(Counter)
+        for _, _, slots in tier:
+            if all(chosen.get(theirs, ours) == ours for theirs, ours in slots):
+                for theirs, ours in slots:
+                    votes[theirs][ours] += 1
+        for theirs, c in votes.items():
+            chosen.setdefault(theirs, min(c.items(), key=lambda x: (-x[1], x[0] != theirs, x[0]))[0])
+    return len({h for tier in tiers for _, h, slots in tier if all(chosen.get(a) == b for a, b in slots)}), chosen
+
+
 def _slots(t: Template, item: Item, at: int, place: int) -> list[tuple[int, int]]:
     """Values of the item's and the document's slots in one matched window."""
     inside = np.flatnonzero(item.slots[place : place + WINDOW])

@@ -461,3 +461,15 @@ def test_scores_count_every_n_gram(spark):
         want = sum(np.log10(p(tuple(padded[max(0, k - 2) : k]), padded[k])) for k in range(1, len(padded)))
         assert abs(r["score"] - want) < 1e-8, r["doc_id"]
     assert len(got) == len(texts) and not all(backoff_lm.in_training(i) for i in texts)
+
+
+def test_slots_are_judged_per_occurrence():
+    item = "the shop has 12 apples and 3 pears in boxes today for all"
+    index = template_decontam.index_blocks([(1, item)])[0]
+    tokens = template_decontam.Tokens()
+    noise = " ".join(["shop has 30 apples and plums too"] * 20)
+    assert template_decontam.matches(f"{noise} {item} {noise}".encode(), index, tokens)[0][3:] == (1.0, False)
+    variants = [item.replace("12", str(n)).replace("3", str(n + 7)) for n in range(40, 45)]
+    assert template_decontam.matches(" ".join(variants).encode(), index, tokens)[0][3:] == (1.0, True)
+    halves = f"{item.replace(' 3 ', ' 5 ')[:22]} {'x ' * 90} pears"
+    assert template_decontam.matches(halves.encode(), index, tokens) == []
