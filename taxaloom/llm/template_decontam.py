@@ -1,7 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 A text becomes a sequence of template tokens: words in lower case without outer punctuation, with numbers, units
-behind a number, and names (capitalised words inside a sentence) replaced by typed placeholders. Windows of five
+behind a number, and names (runs of capitalised words, one placeholder each) replaced by typed placeholders. Whether a
+capitalised word that opens a sentence is a name is left open: texts are seen both ways, each with windows of its own, and
+the better coverage counts. Windows of five
 template tokens of documents are hash-joined with those of benchmark items, so an item whose numbers or names
 were changed still matches. A document holds an item if at least 0.8 of the item's windows occur in it
 and the slots agree: one value of the item stands for one value of the document. Windows whose slots break the
@@ -50,6 +52,7 @@ UNITS = frozenset(
 )
 PLAIN, NUMBER, UNIT, CAPITAL = 0, 1, 2, 3
 SLOT_HASH = np.array([0, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x510E527FADE682D1], np.uint64)
+NAMED = np.uint64(0x9B05688C2B3E6C1F)
 TRIM = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -86,8 +89,8 @@ class Template:
     values: np.ndarray  # hashes of the words themselves
 
 
-def template(text: bytes, tokens: Tokens) -> Template:
-    """The template tokens of a text."""
+def templates(text: bytes, tokens: Tokens) -> tuple[Template, Template]:
+    """The template tokens of a text, with capitalised words that open a sentence as words and as names."""
     found = [t for t in map(tokens.__getitem__, text.split()) if t[3]]
     n = len(found)
     values = np.fromiter((t[0] for t in found), np.uint64, n)
@@ -97,8 +100,24 @@ def template(text: bytes, tokens: Tokens) -> Template:
     behind[:1], behind[1:] = PLAIN, kinds[:-1]
     starts = np.empty(n, bool)
     starts[:1], starts[1:] = True, ends[:-1]
-    slots = (kinds == NUMBER) | ((kinds == UNIT) & (behind == NUMBER)) | ((kinds == CAPITAL) & ~starts)
-    return Template(np.where(slots, SLOT_HASH[kinds], values), slots, values)
+    others = (kinds == NUMBER) | ((kinds == UNIT) & (behind == NUMBER))
+
+    def with_names(names: np.ndarray) -> Template:
+        # A name of several words is one token.
+        first = np.ones(n, bool)
+        first[1:] = ~(names[1:] & names[:-1] & ~starts[1:])
+        at = np.flatnonzero(first)
+        slots = (others | names)[at]
+        runs = np.add.reduceat(values, at) if n else values
+        return Template(np.where(slots, SLOT_HASH[kinds[at]], runs), slots, runs)
+
+    capital = kinds == CAPITAL
+    return with_names(capital & ~starts), with_names(capital)
+
+
+def marked(hashes: np.ndarray, variant: int) -> np.ndarray:
+    """Window hashes of the two ways to see names, kept apart."""
+    return hashes ^ NAMED if variant else hashes
 
 
 def windows(t: Template) -> tuple[np.ndarray, np.ndarray]:
@@ -118,6 +137,7 @@ class Item:
     values: np.ndarray
     slots: np.ndarray
     n_windows: int
+    row: int  # both ways to see an item's names have one
 
 
 @dataclass
@@ -143,13 +163,16 @@ def index_blocks(rows: list[tuple[int, str]], most: int = MAX_HELD_WINDOWS) -> l
             place = np.concatenate([p for _, _, p in held])[order]
             blocks.append(Index(hashes[order], item, place, [i for i, _, _ in held]))
 
-    for item_id, text in rows:
-        t = template(text.encode(), tokens)
-        hashes, told = windows(t)
-        kept = np.flatnonzero(told) if told.any() else np.arange(len(hashes))
-        if len(kept):
-            held.append((Item(item_id, t.values, t.slots, len(np.unique(hashes[kept]))), hashes[kept], kept))
-            size += len(kept)
+    for row, (item_id, text) in enumerate(rows):
+        for variant, t in enumerate(templates(text.encode(), tokens)):
+            hashes, told = windows(t)
+            if variant and not told.any():
+                continue  # names alone say nothing
+            kept = np.flatnonzero(told) if told.any() else np.arange(len(hashes))
+            if len(kept):
+                own = marked(hashes[kept], variant)
+                held.append((Item(item_id, t.values, t.slots, len(np.unique(own)), row), own, kept))
+                size += len(kept)
         if size >= most:
             close()
             held, size = [], 0
@@ -159,8 +182,16 @@ def index_blocks(rows: list[tuple[int, str]], most: int = MAX_HELD_WINDOWS) -> l
 
 def matches(text: bytes, index: Index, tokens: Tokens) -> list[tuple[int, int, int, float, bool]]:
     """item_id, windows found, windows of the item, coverage, whether slots were changed; of the items a text holds."""
-    t = template(text, tokens)
-    hashes, _ = windows(t)
+    best: dict[int, tuple[int, int, int, float, bool]] = {}
+    for variant, t in enumerate(templates(text, tokens)):
+        for row, match in _matches(t, variant, index):
+            if row not in best or match[3] > best[row][3]:
+                best[row] = match
+    return sorted(best.values())
+
+
+def _matches(t: Template, variant: int, index: Index) -> list[tuple[int, tuple[int, int, int, float, bool]]]:
+    hashes = marked(windows(t)[0], variant)
     if not len(hashes):
         return []
     low = np.searchsorted(index.hashes, hashes, "left")
@@ -181,8 +212,9 @@ def matches(text: bytes, index: Index, tokens: Tokens) -> list[tuple[int, int, i
         good, chosen = _best(t, item, by_hash)
         coverage = good / item.n_windows
         if coverage >= MIN_COVERAGE:
-            found.append((item.item_id, good, item.n_windows, coverage, any(a != b for a, b in chosen.items())))
-    return sorted(found)
+            changed = any(a != b for a, b in chosen.items())
+            found.append((item.row, (item.item_id, good, item.n_windows, coverage, changed)))
+    return found
 
 
 def _best(t: Template, item: Item, by_hash: dict[int, list[tuple[int, int]]]) -> tuple[int, dict[int, int]]:

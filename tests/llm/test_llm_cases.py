@@ -473,3 +473,14 @@ def test_slots_are_judged_per_occurrence():
     assert template_decontam.matches(" ".join(variants).encode(), index, tokens)[0][3:] == (1.0, True)
     halves = f"{item.replace(' 3 ', ' 5 ')[:22]} {'x ' * 90} pears"
     assert template_decontam.matches(halves.encode(), index, tokens) == []
+
+
+@pytest.mark.parametrize("names", [("Carol", "Dave"), ("Mary Ann Smith", "Dave"), ("Carol", "Dave van Dyke"), ("Carol", "John Paul Jones")])
+def test_names_that_open_a_sentence(names):
+    item = "Alice has 12 apples and 3 pears. Bob takes 4 apples from her. How many pieces of fruit are left?"
+    index = template_decontam.index_blocks([(1, item)])[0]
+    changed = item.replace("Alice", names[0]).replace("Bob", names[1])
+    found = template_decontam.matches(f"Some text. {changed} More text.".encode(), index, template_decontam.Tokens())
+    assert (found == []) == ("van" in names[1]) and all(f[4] for f in found)
+    twice = template_decontam.index_blocks([(1, item), (1, item)])[0]
+    assert [m[3:] for m in template_decontam.matches(item.encode(), twice, template_decontam.Tokens())] == [(1.0, False)] * 2
