@@ -2,12 +2,11 @@
 
 Base spans come from three patterns (``assign``, ``access``, ``hex``). Beyond them a credential is often
 written in parts: an identifier, a secret and an endpoint, none of which says much alone. Those weak parts
-are found as intervals of a text. A scope is the stretch between two blank lines, cut into pieces that
-overlap when it is long: parts belong together if both lie within SCOPE_CHARS code points of each other and
-no blank line separates them. The interval join runs as one sweep over the sorted parts of a document, so
-its cost follows the number of parts and no pairs are formed. A weak secret is reported if an identifier is
-in reach; a weak identifier or endpoint if a secret is in reach, weak or strong. A weak identifier
-needs a secret, and a weak secret on its own stays unreported.
+are found as intervals of a text. A scope is the stretch between two blank lines, however long: parts belong together
+if no blank line separates them. The interval join runs as one sweep over the sorted parts of a document, so its cost
+follows the number of parts and no pairs are formed. A weak secret is a labelled value, or a bare string of high entropy.
+A labelled one is reported if an identifier or an endpoint is in its scope, a bare one if an identifier or access key is; a
+weak identifier or endpoint if a secret is in its scope, weak or strong. A weak secret on its own stays unreported.
 
 Kinds, in the order used for ties: assign, access, hex, then ident, weak, endpoint.
 
@@ -20,14 +19,16 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
+from math import log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex", "ident", "weak", "endpoint")
-SCOPE_CHARS = 300
 MASK = "[REDACTED]"
 
 ASSIGN = re.compile(
@@ -38,20 +39,24 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_MARK = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 
 IDENT = re.compile(
-    r"(?<![A-Za-z0-9_])(?:(?:aws_|access_|client_|account_|app_)?(?:access_)?key_id|client_id|account_id|app_id"
+    r"(?<![A-Za-z0-9_])(?:[A-Za-z0-9]++_)*(?:key_id|client_id|account_id|app_id"
     r"|user_?name|user|login)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@+-]{3,})",
     re.I | re.A,
 )
 WEAK = re.compile(
-    r"(?<![A-Za-z0-9_])(?:pass|passwd|password|passphrase|pwd|secret|token|auth|credential|api_?key|access_key|private_key)"
+    r"(?<![A-Za-z0-9_])(?:[A-Za-z0-9]++_)*"
+    r"(?:pass|passwd|password|passphrase|pwd|secret|token|auth|credential|api_?key|access_key|private_key|secret_key)"
     r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=!@#$%^&*-]{4,})",
     re.I | re.A,
 )
 ENDPOINT = re.compile(
-    r"(?<![A-Za-z0-9_])(?:endpoint|host|hostname|server|base_url|url)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9][A-Za-z0-9_.:/-]{3,})"
+    r"(?<![A-Za-z0-9_])(?:[A-Za-z0-9]++_)*(?:endpoint|host|hostname|server|base_url|url)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9][A-Za-z0-9_.:/-]{3,})"
     r"|(?<![A-Za-z0-9_])(?:postgres|postgresql|mysql|mongodb|redis|amqp|ftp|sftp|ssh|jdbc:[a-z]+)://[A-Za-z0-9_.:@/-]+",
     re.I | re.A,
 )
+# A secret without a label: long, of mixed kinds of characters, and no repetition.
+BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[^A-Z\s]*[A-Z])(?=[^a-z\s]*[a-z])(?=[^0-9\s]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", re.A)
+BARE_BITS = 3.5  # a character
 PART_MARK = re.compile(r"[:=]", re.A)
 BLANK_LINE = re.compile(r"\n[\x20\t\r]*\n")
 
@@ -71,15 +76,16 @@ def base_spans(text: str) -> list[Span]:
 
 def linked_parts(text: str, base: list[Span]) -> list[Span]:
     """Weak identifiers, secrets and endpoints that complement each other within a scope."""
-    if not PART_MARK.search(text):
+    if not PART_MARK.search(text) and not any(k == 1 for _, _, k in base):
         return []
     weak = [(m.start(), m.end()) for m in WEAK.finditer(text)]
-    if not weak and not base:
-        return []
     idents = [(m.start(), m.end()) for m in IDENT.finditer(text)]
     ends = [(m.start(), m.end()) for m in ENDPOINT.finditer(text)]
     if not idents and not ends and not any(k == 1 for _, _, k in base):
         return []
+    bare = _bare(text, weak + idents + ends) if idents or any(k == 1 for _, _, k in base) else []
+    if not weak and not bare and not any(k != 1 for _, _, k in base):
+        return []
     walls = [m.start() for m in BLANK_LINE.finditer(text)]
     taken = sorted((s, e) for s, e, _ in base)
 
@@ -90,21 +96,36 @@ def linked_parts(text: str, base: list[Span]) -> list[Span]:
         return before[1] > span[0] or after[0] < span[1]
 
     def near(span: tuple[int, int], sorted_parts: list[tuple[int, int]]) -> bool:
-        """Whether a part starts within SCOPE_CHARS of the span with no blank line between."""
+        """Whether a part starts in the span's scope."""
         wall = bisect_left(walls, span[0])
-        low = max(span[0] - SCOPE_CHARS, walls[wall - 1] if wall else 0)
-        high = min(span[1] + SCOPE_CHARS, walls[wall] if wall < len(walls) else len(text))
+        low, high = walls[wall - 1] if wall else 0, walls[wall] if wall < len(walls) else len(text)
         return bisect_left(sorted_parts, (low, 0)) < bisect_left(sorted_parts, (high, 0))
 
     names = sorted(idents + [(s, e) for s, e, k in base if k == 1])
-    secrets = sorted(weak + [(s, e) for s, e, k in base if k != 1])
+    secrets = sorted(weak + bare + [(s, e) for s, e, k in base if k != 1])
     found = [(s, e, 3) for s, e in idents if near((s, e), secrets)]
-    found += [(s, e, 4) for s, e in weak if near((s, e), names)]
+    complements = sorted(names + ends)
+    found += [(s, e, 4) for s, e in weak if near((s, e), complements)]
+    found += [(s, e, 4) for s, e in bare if near((s, e), names)]
     confirmed = sorted([(s, e) for s, e, k in found if k == 4] + [(s, e) for s, e, k in base if k != 1])
     found += [(s, e, 5) for s, e in ends if near((s, e), confirmed)]
     return [x for x in found if not inside(x[:2])]
 
 
+def _bare(text: str, labelled: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Strings of high entropy outside labelled parts."""
+    parts, found = sorted(labelled), []
+    reach = list(accumulate((e for _, e in parts), max))
+    for m in BARE.finditer(text):
+        before = bisect_left(parts, (m.end(), 0))
+        if before and reach[before - 1] > m.start():
+            continue
+        n = m.end() - m.start()
+        if -sum(c / n * log2(c / n) for c in Counter(m[0]).values()) >= BARE_BITS:
+            found.append((m.start(), m.end()))
+    return found
+
+
 def secret_spans(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans and all spans, each by start, then kind, then end."""
     base = base_spans(text)
