@@ -12,6 +12,7 @@ from taxaloom.llm import (
     chat_template,
     cover_dedup,
     multiset_hash,
+    prefix_bpe,
     secret_links,
     segment_simhash,
     subword_quality,
@@ -67,6 +68,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_bpe.digests(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_classifier,
         op9_benchmark_decontamination,
         op10_simhash_near_dedup,
+        op13_bpe_codec,
         pipeline,
     )
     return {q.__name__: q for q in own}
