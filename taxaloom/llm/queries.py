@@ -12,6 +12,7 @@ from taxaloom.llm import (
     chat_template,
     cover_dedup,
     multiset_hash,
+    period_runs,
     prefix_bpe,
     secret_links,
     segment_simhash,
@@ -68,6 +69,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_runs.digests(documents(spark, sf_dir), period_runs.planted)
+
+
 def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.digests(documents(spark, sf_dir))
 
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_classifier,
         op9_benchmark_decontamination,
         op10_simhash_near_dedup,
+        op11_periodic_runs,
         op13_bpe_codec,
         pipeline,
     )
