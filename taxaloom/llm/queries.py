@@ -18,6 +18,7 @@ from taxaloom.llm import (
     segment_simhash,
     subword_quality,
     template_decontam,
+    turn_repair,
     warc,
 )
 from taxaloom.llm.common import documents, table
@@ -73,6 +74,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return period_runs.digests(documents(spark, sf_dir), period_runs.planted)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return turn_repair.digests(turn_repair.damaged(given), every=given)
+
+
 def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.digests(documents(spark, sf_dir))
 
@@ -96,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_benchmark_decontamination,
         op10_simhash_near_dedup,
         op11_periodic_runs,
+        op12_conversation_repair,
         op13_bpe_codec,
         pipeline,
     )
@@ -108,6 +115,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_substring_dedup": SUBSTRING_DEDUP,
         "op5_chat_formatting": CHAT_FORMATTING,
         "op6_warc": WARC,
+        "op12_conversation_repair": CONVERSATION_REPAIR,
     }
 
 
@@ -166,3 +174,74 @@ SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, sha1(html) AS payload_dig
        CASE WHEN holder <> page_id THEN holder END AS refers_to
 FROM payloads LEFT JOIN holders USING (html)
 """
+
+# Edits are walked row by row for all conversations at once; a state keeps its least cost, audit and repaired lines.
+CONVERSATION_REPAIR = r"""
+WITH RECURSIVE crc_bytes AS (
+    SELECT list(v ORDER BY n) AS t FROM (
+        SELECT n, list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) AS v
+        FROM (SELECT unnest(range(256)) AS n)
+    )
+), given AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+    FROM conversations
+), hashed AS (
+    SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(
+        list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))::BIGINT),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) % 20 AS fault
+    FROM given, crc_bytes
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+           CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM hashed, range(CASE WHEN fault = 3 THEN 2 ELSE 1 END) WHERE fault <> 0
+), numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS p,
+           regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS stop
+    FROM damaged
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) AS seen FROM numbered
+), judged AS (
+    SELECT *, stop = '' AS blank, stop <> '' AND seen > 1 AS duplicate,
+           stop <> '' AND seen = 1 AND stop NOT IN ('.', '!', '?') AS truncated,
+           lag(role[1]) OVER (PARTITION BY conv_id ORDER BY p) || role[1] NOT IN ('su', 'ua', 'au') AS illegal
+    FROM placed
+), counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+           count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal
+    FROM judged GROUP BY conv_id
+), steps(i, r, j) AS (
+    VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), names(r, name) AS (
+    VALUES ('u', 'user'), ('a', 'assistant')
+), inserts AS (
+    SELECT i, i AS j, 0 AS c, '' AS a, '' AS t FROM range(4) x(i)
+    UNION ALL
+    SELECT n.i, s.j, n.c + 5, n.a || 'I', n.t || name || ':' || chr(10)
+    FROM inserts n JOIN steps s ON s.i = n.j JOIN names USING (r) WHERE n.c < 15
+), ways AS (
+    SELECT n.i, n.j, n.c + 2 AS c, n.a || 'D' AS a, n.t, NULL AS r, 'D' AS e FROM inserts n
+    UNION ALL
+    SELECT n.i, s.j, n.c, n.a || 'K', n.t, s.r, 'K' FROM inserts n JOIN steps s ON s.i = n.j
+    UNION ALL
+    SELECT n.i, s.j, n.c + 1, n.a || 'R', n.t, name, 'R' FROM inserts n JOIN steps s ON s.i = n.j JOIN names USING (r)
+), walk AS (
+    SELECT DISTINCT conv_id, 0::BIGINT AS p, 0 AS st, {'c': 0, 'a': '', 't': ''} AS v FROM conversations
+    UNION ALL
+    SELECT w.conv_id, w.p + 1, m.j, min({
+        'c': w.v.c + m.c + CASE WHEN truncated AND e <> 'D' THEN 5 ELSE 0 END, 'a': w.v.a || m.a,
+        't': w.v.t || m.t || CASE e WHEN 'D' THEN '' WHEN 'K' THEN role || ':' || text || chr(10) ELSE m.r || ':' || text || chr(10) END})
+    FROM walk w JOIN judged d ON d.conv_id = w.conv_id AND d.p = w.p + 1 JOIN ways m ON m.i = w.st
+    WHERE e = 'D' OR (NOT blank AND NOT duplicate AND (e = 'R' OR m.r = role[1]))
+    GROUP BY w.conv_id, w.p + 1, m.j
+), ended AS (
+    SELECT w.conv_id, min({'c': w.v.c + n.c, 'a': w.v.a || n.a, 't': w.v.t || n.t}) AS v
+    FROM walk w JOIN inserts n ON n.i = w.st AND n.j IN (0, 3)
+    WHERE w.p = (SELECT count(*) FROM judged d WHERE d.conv_id = w.conv_id)
+    GROUP BY w.conv_id
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, v.c::BIGINT AS cost, v.a AS audit, sha256(substr(v.t, 1, greatest(length(v.t) - 1, 0))) AS repaired_sha256
+FROM ended LEFT JOIN counted USING (conv_id)
+"""
