@@ -19,6 +19,19 @@ def signed_scores(singular: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return scores * np.where(scores[peak, np.arange(scores.shape[1])] < 0, -1.0, 1.0)
 
 
+def principal(dots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first k singular values and scores of a matrix whose rows have these dot products.
+
+    Squares are known to a rounding error of the largest; values within it are zero, and so are their scores.
+    """
+    squares, vectors = np.linalg.eigh(dots)
+    squares, vectors = squares[::-1][:k].copy(), vectors[:, ::-1][:, :k]
+    noise = len(dots) * np.finfo(float).eps * max(squares.max(initial=0.0), 0.0)
+    squares[squares <= noise] = 0.0
+    d = np.sqrt(squares)
+    return d, signed_scores(d, vectors)
+
+
 def score_rows(panel: int, d: np.ndarray, scores: np.ndarray, energy: float) -> pd.DataFrame:
     """The scores of one panel as rows, one per component and sample."""
     n, k = scores.shape

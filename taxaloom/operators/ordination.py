@@ -1,20 +1,27 @@
 """Uncentred PCA of samples by their OTU counts.
 
 For a panel with the samples x OTUs matrix X the scores are U D of its singular value decomposition.
-OTUs stay distributed: a row of the matrix is one OTU with its counts in a panel, and MLlib's ``computeSVD``
-multiplies with the rows where they are, for panels of any size. What reaches the driver are vectors of
-one number per sample and component. Panels are decomposed one after another, over one cached frame of rows.
+OTUs stay distributed: a row of the matrix is one OTU with its counts in a panel, as a sparse vector where that is
+smaller. Panels of up to ``GRAM_COLUMNS`` samples together are one pass over the rows: side by side they are the columns of
+one matrix, MLlib adds up its Gram matrix X X', and the blocks on its diagonal are the panels'. Larger panels go
+to MLlib's ``computeSVD``, which multiplies with the cached rows step by step and brings vectors of one number per sample
+and component to the driver. Passes run at the same time; large panels one after another beside them, since the
+solver keeps its state in static fields.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from multiprocessing.pool import ThreadPool
+from threading import Lock
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.ml.functions import array_to_vector
+from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.ml.feature import VectorAssembler, VectorSizeHint
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
@@ -22,10 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from taxaloom.functions.linear import score_rows, signed_scores
+from taxaloom.functions.linear import principal, score_rows, signed_scores
 from taxaloom.operators.reshape import dense_rows, picked, sparse_rows
 
 BLOCK_CELLS = 4_000_000
+# Sample columns of one pass: a task holds half their square in doubles (17 MB), the driver gets the whole (34 MB).
+GRAM_COLUMNS = 2048
+JOBS_AT_ONCE = 8
+ONE_SOLVER = Lock()
 GRAM = "panel int, i int, j int, dot double"
 SCORES = (
     "panel int, component int, singular_value double, energy double, n_samples int, "
@@ -129,21 +140,74 @@ def rows_of_cells(cells: DataFrame, panel: DataFrame, sizes: dict[int, int]) ->
     return dense_rows(sparse_rows(panel_cells(cells, panel)), sizes)
 
 
-def _decompose(rows: DataFrame, number: int, n: int, k: int, energy: float) -> pd.DataFrame:
-    """The first k components of one panel. MLlib drops components that vanish next to the first; they are zeros."""
+def passes(sizes: dict[int, int]) -> list[list[int]]:
+    """Panels that share a pass, as many as its columns allow; one that is too large is alone."""
+    found: list[list[int]] = []
+    room = 0
+    for number, n in sorted(sizes.items()):
+        if n > room or not found:
+            found.append([])
+            room = GRAM_COLUMNS
+        found[-1].append(number)
+        room -= n
+    return found
+
+
+def vectors(rows: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """panel, vector: rows of the panels in sizes side by side, sparse where that is smaller."""
+    total, before = sum(sizes.values()), 0
+    values = F.lit(None).cast("array<double>")
+    for number, n in sizes.items():
+        zeros = [F.array_repeat(F.lit(0.0), F.lit(m)) for m in (before, total - before - n)]
+        placed = F.concat(zeros[0], F.col("values"), zeros[1]) if len(sizes) > 1 else F.col("values")
+        values = F.when(F.col("panel") == number, placed).otherwise(values)
+        before += n
+    dense = rows.filter(F.col("panel").isin(*sizes)).select("panel", array_to_vector(values).alias("dense"))
+    # The hint tells the assembler the length, which it would else read from the first row.
+    sized = VectorSizeHint(inputCol="dense", size=total, handleInvalid="optimistic").transform(dense)
+    return VectorAssembler(inputCols=["dense"], outputCol="vector").transform(sized).select("panel", "vector")
+
+
+def _row_matrix(rows: DataFrame, n: int) -> RowMatrix:
+    old = MLUtils.convertVectorColumnsFromML(rows.select("vector"), "vector")
+    # The JVM class reads the frame itself; the Python class would need an RDD of Python rows.
+    return RowMatrix(callMLlibFunc("createRowMatrix", old, 0, n))
+
+
+def _from_gram(rows: DataFrame, sizes: dict[int, int], k: int) -> list[pd.DataFrame]:
+    """The first k components of some panels, from one pass over their rows."""
+    total = sum(sizes.values())
+    # MLlib has no sum for a matrix without rows; a row of zeros changes none.
+    number, n = next(iter(sizes.items()))
+    zeros = rows.sparkSession.range(1).select(F.lit(number).alias("panel"), F.array_repeat(F.lit(0.0), n).alias("values"))
+    dots = _row_matrix(vectors(rows.unionAll(zeros), sizes), total).computeGramianMatrix().toArray()
+    found, before = [], 0
+    for number, n in sizes.items():
+        own = dots[before : before + n, before : before + n]
+        d, scores = principal(own, min(k, n))
+        found.append(score_rows(number, d, scores, float(np.trace(own))))
+        before += n
+    return found
+
+
+def _from_solver(rows: DataFrame, number: int, n: int, k: int) -> list[pd.DataFrame]:
+    """The first k components of a large panel. MLlib drops components that vanish next to the first; they are zeros."""
     k = min(k, n)
     d, scores = np.zeros(k), np.zeros((n, k))
-    if energy:
-        vectors = rows.filter(F.col("panel") == number).select(array_to_vector("values").alias("vector"))
-        vectors = MLUtils.convertVectorColumnsFromML(vectors, "vector")
-        # The JVM class reads the frame itself; the Python class would need an RDD of Python rows.
-        matrix = RowMatrix(callMLlibFunc("createRowMatrix", vectors, 0, n))
-        # With a third of the components MLlib decomposes a small matrix directly, not iteratively.
-        svd = matrix.computeSVD(max(k, n // 3 + 1) if n < 100 else k)
-        found = svd.s.toArray()[:k]
-        d[: len(found)] = found
-        scores[:, : len(found)] = signed_scores(found, svd.V.toArray()[:, : len(found)])
-    return score_rows(number, d, scores, energy)
+    here = vectors(rows, {number: n}).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        squared = Summarizer.normL2(F.col("vector")).alias("norms")
+        norms = here.agg(squared).select(vector_to_array("norms").alias("norms")).first()
+        energy = float(np.square(norms["norms"]).sum()) if norms["norms"] else 0.0
+        if energy:
+            with ONE_SOLVER:
+                svd = _row_matrix(here, n).computeSVD(k)
+            found = svd.s.toArray()[:k]
+            d[: len(found)] = found
+            scores[:, : len(found)] = signed_scores(found, svd.V.toArray()[:, : len(found)])
+    finally:
+        here.unpersist()
+    return [score_rows(number, d, scores, energy)]
 
 
 def ordinate(rows: DataFrame, sizes: dict[int, int], k: int) -> DataFrame:
@@ -153,17 +217,20 @@ def ordinate(rows: DataFrame, sizes: dict[int, int], k: int) -> DataFrame:
     energy (sum of squared reads), n_samples, sample_idx, score.
     """
     spark = rows.sparkSession
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        squares = F.aggregate("values", F.lit(0.0), lambda total, x: total + x * x)
-        energy = {r[0]: r[1] for r in rows.groupBy("panel").agg(F.sum(squares)).collect()}
-        found = [
-            _decompose(rows, number, n, k, float(energy.get(number) or 0.0)) for number, n in sorted(sizes.items())
-        ]
-    finally:
-        rows.unpersist()
-    table = pd.concat(found) if found else pd.DataFrame()
-    return spark.createDataFrame(table, SCORES) if len(table) else spark.createDataFrame([], SCORES)
+
+    def job(panels: list[int]) -> Callable[[], list[pd.DataFrame]]:
+        here = {number: sizes[number] for number in panels}
+        if sum(here.values()) <= GRAM_COLUMNS:
+            return lambda: _from_gram(rows, here, k)
+        return lambda: _from_solver(rows, panels[0], sizes[panels[0]], k)
+
+    jobs = [job(panels) for panels in passes(sizes)]
+    if len(jobs) > 1:
+        with ThreadPool(min(len(jobs), JOBS_AT_ONCE)) as pool:
+            parts = [p for own in pool.map(lambda run: inheritable_thread_target(spark)(run)(), jobs) for p in own]
+    else:
+        parts = [p for run in jobs for p in run()]
+    return spark.createDataFrame(pd.concat(parts), SCORES) if parts else spark.createDataFrame([], SCORES)
 
 
 def variances(scores: DataFrame) -> DataFrame:
