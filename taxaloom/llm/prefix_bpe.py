@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from taxaloom.llm.common import texts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-PIECES_KEPT = 250_000  # encoded pieces a task remembers, about 200 bytes each
-PAIRS_KEPT = 250_000  # pairs of tokens whose side-by-side standing a worker remembers, about 100 bytes each
+PIECES_KEPT = 500_000  # encoded pieces a task remembers, about 200 bytes each
+PAIRS_KEPT = 500_000  # pairs of tokens whose side-by-side standing a worker remembers, about 110 bytes each
 LONG_PIECE = 256  # longer pieces are encoded anew each time
 LONG_TEXT = 1 << 20  # characters beyond which pieces are found one by one
 
@@ -79,7 +79,8 @@ class Vocabulary:
         for token, rank in ranks.items():
             self.suffixes.add_word(token.decode("latin-1"), rank)
         self.suffixes.make_automaton()
-        self._stands: dict[tuple[int, int], bool] = {}
+        self._stands: dict[int, bool] = {}
+        self._base = max(ranks.values()) + 1
 
     def merged(self, data: bytes) -> list[int]:
         """The definition: of all neighbouring parts, the leftmost with the lowest joint rank merge first."""
@@ -96,32 +97,35 @@ class Vocabulary:
                 joint[at] = ranks.get(parts[at] + parts[at + 1], never)
         return [ranks[p] for p in parts]
 
-    def stands(self, left: int, right: int) -> bool:
+    def _learn(self, left: int, right: int) -> bool:
         """Whether right may follow left; left is -1 at the start of a piece."""
-        found = self._stands.get((left, right))
-        if found is None:
-            if len(self._stands) >= PAIRS_KEPT:
-                self._stands.clear()
-            pair = [right] if left < 0 else [left, right]
-            found = self.merged(b"".join(self.tokens[t] for t in pair)) == pair
-            self._stands[left, right] = found
+        if len(self._stands) >= PAIRS_KEPT:
+            self._stands.clear()
+        pair = [right] if left < 0 else [left, right]
+        found = self.merged(b"".join(self.tokens[t] for t in pair)) == pair
+        self._stands[left * self._base + right] = found
         return found
 
-    def fill(self, data: bytes, last: array, until: int | None = None) -> None:
+    def fill(self, data: bytes, last: array | list, until: int | None = None) -> None:
         """Appends to last, which holds the last tokens of some prefixes, those of the prefixes up to until."""
         have = len(last)
         end_at = len(data) if until is None else until
         if have >= end_at:
             return
         before = max(0, have - self.longest + 1)  # a token may reach back this far
-        sizes, stands = self.sizes, self.stands
+        sizes, known, base, learn, add = self.sizes, self._stands.get, self._base, self._learn, last.append
+        have -= before
+        shift = before + 1
         for end, token in self.suffixes.iter(data[before:end_at].decode("latin-1")):
-            end += before
             if end < have:
                 continue
-            start = end + 1 - sizes[token]
-            if stands(last[start - 1] if start else -1, token):
-                last.append(token)
+            start = end + shift - sizes[token]
+            left = last[start - 1] if start else -1
+            fits = known(left * base + token)
+            if fits is None:
+                fits = learn(left, token)
+            if fits:
+                add(token)
                 have += 1
 
     def refill(self, data: bytes, old: bytes, table: array) -> array:
@@ -143,7 +147,7 @@ class Vocabulary:
         last.extend(table[len(last) + shift :] if len(last) < len(data) else ())
         return last
 
-    def read(self, last: array) -> list[int]:
+    def read(self, last: array | list) -> list[int]:
         """The ids of a whole piece, from the last tokens of its prefixes."""
         ids, at = [], len(last)
         while at:
@@ -153,7 +157,7 @@ class Vocabulary:
 
     def encode_piece(self, piece: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
-        last = array("i")
+        last: list[int] = []
         self.fill(piece.encode(), last)
         return array("I", self.read(last)).tobytes()
 
