@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxaloom import model
-
+from taxaloom.sinks.replace import replace
 
 Names = dict[tuple[str, str], str]
 
@@ -30,16 +30,15 @@ def write_overviews(
     """Replaces path by one folder per overview table, each sorted by taxon with NULL last.
 
     ``names`` names the table of each marker and dataset. Sorting is by range over table and taxon, so
-    the largest table is spread over many files.
+    the largest table is spread over many files. Until all of it is written, path holds what it held before.
     """
     order = ["table", F.asc_nulls_last(key)]
     writer = (
         overview.withColumn("table", table_name(names))
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .write.mode("overwrite")
-        .partitionBy("table")
+        .write.partitionBy("table")
     )
     if fmt == "csv":
         writer = writer.option("header", True)
-    writer.format(fmt).save(path)
+    replace(overview.sparkSession, path, writer.format(fmt).save)
