@@ -95,6 +95,14 @@ totals AS (
     FROM samples GROUP BY dataset)"""
 
 
+def _rounded(value: str, digits: int) -> str:
+    """The nearer of the two nearest decimals, the even one of equally near ones, all as doubles."""
+    p = f"{10**digits}::DOUBLE"
+    below, above = f"floor(x * {p}) / {p}", f"ceil(x * {p}) / {p}"
+    low = f"x - {below} < {above} - x OR (x - {below} = {above} - x AND floor(x * {p}) % 2 = 0)"
+    return f"list_transform([{value}], lambda x: CASE WHEN {low} THEN {below} ELSE {above} END)[1]"
+
+
 def _with(prelude: str, select: str) -> str:
     return f"WITH RECURSIVE {prelude}\n{select}"
 
@@ -102,8 +110,8 @@ def _with(prelude: str, select: str) -> str:
 def _prevalence(taxon: str, marker: str = "") -> str:
     return f"""
     SELECT marker, dataset, {taxon} AS taxon, healthy, sick, healthy_total, sick_total,
-           round_even(healthy / healthy_total, 3) AS healthy_freq,
-           round_even(sick / sick_total, 3) AS sick_freq
+           {_rounded("healthy / healthy_total", 3)} AS healthy_freq,
+           {_rounded("sick / sick_total", 3)} AS sick_freq
     FROM (SELECT marker, dataset, {taxon},
                  count(DISTINCT sample) FILTER (status = 'healthy') AS healthy,
                  count(DISTINCT sample) FILTER (status = 'sick') AS sick
@@ -256,7 +264,7 @@ def _captions(name: str, second: str) -> str:
            'PCA for ' || marker || ' & ' || dataset || ' data' || chr(10)
                || regexp_replace(CAST(captured AS VARCHAR), '\\.0$', '')
                || ' % of total variation captured' AS caption
-    FROM (SELECT panel, marker, dataset, round_even(sum(share) * 100, 2) AS captured
+    FROM (SELECT panel, marker, dataset, {_rounded("sum(share) * 100", 2)} AS captured
           FROM {name}_var WHERE component IN (1, {second}) GROUP BY ALL)"""
 
 
@@ -354,6 +362,12 @@ SQL = {
           FROM cells JOIN cols USING (marker, sample_pos) JOIN otus USING (otu))
     QUALIFY diseased <> '-' AND reads > 1""",
     ),
+    "sheets_repeated_headers": _with(
+        CELLS,
+        """
+    SELECT marker, sample_pos, sample, CAST(coalesce(sum(reads), 0) AS BIGINT) AS reads
+    FROM names LEFT JOIN cells USING (marker, sample_pos) WHERE marker = 'ITS2' GROUP BY ALL""",
+    ),
     "sheets_selected_otus": _with(
         CELLS,
         """

@@ -45,6 +45,24 @@ def joined_fields(fields: Iterable[Column], separator: str) -> Column:
     return F.concat_ws(separator, *[F.coalesce(f.cast("string"), F.lit("NA")) for f in fields])
 
 
+# Letters, digits and underscores are words, and so are a point or apostrophe between two letters, and a point,
+# comma or apostrophe between two digits. Everything else parts words, a hyphen too.
+WORDS = (
+    r"(?:[\p{L}\p{M}\p{N}_]|(?<=[\p{L}\p{M}])[.'\u2019\u00B7](?=\p{L})|(?<=\p{N})[.,'\u2019](?=\p{N}))+"
+    r"|[^\p{L}\p{M}\p{N}_]"
+)
+
+
+def title_case(text: Column) -> Column:
+    """Each word with its first letter in upper case and the rest in lower case, by the word breaks of Unicode."""
+
+    def titled(word: Column) -> Column:
+        head = F.regexp_extract(word, r"(?s)^_*.", 0)
+        return F.concat(F.upper(head), F.lower(F.substring(word, F.length(head) + 1, F.length(word))))
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)), titled), "")
+
+
 def label(code: Column, labels: dict[str, str]) -> Column:
     """The label of a code, NULL for an unknown code."""
     chosen = F.lit(None).cast("string")

@@ -44,7 +44,7 @@ def sample_dimension(sheet: DataFrame, appended: Sequence[str] = ()) -> DataFram
         sheet = append_sample(sheet, name)
     cleaned = sheet.select(
         "pos",
-        F.initcap("site").alias("site"),
+        text.title_case(F.col("site")).alias("site"),
         numbers.status_code(F.col("diseased")).alias("diseased"),
         text.clean_name(F.col("sample"), model.SHEET_NAME_RULES).alias("sample"),
     )

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+import random
 from fractions import Fraction
 
 import pytest
@@ -89,6 +91,62 @@ def test_rate_rounds_ties_to_even(spark):
         assert got == float(round(Fraction(k, n) * 1000)) / 1000, (k, n)
 
 
+def nearer_decimal(x, digits):
+    """The rule with Python's doubles: of the decimals below and above the nearer one, else the even one."""
+    power = 10.0**digits
+    below, above = math.floor(x * power), math.ceil(x * power)
+    down, up = x - below / power, above / power - x
+    return (below if down < up or (down == up and below % 2 == 0) else above) / power
+
+
+def test_rates_round_to_the_nearer_decimal(spark):
+    pairs = [(k, n) for n in range(1, 201) for k in range(n + 1)]
+    rate = numbers.rate(F.col("k"), F.col("n")).alias("rate")
+    other = F.bround(F.col("k") / F.col("n"), 3).alias("other")
+    found = spark.createDataFrame(pairs, "k int, n int").select("k", "n", rate, other).collect()
+    assert all(got == nearer_decimal(k / n, 3) for k, n, got, _ in found)
+    assert sum(got != other for _, _, got, other in found) == 18
+
+
+@pytest.mark.parametrize("digits", [0, 2, 3])
+def test_rounding_of_any_double(spark, digits):
+    draw = random.Random(3)
+    values = [0.15, 2.5, 0.5, -0.15, -2.5, 1e300, -0.0, 0.285, 1.005, 123456.785, 5e-324]
+    values += [draw.uniform(-100, 100) for _ in range(500)] + [draw.randrange(-4000, 4000) / 8 for _ in range(500)]
+    got = evaluate(spark, numbers.rounded(F.col("x"), digits), *values)
+    assert got == [x if abs(x) > 1e15 else nearer_decimal(x, digits) for x in values]
+
+
+@pytest.mark.parametrize(
+    "given, shown",
+    [
+        ("north reef", "North Reef"),
+        ("NORTH-EAST st.john", "North-East St.john"),
+        ("o'neil's  bay/west (inner)", "O'neil's  Bay/West (Inner)"),
+        ("2nd reef, 3.5m", "2nd Reef, 3.5m"),
+        ("_lagoon a.b c. d", "_Lagoon A.b C. D"),
+        ("éCUEIL\tÎLE", "Écueil\tÎle"),
+        ("", ""),
+        (" ", " "),
+        (None, None),
+    ],
+)
+def test_title_case(spark, given, shown):
+    assert evaluate(spark, text.title_case(F.col("x")), given) == [shown]
+
+
+@pytest.mark.parametrize("bad", ["1.7", "0.4", "x", "NaN", "Infinity", "9007199254740993.5"])
+def test_whole_counts_refuse_the_rest(spark, bad):
+    with pytest.raises(Exception, match=f"'{bad}' is no whole number"):
+        evaluate(spark, numbers.whole_count(F.col("x")), bad)
+
+
+def test_any_count(spark):
+    assert evaluate(spark, numbers.any_count(F.col("x")), "0.25", " 3 ", "", None, "1e-3") == [0.25, 3.0, None, None, 0.001]
+    with pytest.raises(Exception, match="'x' is no number"):
+        evaluate(spark, numbers.any_count(F.col("x")), "x")
+
+
 def test_rate_without_samples_is_missing(spark):
     frame = spark.createDataFrame([(0, 0)], "k int, n int")
     assert frame.select(numbers.rate(F.col("k"), F.col("n"))).first()[0] is None
