@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable
 from functools import lru_cache
+from importlib.util import find_spec
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +25,10 @@ from taxaloom.sources import sheets, testtables  # noqa: E402
 from taxaloom.sources.landed import study_from_tables  # noqa: E402
 from taxaloom.sources.ordinals import with_row_number  # noqa: E402
 
-try:  # the operators on documents are a package of their own that may be absent
-    from taxaloom.llm import queries as llm_queries
-except ImportError:
+# The operators on documents are a package of their own that may be absent. One that is there must import.
+if find_spec("taxaloom.llm") and find_spec("taxaloom.llm.queries"):
+    from taxaloom.llm import queries as llm_queries  # noqa: E402
+else:
     llm_queries = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -160,6 +162,15 @@ def sheets_pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(pca.pca_all(_from_files(spark, sf_dir, "parquet"), LEADING))
 
 
+def sheets_repeated_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and reads of a CSV sheet whose blanks all have one title, in three spellings."""
+    path = shared_folder(spark, "sheets")
+    testtables.write_sheets(spark, sf_dir, path, blanks=("PCR neg", "pcr NEG", "PCR Neg"))
+    sheet = sheets.read_abundance_sheet(spark, f"{path}/ITS2", "ITS2", landing=f"{path}/landed/ITS2")
+    reads = sheet.cells.groupBy("marker", "sample_pos").agg(F.sum("reads").alias("reads"))
+    return naming.own_names(sheet.headers).join(reads, ["marker", "sample_pos"])
+
+
 def sheets_wide_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads per column of a sheet with every sample column twice, all columns from the first on."""
     n = testtables.sample_count(spark, sf_dir)
@@ -343,6 +354,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sheets_parquet_long": sheets_parquet_long,
         "sheets_selected_otus": sheets_selected_otus,
         "sheets_pca_scores": sheets_pca_scores,
+        "sheets_repeated_headers": sheets_repeated_headers,
         "sheets_wide_range": sheets_wide_range,
         "landed_prevalence_genus": landed_prevalence_genus,
         "landed_gram": landed_gram,

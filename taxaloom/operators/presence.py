@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from taxaloom import model
 from taxaloom.functions import text
@@ -28,12 +29,19 @@ def labelled(cells: DataFrame, columns: DataFrame) -> DataFrame:
     return cells.join(columns, ["marker", "sample_pos"], "left")
 
 
+def with_reads(cells: DataFrame, min_reads: int) -> DataFrame:
+    """Cells with at least min_reads reads; shares and other doubles count from above ``min_reads - 1``."""
+    reads = F.col("reads")
+    whole = not isinstance(cells.schema["reads"].dataType, T.FractionalType)
+    return cells.filter(reads >= min_reads if whole else reads > min_reads - 1)
+
+
 def assigned(
     cells: DataFrame, columns: DataFrame, min_reads: int = model.MIN_READS_OVERVIEW
 ) -> DataFrame:
     """Labelled cells of samples with a known status and at least min_reads reads."""
     known = F.col("diseased") != model.UNASSIGNED
-    return labelled(cells.filter(F.col("reads") >= min_reads), columns).filter(known)
+    return labelled(with_reads(cells, min_reads), columns).filter(known)
 
 
 def otu_key(otus: DataFrame) -> list[str]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from taxaloom import model
 from taxaloom.operators.numbering import BAND_WIDTH, number_within
+from taxaloom.operators.presence import with_reads
 
 
 def sample_hits(cells: DataFrame, columns: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def sample_hits(cells: DataFrame, columns: DataFrame) -> DataFrame:
 
 def hit_cells(cells: DataFrame, min_reads: int = model.MIN_READS_REPORT) -> DataFrame:
     """The cells a report shows."""
-    return cells.filter(F.col("reads") >= min_reads)
+    return with_reads(cells, min_reads)
 
 
 def ranked(cells: DataFrame, width: int = BAND_WIDTH) -> DataFrame:

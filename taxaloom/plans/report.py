@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from taxaloom import model
 from taxaloom.functions import text
@@ -51,7 +52,9 @@ def report_lines(study: Study) -> DataFrame:
         "line.text",
     )
     shown = presence.with_header(ranking.hit_cells(study.cells), study.otus)
-    fields = [F.col("otu"), F.substring("header", 1, model.REPORT_INFO_WIDTH), F.col("reads")]
+    fractional = isinstance(study.cells.schema["reads"].dataType, T.FractionalType)
+    reads = text.plain_number(F.col("reads")) if fractional else F.col("reads")
+    fields = [F.col("otu"), F.substring("header", 1, model.REPORT_INFO_WIDTH), reads]
     rows = shown.select(
         "marker",
         "sample_pos",

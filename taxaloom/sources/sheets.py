@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from taxaloom import model
 from taxaloom.functions import numbers, text
@@ -52,10 +53,41 @@ class AbundanceSheet:
         return self.rows.select("otu", "otu_pos", "header")
 
 
-def _scan(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    # Without inference every CSV column is text, and opening a sheet reads its first line only.
-    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-    return reader.format(fmt).load(path)
+@dataclass(frozen=True)
+class _Sheet:
+    """An opened file or folder: the titles of its columns as they stand there, and its rows."""
+
+    titles: Sequence[str]
+    frame: DataFrame
+
+    def column(self, place: int) -> Column:
+        """The column at a place from 0."""
+        return F.col(f"`{self.frame.columns[place]}`")
+
+    def named(self, title: str, among: Sequence[int] | None = None) -> Column:
+        """The column with this title, in any case if none has it as it is. None or several are refused by name."""
+        places = range(len(self.titles)) if among is None else among
+        found = [i for i in places if self.titles[i] == title]
+        found = found or [i for i in places if self.titles[i].lower() == title.lower()]
+        if len(found) != 1:
+            raise ValueError(f"{len(found) or 'no'} columns named {title!r}")
+        return self.column(found[0])
+
+
+def _open(spark: SparkSession, path: str, fmt: str) -> _Sheet:
+    """A CSV's header line is read apart from its rows, since the reader would rename titles that repeat in any case.
+
+    Rows are then known by place, and all their fields are text.
+    """
+    if fmt != "csv":
+        frame = spark.read.format(fmt).load(path)
+        return _Sheet(frame.columns, frame)
+    first = spark.read.csv(path).first()
+    if first is None:
+        raise ValueError(f"no header line in {path}")
+    titles = [t or "" for t in first]
+    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(1, len(titles) + 1)])
+    return _Sheet(titles, spark.read.schema(schema).option("header", True).csv(path))
 
 
 def read_abundance_sheet(
@@ -68,26 +100,45 @@ def read_abundance_sheet(
     ordinal: str | None = None,
     landing: str | None = None,
     otu_type: str = "long",
+    reads_type: str = "long",
 ) -> AbundanceSheet:
     """A count sheet whose sample columns stand at positions first..last, counted from 1.
 
     Without ``last`` all columns from ``first`` on are samples. A range that the sheet does not have is
-    refused. ``ordinal`` names a column that numbers the rows. Without it rows are numbered as they
-    stand in the files, for which a CSV is written once to the folder ``landing``. ``otu_type`` is
-    ``long`` or ``string``.
+    refused. Titles of sample columns may repeat. ``ordinal`` names a column that numbers the rows. Without it rows are
+    numbered as they stand in the files, for which a CSV is written once to the folder ``landing``.
+    ``otu_type`` is ``long`` or ``string``. ``reads_type`` is ``long``, and then a cell that is no whole number is
+    refused by its place, or ``double`` for shares and other measures.
     """
-    scan = _scan(spark, path, fmt)
-    end = len(scan.columns) if last is None else last
-    if not 1 <= first <= end <= len(scan.columns):
-        raise ValueError(f"sample columns {first}..{end} asked for, the sheet has {len(scan.columns)} columns")
-    titles = [t for t in scan.columns[first - 1 : end] if t != ordinal]
-    otu = F.col("OTU")
-    counts = F.array(*[numbers.whole_count(F.col(f"`{t}`")) for t in titles]).alias("counts")
-    kept = [(numbers.whole_id(otu) if otu_type == "long" else otu.cast("string")).alias("otu"), "header"]
+    if reads_type not in ("long", "double"):
+        raise ValueError(f"reads_type must be long or double, not {reads_type!r}")
+    sheet = _open(spark, path, fmt)
+    width = len(sheet.titles)
+    end = width if last is None else last
+    if not 1 <= first <= end <= width:
+        raise ValueError(f"sample columns {first}..{end} asked for, the sheet has {width} columns")
+    places = [i for i in range(first - 1, end) if sheet.titles[i] != ordinal]
+    titles = [sheet.titles[i] for i in places]
+    attributes = [i for i in range(width) if i not in set(places)]
+    otu = sheet.named("OTU", attributes)
+    kept = [
+        (numbers.whole_id(otu) if otu_type == "long" else otu.cast("string")).alias("otu"),
+        sheet.named("header", attributes).alias("header"),
+    ]
+    fields = [sheet.column(i) for i in places]
+    types = {sheet.frame.schema[i].dataType for i in places}
+    if reads_type == "long" and all(isinstance(t, T.IntegralType) for t in types):
+        counts = F.array(*[f.cast("long") for f in fields])
+    else:
+        # One array of all fields, then one expression for its cells: 170 expressions would not be compiled.
+        given = F.array(*[f if len(types) == 1 else f.cast("string") for f in fields])
+        names = F.array(*[F.lit(t) for t in titles])
+        counts = numbers.checked_counts(given, names, F.concat(F.lit("OTU "), otu.cast("string")), reads_type)
+    kept.append(counts.alias("counts"))
     if ordinal is not None:
-        position = F.col(f"`{ordinal}`").cast("long").alias("otu_pos")
-        return AbundanceSheet(marker, scan.select(*kept, position, counts), titles)
-    rows = with_row_number(scan.select(*kept, counts), "otu_pos", fmt, landing=landing)
+        position = sheet.named(ordinal).cast("long").alias("otu_pos")
+        return AbundanceSheet(marker, sheet.frame.select(*kept, position), titles)
+    rows = with_row_number(sheet.frame.select(*kept), "otu_pos", fmt, landing=landing)
     return AbundanceSheet(marker, rows, titles)
 
 
@@ -95,19 +146,17 @@ def read_sample_sheet(
     spark: SparkSession, path: str, fmt: str = "csv", landing: str | None = None
 ) -> DataFrame:
     """pos, site, diseased, sample from the first three columns, whatever they are called."""
-    scan = _scan(spark, path, fmt)
-    if len(scan.columns) < 3:
-        raise ValueError(f"a sample sheet has three columns, this one {len(scan.columns)}")
-    kept = [
-        F.col(f"`{c}`").cast("string").alias(name)
-        for c, name in zip(scan.columns, ("site", "diseased", "sample"))
-    ]
-    return with_row_number(scan.select(*kept), "pos", fmt, landing=landing)
+    sheet = _open(spark, path, fmt)
+    if len(sheet.titles) < 3:
+        raise ValueError(f"a sample sheet has three columns, this one {len(sheet.titles)}")
+    kept = [sheet.column(i).cast("string").alias(name) for i, name in enumerate(("site", "diseased", "sample"))]
+    return with_row_number(sheet.frame.select(*kept), "pos", fmt, landing=landing)
 
 
 def read_genus_lookup(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """genus, description."""
-    return _scan(spark, path, fmt).select("genus", "description")
+    sheet = _open(spark, path, fmt)
+    return sheet.frame.select(*[sheet.named(c).alias(c) for c in ("genus", "description")])
 
 
 def study_from_sheets(

@@ -7,8 +7,11 @@ ITS2.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import cycle
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,24 +161,41 @@ def study(spark: SparkSession, sf_dir: str) -> Study:
     )
 
 
-def write_sheets(spark: SparkSession, sf_dir: str, path: str, fmt: str = "csv") -> None:
+def _write_lines(frame: DataFrame, titles: Sequence[str], path: str) -> None:
+    """frame as CSV under any titles, which Spark's writer refuses where they repeat: each file opens with them."""
+    line = F.to_csv(F.struct(*frame.columns))
+    header = frame.sparkSession.createDataFrame([tuple(titles)], [f"_{i}" for i in range(len(titles))])
+    opening = header.select(F.to_csv(F.struct(*header.columns)).alias("value")).first()["value"]
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([opening])], ["value"])
+        yield from batches
+
+    frame.select(line.alias("value")).mapInArrow(opened, "value string").write.mode("overwrite").text(path)
+
+
+def write_sheets(spark: SparkSession, sf_dir: str, path: str, fmt: str = "csv", blanks: Sequence[str] = ("PCR neg",)) -> None:
     """Writes the study as the sheets a user would export, CSV or Parquet: wide counts, samples, genera.
 
     Rows stand in order of OTU, spread over range-partitioned files. Attributes take the first 27
-    columns of a count sheet. ITS1 columns carry names of no meaning, since position names them.
+    columns of a count sheet. ITS1 columns carry names of no meaning, since position names them. In a CSV all blanks
+    of ITS2 have one title, or take turns with those of ``blanks``; Parquet has no repeated names, so there their
+    place is appended.
     """
     own = [r["sample"] for r in own_headers(spark, sf_dir).orderBy("sample_pos").collect()]
     columns = sample_count(spark, sf_dir)
+    turn = cycle(blanks)
     titles = {
         "ITS1": [f"column {p}" for p in range(1, columns + 1)],
-        # A header line cannot repeat a name, so blanks get their place appended.
-        "ITS2": [f"{n} at {p}" if n == "PCR neg" else n for p, n in enumerate(own, start=1)],
+        "ITS2": [
+            n if n != "PCR neg" else next(turn) if fmt == "csv" else f"{n} at {p}" for p, n in enumerate(own, start=1)
+        ],
     }
-    attributes = [F.lit(None).cast("string").alias(f"attribute {i}") for i in range(4, 28)]
+    attributes = [f"attribute {i}" for i in range(4, 28)]
     for marker, names in titles.items():
         here = cells(spark, sf_dir).filter(F.col("marker") == marker)
         wide = widen(here, ["otu"], range(1, columns + 1))
-        (
+        rows = (
             wide.join(otus(spark, sf_dir).select("otu", "header"), "otu")
             .repartitionByRange("otu")
             .sortWithinPartitions("otu")
@@ -183,12 +203,15 @@ def write_sheets(spark: SparkSession, sf_dir: str, path: str, fmt: str = "csv")
                 F.col("otu").alias("OTU"),
                 "header",
                 F.lit("").alias("spread"),
-                *attributes,
-                *[F.col(str(p)).alias(n) for p, n in enumerate(names, start=1)],
+                *[F.lit(None).cast("string").alias(a) for a in attributes],
+                *[F.col(str(p)).alias(f"_{p}") for p in range(1, columns + 1)],
             )
-            .write.mode("overwrite")
-            .save(f"{path}/{marker}", format=fmt, header=True)
         )
+        every = ["OTU", "header", "spread", *attributes, *names]
+        if fmt == "csv":
+            _write_lines(rows, every, f"{path}/{marker}")
+        else:
+            rows.toDF(*every).write.mode("overwrite").save(f"{path}/{marker}", format=fmt)
     (
         sample_sheet(spark, sf_dir)
         .repartitionByRange("pos")

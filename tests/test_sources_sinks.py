@@ -5,7 +5,7 @@ import random
 import pytest
 
 from study_fixture import CELLS, GENERA, OTUS, OWN, SHEET, make_study, rows
-from taxaloom.operators import cohort
+from taxaloom.operators import cohort, naming
 from taxaloom.plans import overview, pca, prepare, report
 from taxaloom.session import shared_folder
 from taxaloom.sinks.tables import write_overviews
@@ -196,3 +196,76 @@ def test_unknown_status_codes_are_refused(spark, code):
     sheet = spark.createDataFrame([(1, "s", code, "a")], "pos long, site string, diseased string, sample string")
     with pytest.raises(Exception, match=f"unknown status code: {code}"):
         cohort.sample_dimension(sheet).collect()
+
+
+def test_titles_that_repeat_in_any_case(spark, tmp_path):
+    titles = ["OTU", "header", "header 2", "PCR neg", "n1.h", "pcr NEG", "N2.h", "PCR neg", "Header"]
+    path = _write(tmp_path / "s.csv", [titles, [7, "x", "y", 1, 2, 3, 4, 5, 6]])
+    sheet = sheets.read_abundance_sheet(spark, path, "ITS2", first=4, landing=str(tmp_path / "landed"))
+    assert list(sheet.titles) == titles[3:]
+    assert rows(sheet.cells, "header", "sample_pos", "reads") == [("x", i, i) for i in range(1, 7)]
+    names = naming.own_names(sheet.headers)
+    assert rows(names, "sample_pos", "sample") == [
+        (1, "pcr_neg_1"), (2, "n1.h"), (3, "pcr_neg_2"), (4, "n2.h"), (5, "pcr_neg_3"), (6, "header")
+    ]
+
+
+def test_repeated_titles_that_are_no_blanks_are_refused_by_their_names(spark, files, tmp_path):
+    here = lambda name: str(tmp_path / "landed" / name)
+    line, *rest = open(files["ITS2"]).read().splitlines()
+    twice = _write(tmp_path / "twice.csv", [line.replace(OWN[1], OWN[0].upper()).split(","), *(r.split(",") for r in rest)])
+    study = sheets.study_from_sheets(
+        sheets.read_abundance_sheet(spark, files["ITS1"], "ITS1", first=3, last=8, landing=here("its1")),
+        sheets.read_abundance_sheet(spark, twice, "ITS2", first=3, landing=here("its2")),
+        sheets.read_sample_sheet(spark, files["samples"], landing=here("samples")),
+        sheets.read_genus_lookup(spark, files["genera"]),
+    )
+    with pytest.raises(ValueError, match=r"repeated sample columns: \[\('ITS2', 's1.h'\)\]"):
+        study.columns
+
+
+@pytest.mark.parametrize("titles", [["OTU", "OTU", "header", "a"], ["otu", "Otu", "header", "a"], ["id", "header", "b", "a"]])
+def test_attribute_columns_must_be_one(spark, tmp_path, titles):
+    path = _write(tmp_path / "s.csv", [titles, [7, 8, "x", 1]])
+    with pytest.raises(ValueError, match="columns named 'OTU'"):
+        sheets.read_abundance_sheet(spark, path, "ITS1", first=4, landing=str(tmp_path / "landed"))
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_counts_that_are_no_whole_numbers(spark, tmp_path, fmt):
+    path = str(tmp_path / "sheet")
+    frame = spark.createDataFrame(
+        [(7, "Alternaria x", 1, 2.0, 1.0), (8, "Alternaria y", 2, 1.7, None)],
+        "OTU long, header string, row long, a double, `b.1` double",
+    )
+    frame.coalesce(1).write.option("header", True).format(fmt).save(path)
+    strict = sheets.read_abundance_sheet(spark, path, "ITS1", fmt, first=4, ordinal="row")
+    with pytest.raises(Exception, match="'1.7' is no whole number in sample column 1 'a' of row OTU 8"):
+        strict.cells.collect()
+    shares = sheets.read_abundance_sheet(spark, path, "ITS1", fmt, first=4, ordinal="row", reads_type="double")
+    assert rows(shares.cells, "otu", "sample_pos", "reads") == [(7, 1, 2.0), (7, 2, 1.0), (8, 1, 1.7), (8, 2, None)]
+    with pytest.raises(ValueError, match="reads_type"):
+        sheets.read_abundance_sheet(spark, path, "ITS1", fmt, first=4, ordinal="row", reads_type="int")
+
+
+def test_shares_in_overview_and_report(spark, files, tmp_path):
+    """Reads above 1 count as present and reads above 0 are shown, whole or not."""
+    here = lambda name: str(tmp_path / "landed" / name)
+    lines = [["OTU", "header", *[f"c{i}" for i in range(6)]], [1, "Rare one", 1.5, 0.4, 2, 0, "", 0], [2, "Other two", 1, 3, 0.25, 1, 1, 1]]
+    path = _write(tmp_path / "shares.csv", lines)
+    kinds = {"first": 3, "reads_type": "double"}
+    study = sheets.study_from_sheets(
+        sheets.read_abundance_sheet(spark, path, "ITS1", landing=here("its1"), **kinds),
+        sheets.read_abundance_sheet(spark, files["ITS2"], "ITS2", first=3, landing=here("its2")),
+        sheets.read_sample_sheet(spark, files["samples"], landing=here("samples")),
+        sheets.read_genus_lookup(spark, files["genera"]),
+    )
+    found = overview.overview_by_taxon(study, "genus").filter("marker = 'ITS1'")
+    assert rows(found, "dataset", "taxon", "healthy", "sick") == [
+        ("extra", "Rare", 0, 1), ("original", "Other", 1, 0), ("original", "Rare", 0, 1)
+    ]
+    lines = report.report_lines(study).filter("marker = 'ITS1' AND block = 4").orderBy("sample_pos", "otu_pos")
+    assert [r["text"] for r in lines.collect()][:4] == [
+        "1 | Rare one | 1.5", "2 | Other two | 1", "1 | Rare one | 0.4", "2 | Other two | 3"
+    ]
+    assert pca.pca_all(study, 1).scores.count() == 8
