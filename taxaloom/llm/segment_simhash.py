@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxaloom.llm.common import batch_rows, signed, stored
@@ -52,16 +52,23 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(rows)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, digest: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long), and with digest the text's."""
+    names = ["doc_id", "digest"] if digest else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, (text,) in batch_rows(batches, "text"):
             found = np.fromiter(map(fingerprint, text), np.uint64, len(text))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], signed(found)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), signed(found)], [*names, "fp"])
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    kept = [F.col("doc_id").cast("long").alias("doc_id"), *([_digest(text)] if digest else []), text.alias("text")]
+    return docs.select(*kept).mapInArrow(run, ", ".join(["doc_id long", *(["digest string"] if digest else []), "fp long"]))
+
+
+def _digest(text: Column) -> Column:
+    """What tells texts apart; a NULL text is an empty one."""
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256).alias("digest")
 
 
 def cells_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,18 +204,44 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
+def classes(distinct: DataFrame) -> DataFrame:
+    """fp, root of distinct fingerprints (and their other columns): root is the least fingerprint reached by links."""
+    roots = components(links(distinct.select("fp")))
+    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return stored(placed.select(*distinct.columns, F.coalesce("root", "fp").alias("root")), "classes")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id of every row of docs."""
     prints = stored(fingerprints(docs), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    edges = links(distinct.select("fp"))
-    roots = components(edges)
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "rep", F.coalesce("root", "fp").alias("root")
-    )
-    placed = stored(placed, "classes")
+    placed = classes(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     named = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_print = stored(placed.join(named, "root").select("fp", "component_id"), "classes")
     return prints.join(by_print, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each component: that with the smallest doc_id, NULL after all others, then the least text digest.
+
+    Rows that agree in both are copies of one row, of which one stays. All columns of docs are kept.
+    """
+    rows = stored(fingerprints(docs, digest=True), "fingerprints")
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")
+    of_print = rows.groupBy("fp", "doc_id", "digest").agg(F.count("*").alias("n"))
+    distinct = of_print.groupBy("fp").agg(F.min_by(F.struct("doc_id", "digest", "n"), key).alias("best"))
+    placed = classes(distinct)
+    order = F.struct(F.col("best.doc_id").isNull().alias("nameless"), "best.doc_id", "best.digest")
+    best = placed.groupBy("root").agg(F.min_by("best", order).alias("best"))
+    best = stored(best.select("best.doc_id", "best.digest", "best.n"), "kept")
+    own = next(name for name in map("_digest{}".format, range(len(docs.columns) + 1)) if name not in docs.columns)
+    marked = docs.withColumn(own, _digest(F.col("text").cast("string")))
+
+    def stay(chosen: DataFrame) -> DataFrame:
+        same = marked["doc_id"].cast("long").eqNullSafe(chosen["doc_id"]) & (marked[own] == chosen["digest"])
+        return marked.join(chosen, same, "left_semi")
+
+    # Both branches join the same texts, dealt out once. Few rows have copies that agree in id and text.
+    copies = stay(best.filter("n > 1")).dropDuplicates(["doc_id", own])
+    return stay(best.filter("n = 1")).unionByName(copies).select(*docs.columns)
