@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxaloom.llm import bin_completion, secret_links, shingle_groups, subword_quality, template_decontam
+from taxaloom.llm import bin_completion, secret_links, segment_simhash, subword_quality, template_decontam
 from taxaloom.llm.common import documents, stored, table
 
 # The packing has no SQL, nor have the learnt stages.
@@ -23,15 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; documents without an id stay as they are."""
-    named = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
-    found = stored(shingle_groups.groups(named), "groups")
-    rows = shingle_groups.keyed(named).drop("text").join(found, "class", "left")
-    rows = stored(rows.select("doc_id", F.coalesce("root", "class").alias("root")), "rows")
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("kept"))
-    # What stays is most rows, what goes is few: the texts meet the short list.
-    gone = stored(rows.join(least, "root").filter("doc_id != kept").select("doc_id").distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    """One document of each group of near-duplicates."""
+    return segment_simhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +47,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("near-dedup", near_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("benchmark decontamination", decontaminate),
     ("secret scans", mask_secrets),
     ("best-fit packing", pack),
@@ -64,5 +57,5 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "_").lower())
     return STAGES[-1][1](spark, docs, sf_dir)
