@@ -6,7 +6,8 @@ lengths, which has that bound at any scale, and a filling is applied to as many
 allow. Around the largest length left, undominated fillings of the rest are enumerated (a filling is
 dominated if one of its lengths can be exchanged for a larger one that still fits); a branch is cut when the waste so
 far exceeds what the incumbent allows. The incumbent is best-fit decreasing, and every descent of the search
-that needs fewer sequences replaces it; the search ends at the lower bound or after SEARCH_STEPS fillings.
+that needs fewer sequences replaces it. The search ends at the lower bound or once SEARCH_STEPS fillings were tried, and
+returns the incumbent.
 
 Documents never pass through the driver: a piece gets its rank among the pieces of its length from running counts
 per task and the sums of the tasks before, and the plan (a table of filling, multiplicity and rank ranges) says
@@ -19,9 +20,11 @@ any; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from bisect import bisect_right
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,10 +38,11 @@ from taxaloom.llm.common import batch_rows, stored
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 SEPARATOR = 0
-WORDS_KEPT = 2_000_000  # about 230 bytes each
-SEARCH_STEPS = 20_000  # fillings tried beyond the first descent
+WORDS_KEPT = 400_000  # a task remembers the ids of so many words, about 230 bytes each
+SEARCH_STEPS = 10_000  # fillings tried
 ENUMERATED = 400  # nodes looked at while enumerating fillings of one sequence
 OPTIONS = 4  # fillings kept per sequence
+BRANCHES = 40  # next lengths tried at a node of the enumeration, largest first
 
 
 # ---- tokens
@@ -50,21 +54,25 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: itself if it shows, else the next letter from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+# Letters that stay one character in lower case and under normalisation, then signs that make a token of their own.
+PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class WordIds(dict):
-    """Token ids of words as little-endian 32-bit numbers.
+    """Token ids of words as little-endian 32-bit numbers, for the time of a task.
 
     The vocabulary's pre-tokeniser always splits at white space, so a text's ids are those of its words in
-    order, and a word is encoded once. A Python worker keeps its words from task to task.
+    order, and a word is encoded once. Most words are letters of Latin-1 with signs behind them: those two parts are what
+    its normaliser and pre-tokeniser make of them, so they go to its model directly. All others go the whole way.
     """
 
-    kept: dict[str, WordIds] = {}
-
-    @classmethod
-    def of(cls, path: str) -> WordIds:
-        if path not in cls.kept:
-            cls.kept[path] = cls(path)
-        return cls.kept[path]
-
     def __init__(self, path: str):
         # Spark runs a worker per core; threads of their own would only compete.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,18 +80,43 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: list[bytes]) -> None:
-        """Encodes the words not seen yet, all at once."""
+        self.letters = _byte_letters()
+        self.parts: dict[str, bytes] = {}  # ids of the signs behind words, which are few
+
+    def _model(self, part: str) -> bytes:
+        tokens = self.tokenizer.model.tokenize(part)
+        return array("I", [t.id for t in tokens]).tobytes()
+
+    def _plain(self, letters: str, signs: str) -> bytes:
+        letters = letters.lower()
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(self.letters)
+        ids = self._model(letters)
+        if not signs:
+            return ids
+        if signs not in self.parts:
+            if len(self.parts) > 10_000:
+                self.parts.clear()
+            self.parts[signs] = self._model(signs)
+        return ids + self.parts[signs]
+
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Encodes the words not seen yet."""
         new = [w for w in set(words) if w not in self]
-        if not new:
-            return
-        if len(self) > WORDS_KEPT:
+        if len(self) + len(new) > WORDS_KEPT:
             self.clear()
             new = list(set(words))
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        for word, e in zip(new, encoded):
-            self[word] = np.array(e.ids, "<u4").tobytes()
+        odd = []
+        for word in new:
+            text = word.decode()
+            plain = PLAIN.fullmatch(text)
+            if plain:
+                self[word] = self._plain(plain[1], plain[2])
+            else:
+                odd.append(text)
+        if odd:
+            for text, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
+                self[text.encode()] = array("I", e.ids).tobytes()
 
     def ids(self, text: bytes) -> bytes:
         """The ids of a text, then the separator. Its words must have been learnt."""
@@ -94,7 +127,7 @@ def pieces(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, and part, rank: the place among its task's pieces of that length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds.of(path)
+        words = WordIds(path)  # goes with the task
         part, counts = TaskContext.get().partitionId(), [0] * (CAPACITY + 1)
         step = 4 * CAPACITY
         for batch, (ids, text) in batch_rows(batches, "doc_id", "text"):
@@ -192,7 +225,7 @@ def fillings(lengths: list[int], counts: dict[int, int], rest: int) -> list[tupl
         fits = False
         exact = counts.get(rest, 0) - used.get(rest, 0) if rest <= top else 0
         order = [rest] if exact > 0 else lengths[: bisect_right(lengths, min(rest, top))][::-1]
-        for length in order[:40]:
+        for length in order[:BRANCHES]:
             if counts[length] <= used.get(length, 0):
                 continue
             fits = True
@@ -240,33 +273,32 @@ class _Level:
 
 
 def complete(counts: dict[int, int], capacity: int = CAPACITY, steps: int = SEARCH_STEPS) -> list[tuple[Filling, int]]:
-    """Fillings with multiplicities that use up counts, in as few sequences as the search finds."""
+    """Fillings with multiplicities that use up counts, in as few sequences as the search finds within its steps."""
     best = best_fit(counts, capacity)
     size, bound = sum(n for _, n in best), lower_bound(counts, capacity)
     total = sum(length * n for length, n in counts.items())
-    left = dict(counts)
+    left = {x: n for x, n in counts.items() if n}
+    lengths = sorted(left)  # those left, ascending
     levels: list[_Level] = []
     wasted = used = 0
-    descended = False
-    while size > bound and (steps > 0 or not descended):
-        lengths = sorted(x for x in left if left[x])
+    while size > bound:
         if not lengths:
             if used < size:
                 size = used
                 best = [((lv.largest, *lv.options[lv.taken][1]), lv.times) for lv in levels]
-            descended = True
         elif wasted <= (size - 1) * capacity - total:
             largest = lengths[-1]
             left[largest] -= 1
             rest = capacity - largest
-            options = fillings([x for x in lengths if left[x] and x <= rest], left, rest) if rest >= lengths[0] else []
+            others = [x for x in lengths[: bisect_right(lengths, rest)] if left[x]]
+            options = fillings(others, left, rest) if others else []
             left[largest] += 1
             levels.append(_Level(largest, options or [(rest, ())]))
         # Go on with the next option of the deepest level that has one.
         while levels:
             level = levels[-1]
             if level.taken >= 0:
-                _apply(left, level, 1)
+                _apply(left, lengths, level, 1)
                 wasted -= level.options[level.taken][0] * level.times
                 used -= level.times
             level.taken += 1
@@ -275,19 +307,25 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, steps: int = SEAR
                 continue
             filling = (level.largest, *level.options[level.taken][1])
             level.times = min(left[x] // filling.count(x) for x in set(filling))
-            _apply(left, level, -1)
+            _apply(left, lengths, level, -1)
             wasted += level.options[level.taken][0] * level.times
             used += level.times
-            steps -= descended
             break
-        if not levels:
+        steps -= 1
+        if not levels or steps < 0:
             break
     return best
 
 
-def _apply(left: dict[int, int], level: _Level, sign: int) -> None:
+def _apply(left: dict[int, int], lengths: list[int], level: _Level, sign: int) -> None:
+    """Takes a level's fillings out of what is left, or puts them back; lengths stay those that are left."""
     for x in (level.largest, *level.options[level.taken][1]):
+        before = left[x]
         left[x] += sign * level.times
+        if not left[x]:
+            del lengths[bisect_left(lengths, x)]
+        elif not before:
+            insort(lengths, x)
 
 
 # ---- placing
