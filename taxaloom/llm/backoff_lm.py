@@ -11,7 +11,7 @@ context and costs log b(h). A text is one left-to-right traversal that carries t
 begins in the state of the text start; its end is a token.
 
 The model grows with the corpus, so it is never in one place. Documents are written once in blocks of numbered
-tokens (common.Blocks), which every later pass reads. Per order, each
+tokens (common.Blocks), a row each, which every later pass reads. Per order, each
 block sends its distinct n-gram hashes, sorted and packed, with its own counts to hash buckets; a bucket adds up and
 sends each block the totals of what that block asked for, in the order asked, so hashes travel one way only. A hash
 is in a bucket once per block at most, however frequent the n-gram. A third kind of sum, by context, gives the mass of the kept
@@ -19,6 +19,9 @@ n-grams of a context: the first block that asked for an n-gram reports it, so ea
 builds the automaton of the n-grams it holds and runs its texts through. An n-gram is only asked for if its shorter parts
 were seen in training.
 
+What came back in a round is a table in the buckets of the blocks, a row per block, so later rounds join it without moving
+it again. Buckets of n-grams are as many as the text needs, not as there are blocks.
+
 Words and n-grams are known by 64-bit hashes.
 
 Cases: a NULL or empty text is the end token alone; NULL ids count as the empty text in the split and keep their row;
@@ -29,7 +32,7 @@ every probability is 1.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import count
 from zlib import crc32
 
@@ -39,11 +42,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxaloom.llm.common import Blocks, mix, stored, texts
+from taxaloom.llm.common import Blocks, forget_shuffles, mix, stored, texts
 
 ORDER = 3
 MIN_COUNT = 1  # every n-gram seen in training is an arc and counts for the discounts
-BLOCK_BYTES = 3 * 1024 * 1024  # of text; a block's automaton holds every n-gram, so half of what it was with repeated ones only
+BLOCK_BYTES = 3 * 1024 * 1024  # of text; a block's automaton holds every n-gram
+BUCKET_BYTES = 8 * 1024 * 1024  # of text whose n-grams of one order are added up in one task
 FOLDS, HELD_OUT = 7, 2
 BASE = np.uint64(0x9E3779B97F4A7C15)
 START, END = (xxhash.xxh3_64_intdigest(x, seed=1) for x in (b"start of text", b"end of text"))
@@ -69,12 +73,12 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
 
 
 class Sums:
-    """Totals that came back for the keys a block asked for, by kind."""
+    """Totals that came back for the keys a block asked for, by kind. ``answers`` are (kind, bucket, totals, first)."""
 
-    def __init__(self, rows: pa.Table, buckets: int):
+    def __init__(self, answers: Iterable[tuple[str, int, bytes, bytes]], buckets: int):
         self.buckets = buckets
         self.by_kind: dict[str, dict[int, tuple]] = defaultdict(dict)
-        for kind, bucket, totals, first in zip(*(rows[c].to_pylist() for c in ("kind", "bucket", "totals", "first"))):
+        for kind, bucket, totals, first in answers:
             self.by_kind[kind][bucket] = (totals, first)
 
     def of(self, kind: str, keys: np.ndarray, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -92,10 +96,9 @@ def split(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """Indices of the keys of each bucket, in order of keys."""
     bucket = (keys >> np.uint64(33)) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-    for b in range(buckets):
-        if edges[b] < edges[b + 1]:
-            yield b, order[edges[b] : edges[b + 1]]
+    edges = np.flatnonzero(np.diff(bucket[order], prepend=np.uint64(buckets), append=np.uint64(buckets)))
+    for start, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        yield int(bucket[order[start]]), order[start:end]
 
 
 def _encode(rows: pa.Table) -> pa.Table:
@@ -130,7 +133,7 @@ ENCODED = pa.schema(
 class Block:
     """The tokens of a block's documents as local numbers, documents one after another."""
 
-    def __init__(self, row: pa.Table):
+    def __init__(self, row: pa.RecordBatch):
         self.ids, sizes, tokens, words = (row[n][0].as_py() for n in ENCODED.names[1:])
         self.sizes = np.array(sizes, np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -264,33 +267,42 @@ def _add_up(rows: pa.Table) -> pa.Table:
     out = []
     for i, end in enumerate(ends):
         at = slice(end - len(keys[i]), end)
-        told = stats if i == 0 else [0] * 4
+        told = stats if i == 0 else [None] * 4  # numbers of the whole bucket, told once
         out.append((block[i], kind[i], bucket[i], packed(total[inverse[at]]), np.packbits(mark[at]).tobytes(), *told))
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), ANSWER)], schema=ANSWER)
 
 
+def _known(batch: pa.RecordBatch, i: int, rounds: int, buckets: int) -> tuple[pa.RecordBatch, Sums]:
+    """A block's row, and the sums of the rounds before."""
+    row = batch.slice(i, 1)
+    answers = [a for n in range(1, rounds + 1) for a in row[f"round{n}"][0].as_py() or ()]
+    return row, Sums([(a["kind"], a["bucket"], a["totals"], a["first"]) for a in answers], buckets)
+
+
 def _round(n: int, buckets: int):
     """Requests of round n: counts of order n, and sums by context of order n - 1."""
 
-    def ask(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if len(rows):
-            number, block = rows["block"][0].as_py(), Block(rows)
-            grams = Grams(block, Sums(answers, buckets), n - 1)
-            if n > 1:
-                if n <= ORDER:
-                    grams.extend(n)
-            if n <= ORDER:
-                out += _requests(number, f"n{n}", block.order[n][0], block.local_counts(n)[:, None], buckets)
-            if n == 1:
-                # Texts begun in training, as a count of its own.
-                start = np.array([START], np.uint64)
-                out += _requests(number, "start", start, np.array([[block.trained.sum()]]), buckets)
-            if n > 2:
-                keys, _, values = grams.context_request(n - 1)
-                out += _requests(number, f"c{n - 1}", keys, values, buckets)
-        columns = list(zip(*out)) if out else [[]] * len(REQUEST)
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, REQUEST)], schema=REQUEST)
+    def of_block(row: pa.RecordBatch, sums: Sums) -> Iterator[tuple]:
+        number, block = row["block"][0].as_py(), Block(row)
+        grams = Grams(block, sums, n - 1)
+        if 1 < n <= ORDER:
+            grams.extend(n)
+        if n <= ORDER:
+            yield from _requests(number, f"n{n}", block.order[n][0], block.local_counts(n)[:, None], buckets)
+        if n == 1:
+            # Texts begun in training, as a count of its own.
+            start = np.array([START], np.uint64)
+            yield from _requests(number, "start", start, np.array([[block.trained.sum()]]), buckets)
+        if n > 2:
+            keys, _, values = grams.context_request(n - 1)
+            yield from _requests(number, f"c{n - 1}", keys, values, buckets)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                out = list(of_block(*_known(batch, i, n - 1, buckets)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), REQUEST)], schema=REQUEST)
 
     return ask
 
@@ -311,8 +323,8 @@ class Automaton:
     """States, arcs and failure arcs of the n-grams of one block.
 
     A state is a context: 0 is the empty one, others are numbered as they appear. Tokens are places among the block's
-    distinct words. ``arcs`` maps state * words + token to (log-probability, next state); the empty state has
-    an arc for every token in ``root``.
+    distinct words. Arcs are numbered: ``weight`` and ``target`` hold their log-probabilities and next states, ``arcs`` maps
+    state * words + token to the number. The empty state has an arc for every token, with the token's number.
     """
 
     def __init__(self, grams: Grams, sums: Sums, model: Model):
@@ -328,7 +340,7 @@ class Automaton:
         self.token = place
         p = p1[place]  # probability of each position's token in the context of the order so far
         self.fail, self.back = [0], [0.0]
-        self.arcs: dict[int, tuple[float, int]] = {}
+        self.arcs: dict[int, int] = {}
         contexts: dict[int, np.ndarray] = {}  # per order: at each position, the state of its context or 0
         lower = np.zeros(len(place), np.int64)
         self.start = 0
@@ -380,28 +392,39 @@ class Automaton:
             return after
 
         after = {n: following(n) for n in contexts}
-        self.root = [(0.0, 0)] * self.words
-        self._set_root(p1, place, after[2])
+        following_word = np.zeros(self.words, np.int64)
+        # A text's last token has no follower; all other places of a token agree.
+        some = after[2] > 0
+        following_word[place[some]] = after[2][some]
+        weights, targets = [np.log10(p1)], [following_word]
         for depth, (here, arc, prob) in enumerate(held):
+            found, gram = block.order[depth + 2]
             at = np.flatnonzero(arc)
-            pairs, one, inverse = np.unique(here[at] * self.words + place[at], return_index=True, return_inverse=True)
+            # One place of each n-gram tells its context, token and probability.
+            one = np.full(len(found), NONE, np.int64)
+            one[gram[at]] = at
+            numbers = np.flatnonzero(one >= 0)
+            one = one[numbers]
             # An arc of order n leads to a state of order n + 1 if the n-gram is a context, else to the next shorter.
             target = np.zeros(len(place), np.int64)
             for n in range(2, min(depth + 3, ORDER) + 1):
                 target = np.where(after[n] > 0, after[n], target)
-            # A text's last token has no follower, so the largest number is the state.
-            state = np.zeros(len(pairs), np.int64)
-            np.maximum.at(state, inverse, target[at])
-            self.arcs.update(zip(pairs.tolist(), zip(np.log10(prob[at][one]).tolist(), state.tolist())))
-
-    def _set_root(self, p1: np.ndarray, place: np.ndarray, after: np.ndarray) -> None:
-        following = np.zeros(self.words, np.int64)
-        np.maximum.at(following, place, after)
-        self.root = list(zip(np.log10(p1).tolist(), following.tolist()))
+            state = np.zeros(len(found), np.int64)
+            longest = np.zeros(len(found), np.int64)
+            np.maximum.at(longest, gram[at], target[at])
+            state[numbers] = longest[numbers]
+            base = sum(map(len, weights))
+            keys = (here[one] * self.words + place[one]).tolist()
+            self.arcs.update(zip(keys, range(base, base + len(keys))))
+            weights.append(np.log10(prob[one]))
+            targets.append(state[numbers])
+        self.weight, self.target = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
 
     def score(self, tokens: list[int]) -> float:
         """The log10 probability of a text, token by token from its start."""
-        arc_of, root, fail, back, words = self.arcs.get, self.root, self.fail, self.back, self.words
+        arc_of, weight, target, fail, back, words = (
+            self.arcs.get, self.weight, self.target, self.fail, self.back, self.words
+        )
         total, state = 0.0, self.start
         for token in tokens:
             while state:
@@ -410,9 +433,9 @@ class Automaton:
                 total += back[state]
                 state = fail[state]
             else:
-                arc = root[token]
-            weight, state = arc
-            total += weight
+                arc = token
+            total += weight[arc]
+            state = target[arc]
         return total
 
 
@@ -433,38 +456,52 @@ SCHEMA = (
 
 
 def _scorer(model: Model, buckets: int):
-    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        if not len(rows):
-            return SCORED.empty_table()
-        sums, block = Sums(answers, buckets), Block(rows)
+    def of_block(row: pa.RecordBatch, sums: Sums) -> Iterator[tuple]:
+        block = Block(row)
         grams = Grams(block, sums, ORDER)
         automaton = Automaton(grams, sums, model)
         counts = grams.at(1, grams.total[1], 0)
         base = np.log10((counts + 1) / (model.tokens + model.words + 1))
-        out = []
-        for i, (doc_id, start, size) in enumerate(zip(block.ids, block.starts, block.sizes)):
+        for doc_id, start, size in zip(block.ids, block.starts, block.sizes):
             at = slice(start, start + size)
             score = automaton.score(automaton.token[at].tolist())
             known = int((counts[at] > 0).sum())
-            out.append((doc_id, not block.trained[i], size, known, model.tokens, float(base[at].sum()), score))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), SCORED)], schema=SCORED)
+            yield doc_id, not in_training(doc_id), size, known, model.tokens, float(base[at].sum()), score
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                out = list(of_block(*_known(batch, i, ORDER + 1, buckets)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), SCORED)], schema=SCORED)
 
     return run
 
 
-def scores(docs: DataFrame) -> DataFrame:
-    """One row per document with the columns of SCHEMA."""
-    spark = docs.sparkSession
-    blocks = Blocks(docs, BLOCK_BYTES, _encode, _ddl(ENCODED))
-    buckets = 2 * blocks.count
-    grouped = blocks.frame.groupBy("block")
-    answers = spark.createDataFrame([], _ddl(ANSWER))
-    stats: dict[str, tuple] = {}
+def _by_block(found: DataFrame, blocks: Blocks, n: int) -> DataFrame:
+    """The answers of a round as a row per block, in the buckets of the blocks; and the numbers told by its buckets."""
+    answer = F.struct("kind", "bucket", "totals", "first")
+    told = F.when(F.col("sum").isNotNull(), F.struct("kind", "sum", "distinct", "once", "twice"))
+    return blocks.beside(
+        found.groupBy("block").agg(F.collect_list(answer).alias(f"round{n}"), F.collect_list(told).alias(f"told{n}")), f"sums{n}"
+    )
+
+
+def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """One row per document with the columns of SCHEMA, as a stored table."""
+    blocks = Blocks(docs, block_bytes, _encode, _ddl(ENCODED))
+    buckets = max(1, blocks.count * block_bytes // bucket_bytes)
+    known, stats = blocks.frame, {}
     for n in range(1, ORDER + 2):
-        asked = grouped.cogroup(answers.groupBy("block")).applyInArrow(_round(n, buckets), _ddl(REQUEST))
-        found = stored(asked.groupBy("kind", "bucket").applyInArrow(_add_up, _ddl(ANSWER)), f"sums{n}")
-        answers = found if n == 1 else answers.unionAll(found)
+        asked = known.mapInArrow(_round(n, buckets), _ddl(REQUEST))
+        answers = _by_block(asked.groupBy("kind", "bucket").applyInArrow(_add_up, _ddl(ANSWER)), blocks, n)
         # Four numbers per kind.
-        sums = found.groupBy("kind").agg(*[F.sum(c) for c in ("sum", "distinct", "once", "twice")]).collect()
+        told = answers.select(F.explode(f"told{n}").alias("t")).groupBy("t.kind")
+        sums = told.agg(*[F.sum(f"t.{c}") for c in ("sum", "distinct", "once", "twice")]).collect()
         stats |= {r[0]: tuple(r[1:]) for r in sums}
-    return grouped.cogroup(answers.groupBy("block")).applyInArrow(_scorer(Model(stats), buckets), SCHEMA)
+        known = known.join(answers.drop(f"told{n}"), "block", "left")
+        del asked
+        forget_shuffles(docs.sparkSession)
+    scored = stored(known.mapInArrow(_scorer(Model(stats), buckets), SCHEMA), "scores")
+    blocks.drop()
+    return scored

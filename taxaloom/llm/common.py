@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -66,9 +67,31 @@ class Blocks:
             .saveAsTable(self.name)
         )
         self.frame = spark.table(self.name)
+        self.names = [self.name]
+
+    def beside(self, rows: DataFrame, purpose: str) -> DataFrame:
+        """Rows with a block, as a table in the same buckets: joining it with the blocks moves neither."""
+        spark, name = rows.sparkSession, f"{self.name}_{purpose}"
+        (
+            rows.repartition(self.count, "block")
+            .write.bucketBy(self.count, "block")
+            .option("path", shared_folder(spark, purpose))
+            .option("compression", "zstd")
+            .saveAsTable(name)
+        )
+        self.names.append(name)
+        return spark.table(name)
 
     def drop(self) -> None:
-        self.frame.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
+        """Takes the tables out of the catalog. Their files stay in the shared folder."""
+        for name in self.names:
+            self.frame.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Has shuffle files of jobs that nothing refers to removed now, not at the driver's next collection of garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def remainder(doc_id: Column | str, modulus: int) -> Column:
