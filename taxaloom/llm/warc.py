@@ -33,6 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taxaloom.llm.common import stored
 from taxaloom.session import shared_folder
 
 MIN_REVISIT_BYTES = 1000
@@ -103,7 +104,9 @@ def with_revisits(pages: DataFrame) -> DataFrame:
         .filter("copies > 1")
         .select(F.col("digest").alias("shared"), "holder")
     )
-    joined = digested.join(shared, F.col("digest") == F.col("shared"), "left")
+    # Pages without a digest meet nothing; a key of their own spreads them over all tasks.
+    own = F.concat(F.lit("none "), F.coalesce(F.col("page_id").cast("string"), F.xxhash64("html").cast("string")))
+    joined = digested.join(shared, F.coalesce(F.col("digest"), own) == F.col("shared"), "left")
     refers = F.when(F.col("holder") != F.col("page_id"), F.col("holder"))
     return joined.select("page_id", "url", "html", refers.alias("refers_to"))
 
@@ -225,7 +228,7 @@ def read_records(read: Callable[[int], bytes], take: Callable[[bytes], None] = l
 
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
-    """One row per record of the named archives, an archive per row of archives."""
+    """One row per record of the named archives, an archive per row of archives and as many tasks as archives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, _ = fs.FileSystem.from_uri(folder)
@@ -250,7 +253,8 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    spread = archives.select("archive").repartition("archive")
+    # Names are tiny, so adaptive execution would merge them into one task if the number were not given.
+    spread = archives.select("archive").repartition(max(1, archives.count()))
     return spread.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
@@ -274,4 +278,5 @@ def round_trip(pages: DataFrame) -> DataFrame:
     folder = shared_folder(pages.sparkSession, "warc")
     if "://" not in folder and not folder.startswith("file:"):
         folder = f"file://{folder}"
-    return read_archives(write_archives(with_revisits(pages), folder), folder)
+    # The list of archives is a table, so they are written once, however often it is read.
+    return read_archives(stored(write_archives(with_revisits(pages), folder), "archives"), folder)
