@@ -1,14 +1,14 @@
-"""Homomorphic fingerprints of documents: the sum of wide vectors hashed from paragraphs, modulo 2**16.
+"""Homomorphic fingerprints of documents: the sum of wide vectors hashed from paragraphs, modulo powers of two.
 
 Every paragraph (a line with words) becomes a vector of 192 lanes; a document's fingerprint is the lane-wise
-sum modulo 2**16 of its paragraphs' vectors. So it does not depend on their order, and inserting or deleting
+sum of its paragraphs' vectors. So it does not depend on their order, and inserting or deleting
 a paragraph adds or subtracts its vector.
 
-* 64 lanes hold numbers of full range hashed from the paragraph's words, 1024 bits in all: two different
+* 64 lanes modulo 2**16 hold numbers of full range hashed from the paragraph's words, 1024 bits in all: two different
   multisets of paragraphs agree in them only by accident.
-* 128 lanes hold the sum of signs (+1, -1) hashed from the paragraph's runs of three words. Their inner
-  product estimates how many such runs two documents share, which makes likeness gradual. A sum of more than
-  32767 equal signs wraps around, as any lane does.
+* 128 lanes modulo 2**32 hold the sum of signs (+1, -1) hashed from the paragraph's runs of three words. Their inner
+  product estimates how many such runs two documents share, which makes likeness gradual. It takes 2**31 runs of
+  one sign, a text of many GB, to wrap around.
 
 Likeness is 1 for equal fingerprints, else the estimated shared runs over the larger document's, held to 0..1.
 
@@ -64,34 +64,40 @@ def _runs(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(text: str, words: WordHashes) -> np.ndarray:
-    """The lanes of a text, as unsigned 16-bit numbers."""
+    """The lanes of a text as unsigned numbers, each below its power of two."""
     paragraphs = [found for line in text.encode("utf-8").split(b"\n") if (found := line.split())]
     if not paragraphs:
-        return np.zeros(EXACT_LANES + SIGN_LANES, np.uint16)
+        return np.zeros(EXACT_LANES + SIGN_LANES, np.uint32)
     digest = xxhash.xxh3_64_intdigest
     lines = np.fromiter([digest(b" ".join(p)) for p in paragraphs], np.uint64, len(paragraphs))
     seeds = lines[:, None] + np.arange(1, EXACT_LANES // 4 + 1, dtype=np.uint64) * MULTIPLIERS[0]
     exact = mix(seeds).view(np.uint16).sum(axis=0, dtype=np.int64)
     sizes = np.fromiter(map(len, paragraphs), np.int64, len(paragraphs))
     runs = _runs(words.of([w for p in paragraphs for w in p]), sizes)
-    return np.concatenate([exact, _signs(runs)]).astype(np.uint16)
+    return _held(np.concatenate([exact, _signs(runs)]).astype(np.uint32))
+
+
+def _held(lanes: np.ndarray) -> np.ndarray:
+    """The lanes with those for exactness cut to their 16 bits; the others have the 32 of their type."""
+    lanes[:EXACT_LANES] &= 0xFFFF
+    return lanes
 
 
 def combine(a: np.ndarray, b: np.ndarray, sign: int = 1) -> np.ndarray:
     """The fingerprint after inserting (1) or deleting (-1) the paragraphs of b."""
-    return a + b if sign > 0 else a - b
+    return _held(a + b if sign > 0 else a - b)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     if np.array_equal(a, b):
         return 1.0
-    x, y = (v[EXACT_LANES:].astype(np.int16).astype(np.float64) for v in (a, b))
+    x, y = (v[EXACT_LANES:].view(np.int32).astype(np.float64) for v in (a, b))
     size = max(x @ x, y @ y)
     return float(min(1.0, max(0.0, (x @ y) / size))) if size else 0.0
 
 
 def as_text(lanes: np.ndarray) -> str:
-    return lanes.astype("<u2").tobytes().hex()
+    return lanes[:EXACT_LANES].astype("<u2").tobytes().hex() + lanes[EXACT_LANES:].astype("<u4").tobytes().hex()
 
 
 def edited(text: str, following: str) -> str:
