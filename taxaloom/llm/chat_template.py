@@ -385,21 +385,24 @@ def parse_turn(output: str) -> tuple[str, str]:
     return unescape(role), unescape(output[marks[HEAD_END].end() : marks[TURN_CLOSE].start()])
 
 
-def turns_of(pieces: Pieces) -> Iterator[tuple[str, str, int]]:
-    """Rendered turns as (text of the turn, learnt part, code points), cut where a turn's close mark stands."""
-    held, learnt, size = [], [], 0
+def turns_of(pieces: Pieces) -> Iterator[tuple[str, str, int, int, bool]]:
+    """Rendered turns as (text, learnt part, code points, where the learnt part starts, whether it is a turn).
+
+    A turn ends where its close mark stands; what follows the last one is no turn. What is learnt of a turn is one stretch.
+    """
+    held, learnt, size, at = [], [], 0, 0
     for text, learn in pieces:
-        size += len(text)
         if learn:
+            if not learnt:
+                at = size
             learnt.append(text)
-        if not learn and held and text.startswith((TURN_CLOSE, TURN_CLOSE + END)):
-            held.append(text)
-            yield "".join(held), "".join(learnt), size
-            held, learnt, size = [], [], 0
-        else:
-            held.append(text)
+        size += len(text)
+        held.append(text)
+        if not learn and len(held) > 1 and text.startswith((TURN_CLOSE, TURN_CLOSE + END)):
+            yield "".join(held), "".join(learnt), size, at, True
+            held, learnt, size, at = [], [], 0, 0
     if size:
-        yield "", "", size
+        yield "".join(held), "".join(learnt), size, at, False
 
 
 SCHEMA = (
@@ -421,9 +424,9 @@ def digest(conv_id: int | None, pieces: Pieces) -> tuple:
     """A conversation read back from its rendered pieces."""
     turns, loss = hashlib.sha256(), hashlib.sha256()
     n = loss_chars = formatted = 0
-    for output, learnt, size in turns_of(pieces):
+    for output, learnt, size, _, is_turn in turns_of(pieces):
         formatted += size
-        if output:
+        if is_turn:
             role, text = parse_turn(output)
             turns.update(f"{role}\n{text}\n".encode())
             n += 1
@@ -439,10 +442,19 @@ def rendered(conversations: DataFrame, template: str = DEFAULT_TEMPLATE) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template)
         for conv_id, messages in _conversations(batches):
-            for pos, (output, learnt, _) in enumerate(turns_of(render(messages))):
-                start = output.rindex(learnt) if learnt else 0
-                one = [[conv_id], [pos], [output], [start], [start + len(learnt)]]
-                yield pa.RecordBatch.from_pydict(dict(zip(names, one)), schema=shape)
+            last: list | None = None  # the turn before, which what follows the last turn belongs to
+            for output, learnt, _, start, is_turn in turns_of(render(messages)):
+                if not is_turn and last is not None:
+                    last[2] += output
+                    continue
+                if last is not None:
+                    yield row(last)
+                last = [conv_id, 0 if last is None else last[1] + 1, output, start, start + len(learnt)]
+            if last is not None:
+                yield row(last)
+
+    def row(values: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({n: [v] for n, v in zip(names, values)}, schema=shape)
 
     names = ["conv_id", "pos", "formatted", "learn_from", "learn_to"]
     shape = pa.schema(zip(names, [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]))
