@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxaloom.llm.common import Blocks, WordHashes, signed, stored, texts, window_hashes
+from taxaloom.llm.common import BLOCK_BYTES, Blocks, WordHashes, signed, stored, texts, window_hashes
 
 WORDS = 50
 PERIOD = 31
@@ -176,9 +176,9 @@ ROW = pa.schema(
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
+def deduplicated(docs: DataFrame, with_text: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row, and kept (the words left, joined by a space)."""
-    blocks = Blocks(docs)
+    blocks = Blocks(docs, block_bytes)
     grouped = blocks.frame.groupBy("block")
     anchors = grouped.applyInArrow(_anchor_rows, "block int, anchor long, least long, many boolean")
     # A hash is in few blocks or many, each with one row; the running window holds no group in memory.

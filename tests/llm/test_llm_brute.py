@@ -62,30 +62,24 @@ def test_lm_scoring(run, docs):
         counts[2].update(zip(s, s[1:], s[2:]))
     n, v = sum(counts[0].values()), len(counts[0])
     d = []
-    for k, c in enumerate(counts):
-        parts = counts[k - 1] | Counter({("<start>",) if k == 2 else "<start>": 2}) if k else {}
-        whole = (lambda g: g[0]) if k == 1 else (lambda g: g)
-        often = {g for g, x in c.items() if not k or parts[whole(g[:-1])] >= 2 and parts[whole(g[1:])] >= 2}
-        tally = Counter(c[g] for g in often)
+    for c in counts:
+        tally = Counter(c.values())
         d.append(tally[1] / (tally[1] + 2 * tally[2]))
-    one = Counter(counts[0])
-    one["<start>"] = len(train)
+    # Per history: its count, and what its followers seen in training hold after the discount.
+    whole = [Counter({(w,): c for w, c in counts[0].items()}) | Counter({("<start>",): len(train)}), counts[1]]
     mass = [defaultdict(float), defaultdict(float)]
     for k, order in enumerate(counts[1:]):
         for gram, c in order.items():
-            if c >= 2:
-                mass[k][gram[:-1]] += c - d[k + 1]
+            mass[k][gram[:-1]] += c - d[k + 1]
 
     def p(history, w):
         if not history:
             return (counts[0][w] - d[0]) / n if counts[0][w] else d[0] * v / n
-        below = p(history[1:], w)
-        k = len(history)
-        whole = (one if k == 1 else counts[1])[history[0] if k == 1 else history]
-        if not whole or history not in mass[k - 1]:
+        below, k = p(history[1:], w), len(history)
+        if history not in mass[k - 1]:
             return below
-        c = counts[k][(*history, w)]
-        return (1 - mass[k - 1][history] / whole) * below + ((c - d[k]) / whole if c >= 2 else 0)
+        c, all_of = counts[k][(*history, w)], whole[k - 1][history]
+        return (1 - mass[k - 1][history] / all_of) * below + (c - d[k] if c else 0) / all_of
 
     for i, t in tokens.items():
         row = got.loc[i]

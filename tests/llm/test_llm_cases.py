@@ -26,7 +26,7 @@ from taxaloom.llm import (
     template_decontam,
     warc,
 )
-from taxaloom.llm.common import WordHashes
+from taxaloom.llm.common import WordHashes, documents
 
 LONG = " ".join(f"w{i % 977}" for i in range(30_000))
 PASSAGE = " ".join(f"p{i}" for i in range(60))
@@ -105,7 +105,8 @@ def test_secrets(odd, empty):
         ("pwd: x9!kq", ""),
         ("user: alice pwd: x9!kq", "ident:0:11,weak:12:22"),
         ("user: alice\n\npwd: x9!kq", ""),
-        ("user: alice " + "x " * 200 + "pwd: x9!kq", ""),
+        ("user: alice " + "x " * 200 + "pwd: x9!kq", "ident:0:11,weak:412:422"),
+        ("user: alice " + "x " * 2000 + "pwd: x9!kq", ""),
         ("pwd: x9!kq host: db.example.org user: bob", "weak:0:10,endpoint:11:31,ident:32:41"),
         ("host: db.example.org only", ""),
         ("PassWord: 'abcdefgh12' user=root1", "assign:0:21,ident:23:33"),
@@ -158,6 +159,29 @@ def test_fingerprints_are_homomorphic(lines, draw):
         assert np.array_equal(less, multiset_hash.fingerprint("\n".join(lines[1:]), words))
 
 
+@pytest.mark.parametrize("n, other", [(60_000, 45_000), (600, 450), (100_000, 1)])
+def test_likeness_of_very_repetitive_texts(n, other):
+    words = WordHashes()
+    a, b = (multiset_hash.fingerprint("\n".join(["one two three"] * k), words) for k in (n, other))
+    assert multiset_hash.likeness(a, b) == pytest.approx(other / n)
+    assert np.array_equal(multiset_hash.combine(multiset_hash.combine(a, b), b, -1), a)
+    assert len(multiset_hash.as_text(a)) == 2 * (2 * multiset_hash.EXACT_LANES + 4 * multiset_hash.SIGN_LANES)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=30, max_size=200), st.integers(0, 40))
+def test_likeness_estimates_shared_runs(numbers, changed):
+    """Against the multisets of word runs themselves: within what 128 signs can tell."""
+    lines = [f"w{x} v{x} u{x}" for x in numbers]
+    others = [f"z{i} y{i} q{i}" if i < changed else line for i, line in enumerate(lines)]
+    x, y = Counter(lines), Counter(others)
+    dot = sum(c * y[k] for k, c in x.items())
+    size = max(sum(c * c for c in x.values()), sum(c * c for c in y.values()))
+    words = WordHashes()
+    got = multiset_hash.likeness(*(multiset_hash.fingerprint("\n".join(t), words) for t in (lines, others)))
+    assert abs(got - dot / size) < 0.45
+
+
 def test_substring_dedup(odd, empty):
     found = cover_dedup.deduplicated(odd).collect()
     assert ids(found) == ALL_IDS
@@ -172,8 +196,7 @@ def test_the_cover_has_every_difference():
     assert {(a - b) % cover_dedup.PERIOD for a in cover_dedup.COVER for b in cover_dedup.COVER} == set(range(cover_dedup.PERIOD))
 
 
-def test_windows_across_blocks_and_documents(spark, monkeypatch):
-    monkeypatch.setattr(cover_dedup.Blocks.__init__, "__defaults__", (300,))
+def test_windows_across_blocks_and_documents(spark):
     draw = np.random.default_rng(3)
     texts = []
     for i in range(60):
@@ -184,7 +207,7 @@ def test_windows_across_blocks_and_documents(spark, monkeypatch):
             words[10:10] = source[at : at + n]
         texts.append(" ".join(words))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in cover_dedup.deduplicated(docs).collect()}
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in cover_dedup.deduplicated(docs, block_bytes=300).collect()}
     from test_llm_brute import brute_dedup
 
     assert got == brute_dedup(dict(enumerate(texts)))
@@ -213,6 +236,18 @@ def test_chat(spark):
     assert shown[1]["learn_from"] == shown[1]["learn_to"]
 
 
+def test_learnt_offsets(spark):
+    texts = ["turn", "|>", "r", "text", "assistant", "<|/turn|>", "\\", "a\nb", "", None, "</s>"]
+    rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate([x for t in texts for x in (t, t)])]
+    found = chat_template.rendered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    for r in found.collect():
+        _, _, role, text = rows[r["pos"]]
+        learnt = r["formatted"][r["learn_from"] : r["learn_to"]]
+        assert chat_template.unescape(learnt) == ((text or "") if role == "assistant" else "")
+        if learnt:
+            assert r["formatted"][: r["learn_from"]] == "<|turn|>assistant<|text|>"
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from("\\<|/turnex>s[INST]a"), max_size=40))
 def test_escaping_is_reversible_and_safe(text):
@@ -258,6 +293,23 @@ def test_warc(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_archives_are_read_by_as_many_tasks(spark, tmp_path):
+    rows = [(i, "u", f"page {i} " * 300) for i in range(64)]
+    pages = spark.createDataFrame([(*r, None) for r in rows], "page_id long, url string, html string, refers_to long")
+    folder = f"file://{tmp_path}/archives"
+    written = warc.stored(warc.write_archives(pages.repartition(8), folder), "archives")
+    assert written.count() == 8
+    read = warc.read_archives(written, folder)
+    by_task = read.groupBy(F.spark_partition_id()).count().collect()
+    assert len(by_task) > 4 and sum(r["count"] for r in by_task) == 64
+
+
+def test_short_pages_meet_nothing(spark):
+    pages = spark.createDataFrame([(i if i % 3 else None, "u", "short") for i in range(30)], "page_id long, url string, html string")
+    found = warc.with_revisits(pages)
+    assert found.filter("refers_to IS NOT NULL").count() == 0 and found.count() == 30
+
+
 def test_damaged_archives_are_refused():
     good = warc.page_record(1, "u", b"x" * 100_000, None) + warc.page_record(2, "u", b"", None)
     assert [r.payload_bytes for r in warc.read_records(io.BytesIO(good).read)] == [100_000, 0]
@@ -525,6 +577,52 @@ def test_names_that_open_a_sentence(names):
     assert [m[3:] for m in template_decontam.matches(item.encode(), twice, template_decontam.Tokens())] == [(1.0, False)] * 2
 
 
+def test_commit_hashes_are_no_complement():
+    text = "see url: example.com/page and commit 0123456789abcdef0123456789abcdef01234567 by user: alice"
+    assert [secret_links.KINDS[k] for _, _, k in secret_links.secret_spans(text)[1]] == ["hex"]
+    labelled = "user: alice secret_key: 0123456789abcdef0123456789abcdef"
+    assert "ident" in [secret_links.KINDS[k] for _, _, k in secret_links.secret_spans(labelled)[1]]
+
+
+@pytest.mark.parametrize("filler", ["a,", "A", "aB3", "a_", "a=", "user:", "a_=", ":", "pwd:", "0", "AKIA", "url://"])
+def test_long_texts_without_blanks_are_scanned_in_linear_time(filler):
+    begun = time.time()
+    secret_links.secret_spans("user: bob pwd: zzzz " + filler * (1_000_000 // len(filler)))
+    assert time.time() - begun < 6
+
+
+def test_planted_parts_are_found_and_clean_texts_left_alone(spark):
+    """Parts of credentials planted in documents that have none: recall and precision of the linking."""
+    rows = documents(spark, "/root/testdata/sf0.001").select("doc_id", "text").collect()
+    clean = {i: t for i, t in rows if t and not secret_links.secret_spans(t)[1]}
+    draw = np.random.default_rng(3)
+    alphabet = np.array(list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"))
+    code = lambda n: "".join(draw.choice(alphabet, n))
+    found = wanted = false = 0
+    for number, (doc_id, text) in enumerate(sorted(clean.items())):
+        bare = f"{code(12)}aB3{code(20)}"
+        parts = [
+            [f"db_user = {code(6)}", f"db_pass = {code(9)}"],
+            [f"host: {code(5)}.example.org", f"pwd: {code(8)}"],
+            [f"client_id: {code(10)}", bare],
+            [f"login: {code(5)}", f"auth={code(12)}", f"endpoint: {code(6)}.example.org"],
+        ][number % 4]
+        words = text.split(" ")
+        at = sorted(draw.integers(0, max(1, min(len(words), 120)), len(parts)))
+        for place, part in reversed(list(zip(at, parts))):
+            words.insert(place, part)
+        whole = " ".join(words)
+        spans = secret_links.secret_spans(whole)[1]
+        blocks = secret_links.BLANK_LINE.search(whole)
+        if blocks is None:  # one scope
+            wanted += len(parts)
+            found += sum(any(s <= whole.index(p) and e >= whole.index(p) + len(p) for s, e, _ in spans) for p in parts)
+            false += sum(not any(whole.index(p) <= s and e <= whole.index(p) + len(p) for p in parts) for s, e, _ in spans)
+        alone = " ".join([*words[:0], text, parts[1] if number % 4 != 2 else bare])
+        false += len(secret_links.secret_spans(alone)[1])
+    assert wanted > 100 and found / wanted > 0.97 and false <= 0.02 * wanted
+
+
 @pytest.mark.parametrize(
     "text, kinds",
     [
