@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from taxaloom.functions.sizing import broadcast_if_small
 
@@ -60,21 +61,23 @@ def with_row_number(
         .withColumn("_file", number)
         .withColumn("_group", F.floor(F.col("_file") / PIECES_PER_GROUP))
     )
-    # A number per 1,024 files comes to the driver, which lists the files anyway.
+    # A number per 1,024 files comes to the driver, which lists the files anyway, and goes back as a table of that size.
     sums: dict[tuple, dict[int, int]] = {}
     for row in pieces.groupBy(*per, "_group").agg(F.sum("_n").alias("n")).collect():
         sums.setdefault(tuple(row[: len(per)]), {})[row["_group"]] = row["n"]
-    base = F.lit(None).cast("long")
+    bases = []
     for key, groups in sums.items():
         total = 0
         for group in sorted(groups):
-            here = F.col("_group") == group
-            for column, value in zip(per, key):
-                here = here & F.col(column).eqNullSafe(F.lit(value))
-            base = F.when(here, F.lit(total)).otherwise(base)
+            bases.append((*key, group, total))
             total += groups[group]
+    types = T.StructType([*pieces.select(*per, "_group").schema.fields, T.StructField("_base", T.LongType())])
+    base = scan.sparkSession.createDataFrame(bases, types)
+    base = base.select(*(F.col(c).alias(f"_of_{c}") for c in (*per, "_group")), "_base")
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*per, "_group")]
     within = W.partitionBy(*per, "_group").orderBy("_file", *PIECE).rowsBetween(W.unboundedPreceding, -1)
-    ahead = F.coalesce(F.sum("_n").over(within), F.lit(0)) + base
-    shifts = pieces.select(*PIECE, "_first", ahead.alias("_shift"))
+    inside = pieces.withColumn("_ahead", F.coalesce(F.sum("_n").over(within), F.lit(0)))
+    ahead = F.col("_ahead") + F.col("_base")
+    shifts = inside.join(F.broadcast(base), same).select(*PIECE, "_first", ahead.alias("_shift"))
     number = F.col("_id") - F.col("_first") + F.col("_shift") + 1
     return placed.join(broadcast_if_small(shifts), PIECE).select(*scan.columns, number.alias(name))

@@ -9,7 +9,7 @@ from taxaloom.operators import cohort, naming
 from taxaloom.plans import overview, pca, prepare, report
 from taxaloom.session import shared_folder
 from taxaloom.sinks.tables import write_overviews
-from taxaloom.sources import sheets
+from taxaloom.sources import ordinals, sheets
 from taxaloom.sources.ordinals import with_row_number
 
 
@@ -269,3 +269,18 @@ def test_shares_in_overview_and_report(spark, files, tmp_path):
         "1 | Rare one | 1.5", "2 | Other two | 1", "1 | Rare one | 0.4", "2 | Other two | 3"
     ]
     assert pca.pca_all(study, 1).scores.count() == 8
+
+
+@pytest.mark.parametrize("per", [[], ["p"]])
+def test_many_groups_of_files_are_numbered_by_a_join(spark, tmp_path, monkeypatch, per):
+    monkeypatch.setattr(ordinals, "PIECES_PER_GROUP", 3)
+    frame = spark.range(300).selectExpr("id AS v", "IF(id % 3 = 0, NULL, id % 3) AS p").repartitionByRange(20, "v").sortWithinPartitions("p", "v")
+    frame.write.partitionBy("p").parquet(str(tmp_path / "in"))
+    numbered = with_row_number(spark.read.parquet(str(tmp_path / "in")), "n", "parquet", per=per)
+    if per:
+        found = numbered.orderBy("p", "v").collect()
+        assert [r["n"] for r in found] == [*range(1, 101)] * 3
+    else:
+        assert sorted(r["n"] for r in numbered.collect()) == [*range(1, 301)]
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN") < 3
