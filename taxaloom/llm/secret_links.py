@@ -2,11 +2,13 @@
 
 Base spans come from three patterns (``assign``, ``access``, ``hex``). Beyond them a credential is often
 written in parts: an identifier, a secret and an endpoint, none of which says much alone. Those weak parts
-are found as intervals of a text. A scope is the stretch between two blank lines, however long: parts belong together
-if no blank line separates them. The interval join runs as one sweep over the sorted parts of a document, so its cost
-follows the number of parts and no pairs are formed. A weak secret is a labelled value, or a bare string of high entropy.
-A labelled one is reported if an identifier or an endpoint is in its scope, a bare one if an identifier or access key is; a
-weak identifier or endpoint if a secret is in its scope, weak or strong. A weak secret on its own stays unreported.
+are found as intervals of a text. A scope is the stretch between two blank lines, and within it a part reaches REACH
+code points to both sides: parts belong together if one starts within the other's reach and no blank line separates them. The
+interval join looks each part's reach up among the sorted parts of a document, so no pairs are formed. A weak
+secret is a labelled value, or a bare string of high entropy. A labelled one is reported if an identifier or an endpoint
+belongs to it, a bare one if an identifier or access key does; a weak identifier or endpoint if a secret belongs to it: a weak
+one, or one that its form assigns. A weak secret on its own stays unreported. A string of hex digits alone completes
+nothing: it may be a checksum. With a label before it, it is a weak secret as well.
 
 Kinds, in the order used for ties: assign, access, hex, then ident, weak, endpoint.
 
@@ -54,9 +56,11 @@ ENDPOINT = re.compile(
     r"|(?<![A-Za-z0-9_])(?:postgres|postgresql|mysql|mongodb|redis|amqp|ftp|sftp|ssh|jdbc:[a-z]+)://[A-Za-z0-9_.:@/-]+",
     re.I | re.A,
 )
-# A secret without a label: long, of mixed kinds of characters, and no repetition.
-BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[^A-Z\s]*[A-Z])(?=[^a-z\s]*[a-z])(?=[^0-9\s]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", re.A)
+# A secret without a label: long, of all three kinds of characters, and no repetition.
+BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])", re.A)
+BARE_KINDS = [re.compile(kind) for kind in ("[A-Z]", "[a-z]", "[0-9]")]
 BARE_BITS = 3.5  # a character
+REACH = 2_000  # code points on either side in which the parts of one credential stand
 PART_MARK = re.compile(r"[:=]", re.A)
 BLANK_LINE = re.compile(r"\n[\x20\t\r]*\n")
 
@@ -84,7 +88,7 @@ def linked_parts(text: str, base: list[Span]) -> list[Span]:
     if not idents and not ends and not any(k == 1 for _, _, k in base):
         return []
     bare = _bare(text, weak + idents + ends) if idents or any(k == 1 for _, _, k in base) else []
-    if not weak and not bare and not any(k != 1 for _, _, k in base):
+    if not weak and not bare and not any(k == 0 for _, _, k in base):
         return []
     walls = [m.start() for m in BLANK_LINE.finditer(text)]
     taken = sorted((s, e) for s, e, _ in base)
@@ -96,18 +100,20 @@ def linked_parts(text: str, base: list[Span]) -> list[Span]:
         return before[1] > span[0] or after[0] < span[1]
 
     def near(span: tuple[int, int], sorted_parts: list[tuple[int, int]]) -> bool:
-        """Whether a part starts in the span's scope."""
+        """Whether a part starts in the span's scope and reach."""
         wall = bisect_left(walls, span[0])
-        low, high = walls[wall - 1] if wall else 0, walls[wall] if wall < len(walls) else len(text)
+        low = max(walls[wall - 1] if wall else 0, span[0] - REACH)
+        high = min(walls[wall] if wall < len(walls) else len(text), span[1] + REACH)
         return bisect_left(sorted_parts, (low, 0)) < bisect_left(sorted_parts, (high, 0))
 
     names = sorted(idents + [(s, e) for s, e, k in base if k == 1])
-    secrets = sorted(weak + bare + [(s, e) for s, e, k in base if k != 1])
+    assigned = [(s, e) for s, e, k in base if k == 0]
+    secrets = sorted(weak + bare + assigned)
     found = [(s, e, 3) for s, e in idents if near((s, e), secrets)]
     complements = sorted(names + ends)
     found += [(s, e, 4) for s, e in weak if near((s, e), complements)]
     found += [(s, e, 4) for s, e in bare if near((s, e), names)]
-    confirmed = sorted([(s, e) for s, e, k in found if k == 4] + [(s, e) for s, e, k in base if k != 1])
+    confirmed = sorted([(s, e) for s, e, k in found if k == 4] + assigned)
     found += [(s, e, 5) for s, e in ends if near((s, e), confirmed)]
     return [x for x in found if not inside(x[:2])]
 
@@ -121,7 +127,7 @@ def _bare(text: str, labelled: list[tuple[int, int]]) -> list[tuple[int, int]]:
         if before and reach[before - 1] > m.start():
             continue
         n = m.end() - m.start()
-        if -sum(c / n * log2(c / n) for c in Counter(m[0]).values()) >= BARE_BITS:
+        if all(kind.search(m[0]) for kind in BARE_KINDS) and -sum(c / n * log2(c / n) for c in Counter(m[0]).values()) >= BARE_BITS:
             found.append((m.start(), m.end()))
     return found
 
