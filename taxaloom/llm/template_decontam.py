@@ -11,7 +11,8 @@ majority's mapping do not count. The majority is asked for each occurrence by it
 distance between document and item and those near it, and also for the whole document; the best of these counts.
 
 Windows with fewer than two plain words say nothing and are left out on both sides, except where an item has no
-other. A text of fewer than five tokens is one window.
+other. A text of fewer than five tokens is one window. An item that short is looked for with windows of its own length
+and counts with its own numbers and names only, since a few words around a slot are no sign of an item.
 
 The benchmark side of the join is broadcast if its measured size is below MAX_HELD_WINDOWS windows (16 bytes each); beyond
 it the windows are cut into blocks of that size and documents are matched block by block, all documents against
@@ -50,6 +51,11 @@ UNITS = frozenset(
     "second seconds min minute minutes h hr hour hours day days week weeks month months year years % percent "
     "usd eur gbp dollar dollars cent cents euro euros pound pounds kmh mph c f k w kw j kj v a hz".split()
 )
+# Numbers as words. Left out is `one`, which is mostly none.
+NUMBER_WORDS = frozenset(
+    "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
+    "eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
+)
 PLAIN, NUMBER, UNIT, CAPITAL = 0, 1, 2, 3
 SLOT_HASH = np.array([0, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x510E527FADE682D1], np.uint64)
 NAMED = np.uint64(0x9B05688C2B3E6C1F)
@@ -69,7 +75,7 @@ class Tokens(dict):
         core = word.strip(TRIM)
         text = core.decode("utf-8", "replace")
         low = text.lower()
-        if _is_number(core):
+        if _is_number(core) or low in NUMBER_WORDS:
             kind = NUMBER
         elif low in UNITS:
             kind = UNIT
@@ -120,12 +126,12 @@ def marked(hashes: np.ndarray, variant: int) -> np.ndarray:
     return hashes ^ NAMED if variant else hashes
 
 
-def windows(t: Template) -> tuple[np.ndarray, np.ndarray]:
+def windows(t: Template, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each window, and whether it has enough plain words."""
     n = len(t.hashes)
     if n == 0:
         return np.empty(0, np.uint64), np.empty(0, bool)
-    size = min(WINDOW, n)
+    size = min(size, n)
     plain = np.concatenate([[0], np.cumsum(~t.slots)])
     told = plain[size:] - plain[: n - size + 1] >= min(MIN_PLAIN, size)
     return window_hashes(t.hashes, size, MULTIPLIER), told
@@ -148,6 +154,7 @@ class Index:
     item: np.ndarray
     place: np.ndarray
     items: list[Item]
+    short: tuple[int, ...]  # lengths of items that are shorter than a window
 
 
 def index_blocks(rows: list[tuple[int, str]], most: int = MAX_HELD_WINDOWS) -> list[Index]:
@@ -161,7 +168,8 @@ def index_blocks(rows: list[tuple[int, str]], most: int = MAX_HELD_WINDOWS) -> l
             order = np.argsort(hashes, kind="stable")
             item = np.repeat(np.arange(len(held)), counts)[order]
             place = np.concatenate([p for _, _, p in held])[order]
-            blocks.append(Index(hashes[order], item, place, [i for i, _, _ in held]))
+            short = tuple(sorted({len(i.values) for i, _, _ in held if len(i.values) < WINDOW}))
+            blocks.append(Index(hashes[order], item, place, [i for i, _, _ in held], short))
 
     for row, (item_id, text) in enumerate(rows):
         for variant, t in enumerate(templates(text.encode(), tokens)):
@@ -191,9 +199,15 @@ def matches(text: bytes, index: Index, tokens: Tokens) -> list[tuple[int, int, i
 
 
 def _matches(t: Template, variant: int, index: Index) -> list[tuple[int, tuple[int, int, int, float, bool]]]:
-    hashes = marked(windows(t)[0], variant)
+    hashes, starts = windows(t)[0], None
     if not len(hashes):
         return []
+    lengths = [n for n in index.short if n < min(WINDOW, len(t.hashes))]
+    if lengths:
+        every = [hashes, *(windows(t, n)[0] for n in lengths)]
+        starts = np.concatenate([np.arange(len(h)) for h in every])
+        hashes = np.concatenate(every)
+    hashes = marked(hashes, variant)
     low = np.searchsorted(index.hashes, hashes, "left")
     hit = np.flatnonzero(index.hashes[np.minimum(low, len(index.hashes) - 1)] == hashes)
     if not len(hit):
@@ -201,7 +215,8 @@ def _matches(t: Template, variant: int, index: Index) -> list[tuple[int, tuple[i
     high = np.searchsorted(index.hashes, hashes[hit], "right")
     # For each item the distinct windows found decide whether its slots are worth a look.
     seen: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-    for at, a, b in zip(hit.tolist(), low[hit].tolist(), high.tolist()):
+    places = hit if starts is None else starts[hit]
+    for at, a, b in zip(places.tolist(), low[hit].tolist(), high.tolist()):
         for k in range(a, b):
             seen[int(index.item[k])][int(index.hashes[k])].append((at, int(index.place[k])))
     found = []
@@ -213,6 +228,8 @@ def _matches(t: Template, variant: int, index: Index) -> list[tuple[int, tuple[i
         coverage = good / item.n_windows
         if coverage >= MIN_COVERAGE:
             changed = any(a != b for a, b in chosen.items())
+            if changed and len(item.values) < WINDOW:
+                continue
             found.append((item.row, (item.item_id, good, item.n_windows, coverage, changed)))
     return found
 

@@ -554,6 +554,32 @@ def test_scores_count_every_n_gram(spark):
     assert len(got) == len(texts) and not all(backoff_lm.in_training(i) for i in texts)
 
 
+def test_short_items_are_found_inside_documents(spark):
+    bench = [(1, "Paris is the capital"), (2, "blue whale"), (3, "Ann has 12 apples"), (4, "x")]
+    texts = {
+        1: "We know that Paris is the capital of France.",
+        2: "paris is the",
+        3: "a blue whale swims by",
+        4: "Ann has 12 apples and more",
+        5: "Ann has 13 apples and more",
+        6: "Bob has 12 apples",
+        7: "blue whale",
+        8: "x",
+        9: "the blue and the whale of Paris is not the capital",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = template_decontam.contaminated(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(1, 1), (3, 2), (4, 3), (7, 2), (8, 4)]
+    assert not any(r["reparameterised"] for r in found)
+
+
+def test_numbers_as_words_are_slots():
+    item = "Ann has twelve apples and gives five apples to her friend Bob before they walk home from the old school."
+    index = template_decontam.index_blocks([(1, item)])[0]
+    for changed in (item.replace("twelve", "twenty").replace("five", "nine"), item.replace("twelve", "12").replace("five", "5")):
+        assert template_decontam.matches(changed.encode(), index, template_decontam.Tokens())[0][3:] == (1.0, True)
+
+
 def test_slots_are_judged_per_occurrence():
     item = "the shop has 12 apples and 3 pears in boxes today for all"
     index = template_decontam.index_blocks([(1, item)])[0]
