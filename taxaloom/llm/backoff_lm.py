@@ -17,12 +17,14 @@ sends each block the totals of what that block asked for, in the order asked, so
 is in a bucket once per block at most, however frequent the n-gram. A third kind of sum, by context, gives the mass of the kept
 n-grams of a context: the first block that asked for an n-gram reports it, so each counts once. Then every block
 builds the automaton of the n-grams it holds and runs its texts through. An n-gram is only asked for if its shorter parts
-were seen in training.
+were seen in training, and if other blocks asked for both: what holds a part that stands in one block only is in that block
+only, so its own counts are the totals.
 
 What came back in a round is a table in the buckets of the blocks, a row per block, so later rounds join it without moving
 it again. Buckets of n-grams are as many as the text needs, not as there are blocks.
 
-Words and n-grams are known by 64-bit hashes.
+Words and n-grams are known by 64-bit hashes. Their bucket and 48 of their bits travel: buckets grow in number with the text, so
+a bucket holds about as many keys at any size, and few enough for 48 bits.
 
 Cases: a NULL or empty text is the end token alone; NULL ids count as the empty text in the split and keep their row;
 repeated rows count and score once each; other columns are ignored; an empty table gives no rows. With no training text
@@ -72,24 +74,43 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
     return out
 
 
+KEY_BYTES = 6
+
+
+def short_keys(keys: np.ndarray) -> bytes:
+    """The low bytes of keys, KEY_BYTES each."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
+
+
+def long_keys(data: bytes) -> np.ndarray:
+    """The numbers that short_keys wrote."""
+    out = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view("<u8").ravel()
+
+
 class Sums:
-    """Totals that came back for the keys a block asked for, by kind. ``answers`` are (kind, bucket, totals, first)."""
+    """Totals that came back for the keys a block asked for, by kind.
+
+    ``answers`` are (kind, bucket, totals, first, alone).
+    """
 
-    def __init__(self, answers: Iterable[tuple[str, int, bytes, bytes]], buckets: int):
+    def __init__(self, answers: Iterable[tuple[str, int, bytes, bytes, bytes]], buckets: int):
         self.buckets = buckets
         self.by_kind: dict[str, dict[int, tuple]] = defaultdict(dict)
-        for kind, bucket, totals, first in answers:
-            self.by_kind[kind][bucket] = (totals, first)
+        for kind, bucket, *bits in answers:
+            self.by_kind[kind][bucket] = bits
 
-    def of(self, kind: str, keys: np.ndarray, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
-        """Totals and the first-asked marks of keys, in the order in which they were asked for."""
+    def of(self, kind: str, keys: np.ndarray, width: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Totals of keys, and whether this block was the first or the only one to ask, in the order in which they were asked for."""
         totals = np.zeros((len(keys), width), np.int64)
-        first = np.zeros(len(keys), bool)
+        first, alone = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
         for bucket, at in split(keys, self.buckets):
-            t, f = self.by_kind[kind][bucket]
+            t, f, a = self.by_kind[kind][bucket]
             totals[at] = unpacked(t, width * len(at)).reshape(-1, width)
             first[at] = np.unpackbits(np.frombuffer(f, np.uint8), count=len(at))
-        return totals, first
+            alone[at] = np.unpackbits(np.frombuffer(a, np.uint8), count=len(at))
+        return totals, first, alone
 
 
 def split(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -102,7 +123,10 @@ def split(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _encode(rows: pa.Table) -> pa.Table:
-    """A block's documents as one row: ids, tokens per document, the words' sorted hashes and the tokens as places there."""
+    """A block's documents as one row: ids, tokens per document, tokens numbered as they appear, the hashes of their words.
+
+    Frequent words appear early, so most numbers are small and compress well.
+    """
     number: defaultdict = defaultdict(count().__next__)
     look, end = number.__getitem__, number[None]
     parts, sizes = [], []
@@ -110,12 +134,9 @@ def _encode(rows: pa.Table) -> pa.Table:
         words = text.lower().split()
         parts += [np.fromiter(map(look, words), np.int32, len(words)), np.array([end], np.int32)]
         sizes.append(len(words) + 1)
-    found = np.array([END if w is None else xxhash.xxh3_64_intdigest(w) for w in number], np.uint64)
-    order = np.argsort(found)
-    rank = np.empty(len(order), np.int32)
-    rank[order] = np.arange(len(order), dtype=np.int32)
-    tokens = rank[np.concatenate(parts)]
-    one = (rows["block"][0].as_py(), rows["doc_id"].to_pylist(), sizes, tokens.tobytes(), found[order].tobytes())
+    words = np.array([END if w is None else xxhash.xxh3_64_intdigest(w) for w in number], np.uint64)
+    tokens = np.concatenate(parts)
+    one = (rows["block"][0].as_py(), rows["doc_id"].to_pylist(), sizes, tokens.tobytes(), words.tobytes())
     return pa.table([pa.array([x], f.type) for x, f in zip(one, ENCODED)], schema=ENCODED)
 
 
@@ -139,7 +160,11 @@ class Block:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.trained = np.array([in_training(i) for i in self.ids], bool)
         self.weight = np.repeat(self.trained, self.sizes).astype(np.float64)
-        place, found = np.frombuffer(tokens, np.int32).astype(np.int64), np.frombuffer(words, np.uint64)
+        words = np.frombuffer(words, np.uint64)
+        order = np.argsort(words)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        place, found = rank[np.frombuffer(tokens, np.int32)], words[order]
         self.hash = found[place]
         # Per order: distinct keys, sorted, and the place of each position's n-gram there or NONE.
         self.order: dict[int, tuple] = {1: (found, place)}
@@ -169,15 +194,18 @@ class Grams:
     """What a block knows of each order after the sums of the rounds so far."""
 
     def __init__(self, block: Block, sums: Sums, orders: int):
-        self.block, self.total, self.first, self.kept = block, {}, {}, {}
+        self.block, self.total, self.first, self.alone = block, {}, {}, {}
+        self.own = {1: np.zeros(len(block.order[1][0]), bool)}  # n-grams that stand in no other block, known before asking
         self.key = {1: block.hash}
         self.where = {1: np.ones(len(block.hash), bool)}  # positions whose n-gram can reach the threshold
         self.follows: dict[int, np.ndarray] = {}  # positions whose context can
         for n in range(1, orders + 1):
             if n > 1:
                 self.extend(n)
-            self.total[n], self.first[n] = sums.of(f"n{n}", block.order[n][0])
-            self.total[n] = self.total[n][:, 0]
+            self.total[n], self.first[n], self.alone[n] = block.local_counts(n), self.own[n].copy(), self.own[n].copy()
+            asked = ~self.own[n]
+            total, self.first[n][asked], self.alone[n][asked] = sums.of(f"n{n}", block.order[n][0][asked])
+            self.total[n][asked] = total[:, 0]
 
     def at(self, n: int, values: np.ndarray, missing) -> np.ndarray:
         """Values of an order's distinct n-grams at each position."""
@@ -195,10 +223,14 @@ class Grams:
         # The start of text is a context of length one, so order 2 begins at the first token.
         self.follows[n] = block.before(enough, n == 2)
         self.where[n] = enough & self.follows[n]
-        block.unique(n, self.key[n], self.where[n])
-
-    def context_request(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct contexts of order-n positions, the place of each position's, and what this block reports on them."""
+        found, place = block.unique(n, self.key[n], self.where[n])
+        alone = self.at(n - 1, self.alone[n - 1], False)
+        alone = alone | block.before(alone, False)
+        self.own[n] = np.zeros(len(found), bool)
+        self.own[n][place[self.where[n]]] = alone[self.where[n]]
+
+    def context_request(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct contexts of order-n positions, the place of each position's, what this block reports on them, and which are its own."""
         block = self.block
         shorter, shorter_place = block.order[n - 1]
         found, place = block.order[n]
@@ -217,11 +249,18 @@ class Grams:
         mine = self.first[n] & (self.total[n] >= MIN_COUNT)
         sums = np.bincount(context[mine], self.total[n][mine], len(keys)).astype(np.int64)
         kinds = np.bincount(context[mine], minlength=len(keys)).astype(np.int64)
-        return keys, of, np.stack([sums, kinds], axis=1)
+        return keys, of, np.stack([sums, kinds], axis=1), np.append(self.alone[n - 1], False)[used]
 
 
 REQUEST = pa.schema(
-    [("block", pa.int32()), ("kind", pa.string()), ("bucket", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())]
+    [
+        ("block", pa.int32()),
+        ("kind", pa.string()),
+        ("bucket", pa.int32()),
+        ("keys", pa.binary()),
+        ("values", pa.binary()),
+        ("own", pa.list_(pa.int64())),  # numbers on the n-grams that the block did not have to ask for
+    ]
 )
 ANSWER = pa.schema(
     [
@@ -230,6 +269,7 @@ ANSWER = pa.schema(
         ("bucket", pa.int32()),
         ("totals", pa.binary()),
         ("first", pa.binary()),
+        ("alone", pa.binary()),
         ("sum", pa.int64()),
         ("distinct", pa.int64()),
         ("once", pa.int64()),
@@ -244,31 +284,45 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
-def _requests(number: int, kind: str, keys: np.ndarray, values: np.ndarray, buckets: int) -> Iterator[tuple]:
+def _stats(counts: np.ndarray) -> list[int]:
+    """Sum, n-grams seen, n-grams seen once, n-grams seen twice."""
+    return [int(counts.sum()), int((counts > 0).sum()), int((counts == 1).sum()), int((counts == 2).sum())]
+
+
+def _requests(
+    number: int, kind: str, keys: np.ndarray, values: np.ndarray, buckets: int, own: list[int] | None = None
+) -> Iterator[tuple]:
+    """A row per bucket; the first one carries own, and stands alone where no key is asked for."""
     for bucket, at in split(keys, buckets):
-        yield number, kind, bucket, keys[at].tobytes(), packed(values[at])
+        yield number, kind, bucket, short_keys(keys[at]), packed(values[at]), own
+        own = None
+    if own is not None:
+        yield number, kind, number % buckets, b"", b"", own
 
 
 def _add_up(rows: pa.Table) -> pa.Table:
     """Totals by key over all blocks of a bucket, back to each block in its own order."""
     rows = rows.sort_by("block")
-    block, kind, bucket, keys, values = (rows[c].to_pylist() for c in REQUEST.names)
-    keys = [np.frombuffer(k, np.uint64) for k in keys]
+    block, kind, bucket, keys, values, own = (rows[c].to_pylist() for c in REQUEST.names)
+    keys = [long_keys(k) for k in keys]
     width = 2 if kind[0].startswith("c") else 1
     values = [unpacked(v, width * len(k)).reshape(-1, width) for k, v in zip(keys, values)]
-    found, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    found, first, inverse, asked = np.unique(
+        np.concatenate(keys), return_index=True, return_inverse=True, return_counts=True
+    )
     joined = np.concatenate(values)
     total = np.stack([np.bincount(inverse, c, len(found)) for c in joined.T], axis=1).astype(np.int64)
     mark = np.zeros(len(inverse), bool)
     mark[first] = True
+    alone = asked[inverse] == 1
     ends = np.cumsum([len(k) for k in keys])
-    seen = total[:, 0]
-    stats = [int(seen.sum()), int((seen > 0).sum()), int((seen == 1).sum()), int((seen == 2).sum())]
+    stats = np.sum([_stats(total[:, 0]), *(o for o in own if o is not None)], axis=0).tolist()
     out = []
     for i, end in enumerate(ends):
         at = slice(end - len(keys[i]), end)
         told = stats if i == 0 else [None] * 4  # numbers of the whole bucket, told once
-        out.append((block[i], kind[i], bucket[i], packed(total[inverse[at]]), np.packbits(mark[at]).tobytes(), *told))
+        bits = (np.packbits(b[at]).tobytes() for b in (mark, alone))
+        out.append((block[i], kind[i], bucket[i], packed(total[inverse[at]]), *bits, *told))
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), ANSWER)], schema=ANSWER)
 
 
@@ -276,7 +330,7 @@ def _known(batch: pa.RecordBatch, i: int, rounds: int, buckets: int) -> tuple[pa
     """A block's row, and the sums of the rounds before."""
     row = batch.slice(i, 1)
     answers = [a for n in range(1, rounds + 1) for a in row[f"round{n}"][0].as_py() or ()]
-    return row, Sums([(a["kind"], a["bucket"], a["totals"], a["first"]) for a in answers], buckets)
+    return row, Sums([tuple(a[c] for c in ANSWER.names[1:6]) for a in answers], buckets)
 
 
 def _round(n: int, buckets: int):
@@ -288,14 +342,16 @@ def _round(n: int, buckets: int):
         if 1 < n <= ORDER:
             grams.extend(n)
         if n <= ORDER:
-            yield from _requests(number, f"n{n}", block.order[n][0], block.local_counts(n)[:, None], buckets)
+            asked, counts = ~grams.own[n], block.local_counts(n)
+            keys = block.order[n][0][asked]
+            yield from _requests(number, f"n{n}", keys, counts[asked][:, None], buckets, _stats(counts[~asked]))
         if n == 1:
             # Texts begun in training, as a count of its own.
             start = np.array([START], np.uint64)
             yield from _requests(number, "start", start, np.array([[block.trained.sum()]]), buckets)
         if n > 2:
-            keys, _, values = grams.context_request(n - 1)
-            yield from _requests(number, f"c{n - 1}", keys, values, buckets)
+            keys, _, values, own = grams.context_request(n - 1)
+            yield from _requests(number, f"c{n - 1}", keys[~own], values[~own], buckets)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,8 +402,8 @@ class Automaton:
         self.start = 0
         held = []
         for n in range(2, ORDER + 1):
-            keys, of, _ = grams.context_request(n)
-            sums_of, _ = sums.of(f"c{n}", keys, 2)
+            keys, of, sums_of, own = grams.context_request(n)
+            sums_of[~own] = sums.of(f"c{n}", keys[~own], 2)[0]
             if n == 2:
                 total = block.before(grams.at(1, grams.total[1], 0), model.texts)
             else:
@@ -480,7 +536,7 @@ def _scorer(model: Model, buckets: int):
 
 def _by_block(found: DataFrame, blocks: Blocks, n: int) -> DataFrame:
     """The answers of a round as a row per block, in the buckets of the blocks; and the numbers told by its buckets."""
-    answer = F.struct("kind", "bucket", "totals", "first")
+    answer = F.struct(*ANSWER.names[1:6])
     told = F.when(F.col("sum").isNotNull(), F.struct("kind", "sum", "distinct", "once", "twice"))
     return blocks.beside(
         found.groupBy("block").agg(F.collect_list(answer).alias(f"round{n}"), F.collect_list(told).alias(f"told{n}")), f"sums{n}"
