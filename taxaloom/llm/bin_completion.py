@@ -24,7 +24,7 @@ import re
 import zlib
 from array import array
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -100,26 +100,20 @@ class WordIds(dict):
             self.parts[signs] = self._model(signs)
         return ids + self.parts[signs]
 
-    def learn(self, words: Iterable[bytes]) -> None:
-        """Encodes the words not seen yet."""
-        new = [w for w in set(words) if w not in self]
-        if len(self) + len(new) > WORDS_KEPT:
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= WORDS_KEPT:
             self.clear()
-            new = list(set(words))
-        odd = []
-        for word in new:
-            text = word.decode()
-            plain = PLAIN.fullmatch(text)
-            if plain:
-                self[word] = self._plain(plain[1], plain[2])
-            else:
-                odd.append(text)
-        if odd:
-            for text, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
-                self[text.encode()] = array("I", e.ids).tobytes()
+        text = word.decode()
+        plain = PLAIN.fullmatch(text)
+        if plain:
+            ids = self._plain(plain[1], plain[2])
+        else:
+            ids = array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+        self[word] = ids
+        return ids
 
     def ids(self, text: bytes) -> bytes:
-        """The ids of a text, then the separator. Its words must have been learnt."""
+        """The ids of a text, then the separator."""
         return b"".join([*map(self.__getitem__, text.split()), SEPARATOR.to_bytes(4, "little")])
 
 
@@ -132,10 +126,8 @@ def pieces(docs: DataFrame, path: str) -> DataFrame:
         step = 4 * CAPACITY
         for batch, (ids, text) in batch_rows(batches, "doc_id", "text"):
             for at in range(0, len(ids), 64):
-                some = text[at : at + 64]
-                words.learn([w for t in some for w in t.split()])
                 rows = []
-                for doc_id, t in zip(ids[at : at + 64], some):
+                for doc_id, t in zip(ids[at : at + 64], text[at : at + 64]):
                     whole = words.ids(t)
                     for piece, start in enumerate(range(0, len(whole), step)):
                         own = whole[start : start + step]
