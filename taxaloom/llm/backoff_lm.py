@@ -39,6 +39,7 @@ from itertools import count
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -48,8 +49,9 @@ from taxaloom.llm.common import Blocks, forget_shuffles, mix, stored, texts
 
 ORDER = 3
 MIN_COUNT = 1  # every n-gram seen in training is an arc and counts for the discounts
-BLOCK_BYTES = 3 * 1024 * 1024  # of text; a block's automaton holds every n-gram
+BLOCK_BYTES = 4 * 1024 * 1024  # of text; a block's automaton holds every n-gram, as arrays
 BUCKET_BYTES = 8 * 1024 * 1024  # of text whose n-grams of one order are added up in one task
+STRETCH = 256  # tokens of a text that are traversed in one go
 FOLDS, HELD_OUT = 7, 2
 BASE = np.uint64(0x9E3779B97F4A7C15)
 START, END = (xxhash.xxh3_64_intdigest(x, seed=1) for x in (b"start of text", b"end of text"))
@@ -115,9 +117,10 @@ class Sums:
 
 def split(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """Indices of the keys of each bucket, in order of keys."""
-    bucket = (keys >> np.uint64(33)) % np.uint64(buckets)
+    bucket = ((keys >> np.uint64(33)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
     order = np.argsort(bucket, kind="stable")
-    edges = np.flatnonzero(np.diff(bucket[order], prepend=np.uint64(buckets), append=np.uint64(buckets)))
+    ordered = bucket[order]
+    edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])) if len(keys) else np.zeros(1, int)
     for start, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
         yield int(bucket[order[start]]), order[start:end]
 
@@ -160,13 +163,9 @@ class Block:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.trained = np.array([in_training(i) for i in self.ids], bool)
         self.weight = np.repeat(self.trained, self.sizes).astype(np.float64)
-        words = np.frombuffer(words, np.uint64)
-        order = np.argsort(words)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        place, found = rank[np.frombuffer(tokens, np.int32)], words[order]
+        found, place = np.frombuffer(words, np.uint64), np.frombuffer(tokens, np.int32).astype(np.int64)
         self.hash = found[place]
-        # Per order: distinct keys, sorted, and the place of each position's n-gram there or NONE.
+        # Per order: distinct keys as they appear, and the place of each position's n-gram there or NONE.
         self.order: dict[int, tuple] = {1: (found, place)}
 
     def before(self, values: np.ndarray, at_start) -> np.ndarray:
@@ -178,9 +177,8 @@ class Block:
 
     def unique(self, n: int, keys: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys among the positions of where, and for each position its place there or NONE."""
-        found, inverse = np.unique(keys[where], return_inverse=True)
         place = np.full(len(keys), NONE, np.int64)
-        place[where] = inverse
+        place[where], found = pd.factorize(keys[where])
         self.order[n] = (found, place)
         return found, place
 
@@ -209,10 +207,8 @@ class Grams:
 
     def at(self, n: int, values: np.ndarray, missing) -> np.ndarray:
         """Values of an order's distinct n-grams at each position."""
-        place = self.block.order[n][1]
-        out = np.full(len(place), missing, values.dtype)
-        out[place >= 0] = values[place[place >= 0]]
-        return out
+        # NONE is the last place, which holds what is missing.
+        return np.append(values, values.dtype.type(missing))[self.block.order[n][1]]
 
     def extend(self, n: int) -> None:
         """Keys of order n where both shorter parts are frequent enough."""
@@ -307,14 +303,12 @@ def _add_up(rows: pa.Table) -> pa.Table:
     keys = [long_keys(k) for k in keys]
     width = 2 if kind[0].startswith("c") else 1
     values = [unpacked(v, width * len(k)).reshape(-1, width) for k, v in zip(keys, values)]
-    found, first, inverse, asked = np.unique(
-        np.concatenate(keys), return_index=True, return_inverse=True, return_counts=True
-    )
+    inverse, found = pd.factorize(np.concatenate(keys))
     joined = np.concatenate(values)
     total = np.stack([np.bincount(inverse, c, len(found)) for c in joined.T], axis=1).astype(np.int64)
-    mark = np.zeros(len(inverse), bool)
-    mark[first] = True
-    alone = asked[inverse] == 1
+    # Numbers rise where a key appears first.
+    mark = np.diff(np.maximum.accumulate(inverse), prepend=-1) > 0 if len(inverse) else np.zeros(0, bool)
+    alone = np.bincount(inverse, minlength=len(found))[inverse] == 1
     ends = np.cumsum([len(k) for k in keys])
     stats = np.sum([_stats(total[:, 0]), *(o for o in own if o is not None)], axis=0).tolist()
     out = []
@@ -379,8 +373,9 @@ class Automaton:
     """States, arcs and failure arcs of the n-grams of one block.
 
     A state is a context: 0 is the empty one, others are numbered as they appear. Tokens are places among the block's
-    distinct words. Arcs are numbered: ``weight`` and ``target`` hold their log-probabilities and next states, ``arcs`` maps
-    state * words + token to the number. The empty state has an arc for every token, with the token's number.
+    distinct words. Arcs are numbered: ``weight`` and ``target`` hold their log-probabilities and next states. The empty
+    state has an arc for every token, with the token's number; the others follow in order of state * words + token, which
+    ``keys`` holds. ``fail`` and ``back`` are each state's failure arc and its cost.
     """
 
     def __init__(self, grams: Grams, sums: Sums, model: Model):
@@ -395,104 +390,124 @@ class Automaton:
             p1 = np.ones(len(counts))
         self.token = place
         p = p1[place]  # probability of each position's token in the context of the order so far
-        self.fail, self.back = [0], [0.0]
-        self.arcs: dict[int, int] = {}
+        fails, backs = [np.zeros(1, np.int64)], [np.zeros(1)]
         contexts: dict[int, np.ndarray] = {}  # per order: at each position, the state of its context or 0
         lower = np.zeros(len(place), np.int64)
-        self.start = 0
+        self.start, size = 0, 1
         held = []
         for n in range(2, ORDER + 1):
             keys, of, sums_of, own = grams.context_request(n)
             sums_of[~own] = sums.of(f"c{n}", keys[~own], 2)[0]
-            if n == 2:
-                total = block.before(grams.at(1, grams.total[1], 0), model.texts)
-            else:
-                total = block.before(grams.at(n - 1, grams.total[n - 1], 0), 0)
+            total = block.before(grams.at(n - 1, grams.total[n - 1], 0), model.texts if n == 2 else 0)
             known = np.flatnonzero(sums_of[:, 1] > 0)
             numbers = np.zeros(len(keys), np.int64)
-            numbers[known] = len(self.fail) + np.arange(len(known))
+            numbers[known] = size + np.arange(len(known))
             here = np.zeros(len(place), np.int64)
             here[of >= 0] = numbers[of[of >= 0]]
             # A position with a known context: any such position tells the context's count and shorter context.
-            seen = np.flatnonzero(here > 0)
-            states, one = np.unique(here[seen], return_index=True)
-            one = seen[one]
-            size = len(self.fail)
-            fail, back = np.zeros(len(known), np.int64), np.zeros(len(known))
+            inside = here > 0
+            seen = np.flatnonzero(inside)
+            one = np.zeros(len(known), np.int64)
+            one[here[seen] - size] = seen
             mass = sums_of[known]
             spare = 1 - (mass[:, 0] - model.discount[n] * mass[:, 1]) / np.maximum(1, total[one])
-            back[states - size] = np.log10(np.maximum(spare, 1e-12))
-            fail[states - size] = lower[one]
-            self.fail += fail.tolist()
-            self.back += back.tolist()
-            kept = grams.at(n, grams.total[n], 0) >= MIN_COUNT
-            inside = here > 0
-            scale = np.ones(len(place))
-            scale[inside] = 10.0 ** np.array(self.back)[here[inside]]
-            p = p * scale
-            arc = kept & inside
-            p[arc] += (grams.at(n, grams.total[n], 0)[arc] - model.discount[n]) / total[arc]
-            held.append((here, arc, p.copy()))
-            contexts[n] = here
-            lower = here
-            if n == 2:
-                begins = here[block.starts] if len(block.starts) else np.empty(0, np.int64)
-                self.start = int(begins.max(initial=0))
+            spare = np.maximum(spare, 1e-12)
+            fails.append(lower[one])
+            backs.append(np.log10(spare))
+            counts_here = grams.at(n, grams.total[n], 0)
+            p = p.copy()
+            p[seen] *= spare[here[seen] - size]
+            arc = np.flatnonzero((counts_here >= MIN_COUNT) & inside)
+            p[arc] += (counts_here[arc] - model.discount[n]) / total[arc]
+            held.append((here, arc, p))
+            contexts[n] = lower = here
+            size += len(known)
+            if n == 2 and len(block.starts):
+                self.start = int(here[block.starts].max())
+        self.fail, self.back = np.concatenate(fails), np.concatenate(backs)
+
         # After a token comes the longest context that is a state: what the next position calls its context.
         def following(n: int) -> np.ndarray:
-            here = contexts[n]
-            after = np.zeros(len(here), np.int64)
-            after[:-1] = here[1:]
-            last = block.starts[1:] - 1
-            after[last] = 0
+            after = np.zeros(len(place), np.int64)
+            after[:-1] = contexts[n][1:]
+            after[block.starts[1:] - 1] = 0
             return after
 
-        after = {n: following(n) for n in contexts}
-        following_word = np.zeros(self.words, np.int64)
-        # A text's last token has no follower; all other places of a token agree.
-        some = after[2] > 0
-        following_word[place[some]] = after[2][some]
-        weights, targets = [np.log10(p1)], [following_word]
-        for depth, (here, arc, prob) in enumerate(held):
-            found, gram = block.order[depth + 2]
-            at = np.flatnonzero(arc)
+        def of_each(targets: np.ndarray, number: np.ndarray, n: int) -> np.ndarray:
+            """The next state of each of n arcs, from places that have one: a text's last token has no follower."""
+            some = targets > 0
+            state = np.zeros(n, np.int64)
+            state[number[some]] = targets[some]
+            return state
+
+        target = following(2)
+        weights, targets = [np.log10(p1)], [of_each(target, place, self.words)]
+        keys = []
+        for n, (here, arc, prob) in enumerate(held, 2):
+            found, gram = block.order[n]
             # One place of each n-gram tells its context, token and probability.
             one = np.full(len(found), NONE, np.int64)
-            one[gram[at]] = at
+            one[gram[arc]] = arc
             numbers = np.flatnonzero(one >= 0)
             one = one[numbers]
             # An arc of order n leads to a state of order n + 1 if the n-gram is a context, else to the next shorter.
-            target = np.zeros(len(place), np.int64)
-            for n in range(2, min(depth + 3, ORDER) + 1):
-                target = np.where(after[n] > 0, after[n], target)
-            state = np.zeros(len(found), np.int64)
-            longest = np.zeros(len(found), np.int64)
-            np.maximum.at(longest, gram[at], target[at])
-            state[numbers] = longest[numbers]
-            base = sum(map(len, weights))
-            keys = (here[one] * self.words + place[one]).tolist()
-            self.arcs.update(zip(keys, range(base, base + len(keys))))
+            if n < ORDER:
+                after = following(n + 1)
+                target = np.where(after > 0, after, target)
+            keys.append(here[one] * self.words + place[one])
             weights.append(np.log10(prob[one]))
-            targets.append(state[numbers])
-        self.weight, self.target = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
-
-    def score(self, tokens: list[int]) -> float:
-        """The log10 probability of a text, token by token from its start."""
-        arc_of, weight, target, fail, back, words = (
-            self.arcs.get, self.weight, self.target, self.fail, self.back, self.words
-        )
-        total, state = 0.0, self.start
-        for token in tokens:
-            while state:
-                if arc := arc_of(state * words + token):
-                    break
-                total += back[state]
-                state = fail[state]
-            else:
-                arc = token
-            total += weight[arc]
-            state = target[arc]
-        return total
+            targets.append(of_each(target[arc], gram[arc], len(found))[numbers])
+        every = np.concatenate(keys)
+        order = np.argsort(every)
+        self.keys = every[order]
+        # Where each state's arcs begin, and their tokens: most states have one arc, which needs no search.
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(self.keys // self.words, minlength=size))])
+        self.expected = self.keys % self.words
+        self.weight = np.concatenate([weights[0], np.concatenate(weights[1:])[order]])
+        self.target = np.concatenate([targets[0], np.concatenate(targets[1:])[order]])
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log-probability of a token in each state, failure arcs and all, and the state after it."""
+        gain, arc = np.zeros(len(token)), token.copy()
+        open_ = np.flatnonzero(state)
+        at = state[open_]
+        while len(open_) and len(self.keys):
+            wanted, place = token[open_], np.minimum(self.begin[at], len(self.keys) - 1)
+            several = np.flatnonzero((self.begin[at + 1] - self.begin[at] > 1) & (self.expected[place] != wanted))
+            key = at[several] * self.words + wanted[several]
+            place[several] = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = (self.expected[place] == wanted) & (self.begin[at] <= place) & (place < self.begin[at + 1])
+            arc[open_[hit]] = self.words + place[hit]
+            open_, at = open_[~hit], at[~hit]
+            gain[open_] += self.back[at]
+            at = self.fail[at]
+            open_, at = open_[at > 0], at[at > 0]
+        return gain + self.weight[arc], self.target[arc]
+
+    def scores(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The log10 probabilities of texts, each traversed from left to right.
+
+        All texts go at once, a token a step. A long one goes in stretches: a state is a context of at most ORDER - 1 tokens, so a
+        stretch that first reads as many tokens before it, uncounted, is in the state the traversal would bring.
+        """
+        parts = -(-sizes // STRETCH)
+        text = np.repeat(np.arange(len(sizes)), parts)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        first = starts[text] + number * STRETCH
+        end = np.minimum(first + STRETCH, starts[text] + sizes[text])
+        begin = first - np.where(number > 0, ORDER - 1, 0)
+        by_length = np.argsort(begin - end, kind="stable")
+        first, end, begin = first[by_length], end[by_length], begin[by_length]
+        state = np.where(number[by_length] > 0, 0, self.start)
+        total = np.zeros(len(text))
+        active = len(text)
+        for step in range(int((end - begin).max(initial=0))):
+            while begin[active - 1] + step >= end[active - 1]:
+                active -= 1
+            at = begin[:active] + step
+            gain, state[:active] = self.step(state[:active], self.token[at])
+            total[:active] += np.where(at >= first[:active], gain, 0.0)
+        return np.bincount(text[by_length], total, len(sizes))
 
 
 SCORED = pa.schema(
@@ -518,11 +533,10 @@ def _scorer(model: Model, buckets: int):
         automaton = Automaton(grams, sums, model)
         counts = grams.at(1, grams.total[1], 0)
         base = np.log10((counts + 1) / (model.tokens + model.words + 1))
-        for doc_id, start, size in zip(block.ids, block.starts, block.sizes):
-            at = slice(start, start + size)
-            score = automaton.score(automaton.token[at].tolist())
-            known = int((counts[at] > 0).sum())
-            yield doc_id, not in_training(doc_id), size, known, model.tokens, float(base[at].sum()), score
+        scores = automaton.scores(block.starts, block.sizes).tolist()
+        bases, known = (np.add.reduceat(x, block.starts).tolist() for x in (base, (counts > 0).astype(np.int64)))
+        for doc_id, size, trained, *numbers in zip(block.ids, block.sizes.tolist(), block.trained.tolist(), known, bases, scores):
+            yield doc_id, not trained, size, numbers[0], model.tokens, *numbers[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
