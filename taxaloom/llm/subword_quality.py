@@ -11,9 +11,9 @@ the average, each feature's vector and the layer fold into one number per featur
 is all that goes to the executors; a word's sum is computed once per task.
 
 Cases: a text without words (or NULL) scores the model's bias; a NULL label is no label; several labels of one
-document count as its largest; labels without a document are ignored; with no labelled document, or only one
-class, every score is the share of label 1 (one half if there is none). A NULL doc_id keeps its row
-and scores like any text. Repeated rows each return a row; other columns are ignored; an empty table
+document count as its largest; of several texts with one id the least counts for learning; labels without a
+document are ignored; with no labelled document, or only one class, every score is the share of label 1 (one half if there
+is none). A NULL doc_id keeps its row and scores like any text. Repeated rows each return a row; other columns are ignored; an empty table
 gives no rows.
 """
 
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     sample = sample.join(F.broadcast(chosen), "doc_id")  # at most TRAIN_DOCS rows of two numbers
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+        rows = rows.sort_values(["doc_id", "text"], na_position="first").drop_duplicates("doc_id")
         texts = [(t or "").encode() for t in rows["text"]]
         weights, bias = train(texts, (rows["quality"].to_numpy() > 0).astype(np.float64))
         return pd.DataFrame({"weights": [weights.astype("<f4").tobytes()], "bias": [bias]})
