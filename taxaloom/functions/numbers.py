@@ -44,15 +44,14 @@ def whole_count(value: Column, place: Column | None = None) -> Column:
     """A count read from a sheet as text or double. Blank cells stay NULL, what is no whole number is refused."""
     place = F.lit("") if place is None else place
     text, number = F.trim(value.cast("string")), value.try_cast("double")
-    # Straight to long where it is one: a double keeps whole numbers up to 2**53 only.
-    direct = text.try_cast("long")
     whole = (number == F.floor(number)) & (F.abs(number) <= 2.0**53)
-    return (
+    other = (
         F.when(_blank(text), F.lit(None).cast("long"))
-        .when(direct.isNotNull(), direct)
         .when(whole, number.cast("long"))
         .otherwise(_refused(text, "whole number", place))
     )
+    # Straight to long where it is one: a double keeps whole numbers up to 2**53 only, and most cells end here.
+    return F.coalesce(value.cast("string").try_cast("long"), other)
 
 
 def any_count(value: Column, place: Column | None = None) -> Column:
@@ -60,8 +59,8 @@ def any_count(value: Column, place: Column | None = None) -> Column:
     place = F.lit("") if place is None else place
     text, number = F.trim(value.cast("string")), value.try_cast("double")
     return (
-        F.when(_blank(text), F.lit(None).cast("double"))
-        .when(F.abs(number) < float("inf"), number)
+        F.when(F.abs(number) < float("inf"), number)
+        .when(_blank(text), F.lit(None).cast("double"))
         .otherwise(_refused(text, "number", place))
     )
 

@@ -85,7 +85,7 @@ def _open(spark: SparkSession, path: str, fmt: str) -> _Sheet:
     first = spark.read.csv(path).first()
     if first is None:
         raise ValueError(f"no header line in {path}")
-    titles = [t or "" for t in first]
+    titles = [(t or "").removeprefix("\ufeff") for t in first]  # spreadsheets put a byte order mark in front
     schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(1, len(titles) + 1)])
     return _Sheet(titles, spark.read.schema(schema).option("header", True).csv(path))
 
