@@ -9,10 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taxaloom.functions.sizing import broadcast_if_small
+from taxaloom.functions.sizing import MAX_BROADCAST_BYTES, ROW_OVERHEAD
 
 PIECE = ["_path", "_start"]
 PIECES_PER_GROUP = 1024
+PIECE_BYTES = ROW_OVERHEAD + 16 + 3 * 8  # of a row of shifts beside its path
 
 
 def file_number(path: Column) -> Column:
@@ -63,8 +64,11 @@ def with_row_number(
     )
     # A number per 1,024 files comes to the driver, which lists the files anyway, and goes back as a table of that size.
     sums: dict[tuple, dict[int, int]] = {}
-    for row in pieces.groupBy(*per, "_group").agg(F.sum("_n").alias("n")).collect():
+    size = 0  # of the shifts, measured along with the sums
+    width = F.sum(F.octet_length("_path") + PIECE_BYTES)
+    for row in pieces.groupBy(*per, "_group").agg(F.sum("_n").alias("n"), width.alias("size")).collect():
         sums.setdefault(tuple(row[: len(per)]), {})[row["_group"]] = row["n"]
+        size += row["size"]
     bases = []
     for key, groups in sums.items():
         total = 0
@@ -80,4 +84,5 @@ def with_row_number(
     ahead = F.col("_ahead") + F.col("_base")
     shifts = inside.join(F.broadcast(base), same).select(*PIECE, "_first", ahead.alias("_shift"))
     number = F.col("_id") - F.col("_first") + F.col("_shift") + 1
-    return placed.join(broadcast_if_small(shifts), PIECE).select(*scan.columns, number.alias(name))
+    shifts = F.broadcast(shifts) if size <= MAX_BROADCAST_BYTES else shifts
+    return placed.join(shifts, PIECE).select(*scan.columns, number.alias(name))

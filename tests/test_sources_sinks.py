@@ -284,3 +284,14 @@ def test_many_groups_of_files_are_numbered_by_a_join(spark, tmp_path, monkeypatc
         assert sorted(r["n"] for r in numbered.collect()) == [*range(1, 301)]
     plan = numbered._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("CASE WHEN") < 3
+
+
+def test_shifts_beyond_the_bound_join_by_shuffle(spark, tmp_path, monkeypatch):
+    spark.range(50).repartitionByRange(4, "id").sortWithinPartitions("id").write.parquet(str(tmp_path / "in"))
+    scan = spark.read.parquet(str(tmp_path / "in"))
+    small = with_row_number(scan, "n", "parquet")
+    monkeypatch.setattr(ordinals, "MAX_BROADCAST_BYTES", 10)
+    large = with_row_number(scan, "n", "parquet")
+    assert rows(small, "id", "n") == rows(large, "id", "n") == rows(scan.selectExpr("id", "id + 1 AS n"))
+    plans = [df._jdf.queryExecution().analyzed().toString().count("strategy=broadcast") for df in (small, large)]
+    assert plans[0] == plans[1] + 1
