@@ -58,7 +58,7 @@ def unpivot_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide sheets with all their zero cells, made long again and named by position."""
     here = study(spark, sf_dir)
     positions = range(1, testtables.sample_count(spark, sf_dir) + 1)
-    wide = reshape.widen(here.cells, ["marker", "otu"], positions)
+    wide = reshape.widen(here.cells, ["marker", "otu"], positions, testtables.partitions(spark, sf_dir))
     long = reshape.melt(wide, ["marker", "otu"], [str(p) for p in positions])
     return presence.labelled(long, here.columns).select(
         "marker", "otu", "sample_pos", "sample", "reads"
@@ -175,7 +175,7 @@ def sheets_wide_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads per column of a sheet with every sample column twice, all columns from the first on."""
     n = testtables.sample_count(spark, sf_dir)
     here = testtables.cells(spark, sf_dir).filter("marker = 'ITS1'")
-    wide = reshape.widen(here, ["otu"], range(1, n + 1))
+    wide = reshape.widen(here, ["otu"], range(1, n + 1), testtables.partitions(spark, sf_dir))
     named = [F.col(str(p)).alias(f"{name} {p}") for name in ("first", "second") for p in range(1, n + 1)]
     path = shared_folder(spark, "sheets")
     wide.select(F.col("otu").alias("OTU"), F.lit("one").alias("header"), *named).write.parquet(path)

@@ -25,11 +25,15 @@ def melt_array(wide: DataFrame, ids: Sequence[str], cells: Column) -> DataFrame:
     )
 
 
-def widen(cells: DataFrame, ids: Sequence[str], positions: Sequence[int]) -> DataFrame:
+def widen(cells: DataFrame, ids: Sequence[str], positions: Sequence[int], partitions: int | None = None) -> DataFrame:
     """One row per id and one column per sample position, 0 for missing cells.
 
-    Positions are given, so the schema does not depend on the data.
+    Positions are given, so the schema does not depend on the data. With ``partitions`` all cells of an id are dealt to one of
+    so many tasks, which holds the wide rows of its own ids only. Without it every task holds wide rows of nearly all ids, and
+    adaptive execution makes few tasks, since it goes by the size of the narrow cells.
     """
+    if partitions is not None:
+        cells = cells.repartition(partitions, *ids)
     wide = cells.groupBy(*ids).pivot("sample_pos", list(positions)).agg(F.sum("reads"))
     return wide.na.fill(0, [str(p) for p in positions])
 

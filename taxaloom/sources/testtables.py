@@ -52,6 +52,11 @@ DESCRIPTION = """
          ELSE element_at(array('fungus', 'coral', 'sponge', 'anemone'), p_size % 4 + 1) END"""
 
 
+# Line items, or the cells they make, in one task of a shuffle. Adaptive execution goes by compressed bytes, of which a cell has
+# seven: its 64 MB are nine million cells, and gigabytes once they are sorted, hashed or wide.
+TASK_ROWS = 1 << 18
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
@@ -63,6 +68,13 @@ def segments(spark: SparkSession, sf_dir: str) -> tuple[str, ...]:
     return tuple(sorted(r[0] for r in found))
 
 
+@lru_cache(maxsize=8)
+def partitions(spark: SparkSession, sf_dir: str) -> int | None:
+    """Tasks that the line items need, or None where one task can take them all. Parquet's footers have the count."""
+    rows = table(spark, sf_dir, "lineitem").count()
+    return max(-(-rows // TASK_ROWS), spark.sparkContext.defaultParallelism) if rows > TASK_ROWS else None
+
+
 @lru_cache(maxsize=8)
 def sample_count(spark: SparkSession, sf_dir: str) -> int:
     """Sample columns of a sheet: one per nation key and segment."""
@@ -135,14 +147,16 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(customers, "o_custkey")
         .selectExpr("o_orderkey AS l_orderkey", "sample_pos")
     )
+    items, tasks = table(spark, sf_dir, "lineitem"), partitions(spark, sf_dir)
+    if tasks is not None:
+        items = items.repartition(tasks, "l_orderkey")
+    found = items.join(placed, "l_orderkey").select(
+        F.expr("IF(l_linestatus = 'O', 'ITS1', 'ITS2') AS marker"), F.col("l_partkey").alias("otu"), "sample_pos", "l_quantity"
+    )
+    if tasks is not None:
+        found = found.repartition(tasks, "marker", "otu", "sample_pos")
     return (
-        table(spark, sf_dir, "lineitem")
-        .join(placed, "l_orderkey")
-        .groupBy(
-            F.expr("IF(l_linestatus = 'O', 'ITS1', 'ITS2') AS marker"),
-            F.col("l_partkey").alias("otu"),
-            "sample_pos",
-        )
+        found.groupBy("marker", "otu", "sample_pos")
         .agg(F.sum("l_quantity").cast("long").alias("reads"))
         .select("marker", "otu", F.col("otu").alias("otu_pos"), "sample_pos", "reads")
     )
@@ -183,7 +197,7 @@ def write_sheets(spark: SparkSession, sf_dir: str, path: str, fmt: str = "csv",
     place is appended.
     """
     own = [r["sample"] for r in own_headers(spark, sf_dir).orderBy("sample_pos").collect()]
-    columns = sample_count(spark, sf_dir)
+    columns, tasks = sample_count(spark, sf_dir), partitions(spark, sf_dir)
     turn = cycle(blanks)
     titles = {
         "ITS1": [f"column {p}" for p in range(1, columns + 1)],
@@ -194,10 +208,10 @@ def write_sheets(spark: SparkSession, sf_dir: str, path: str, fmt: str = "csv",
     attributes = [f"attribute {i}" for i in range(4, 28)]
     for marker, names in titles.items():
         here = cells(spark, sf_dir).filter(F.col("marker") == marker)
-        wide = widen(here, ["otu"], range(1, columns + 1))
+        wide = widen(here, ["otu"], range(1, columns + 1), tasks)
+        named = wide.join(otus(spark, sf_dir).select("otu", "header"), "otu")
         rows = (
-            wide.join(otus(spark, sf_dir).select("otu", "header"), "otu")
-            .repartitionByRange("otu")
+            (named.repartitionByRange("otu") if tasks is None else named.repartitionByRange(tasks, "otu"))
             .sortWithinPartitions("otu")
             .select(
                 F.col("otu").alias("OTU"),
