@@ -25,10 +25,13 @@ rows.
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,7 @@ MIN_PLAIN = 2
 MAX_HELD_WINDOWS = 2_000_000
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 WORDS_KEPT = 500_000
+PIECE_BYTES = 512 * 1024  # of text whose windows are made at once
 
 # Units that are taken as such behind a number.
 UNITS = frozenset(
@@ -67,45 +71,73 @@ def _is_number(core: bytes) -> bool:
 
 
 class Tokens(dict):
-    """What a word is: its hash as a plain word, its kind, whether it ends a sentence, whether it has letters or digits."""
+    """Words by number. ``hashes`` and ``traits`` say what each is: its hash as a plain word; its kind, whether it ends a sentence
+    (ENDS) and whether it has letters or digits (TOLD)."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int, bool, bool]:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
+    ENDS, TOLD = 4, 8
+
+    def __init__(self):
+        super().__init__()
+        self.hashes, self.traits = array("Q"), bytearray()
+
+    def __missing__(self, word: bytes) -> int:
         core = word.strip(TRIM)
-        text = core.decode("utf-8", "replace")
-        low = text.lower()
-        if _is_number(core) or low in NUMBER_WORDS:
+        if core.isascii():
+            low = core.lower()
+            known, capital = low.decode(), core[:1].isupper() and core[1:] == low[1:]
+        else:
+            text = core.decode("utf-8", "replace")
+            known = text.lower()
+            low, capital = known.encode(), text[:1].isupper() and text[1:] == text[1:].lower()
+        if _is_number(core) or known in NUMBER_WORDS:
             kind = NUMBER
-        elif low in UNITS:
+        elif known in UNITS:
             kind = UNIT
-        elif text[:1].isupper() and text[1:] == text[1:].lower():
-            kind = CAPITAL
         else:
-            kind = PLAIN
+            kind = CAPITAL if capital else PLAIN
         ends = word.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?", b":")
-        self[word] = value = (xxhash.xxh3_64_intdigest(low.encode()), kind, ends, bool(core))
-        return value
+        self[word] = number = len(self.traits)
+        self.hashes.append(xxhash.xxh3_64_intdigest(low))
+        self.traits.append(kind | ends * self.ENDS | bool(core) * self.TOLD)
+        return number
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes and traits of the words of all texts, and where each text begins among them; those that are punctuation only are left out."""
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+            self.__init__()
+        words = [text.split() for text in texts]
+        sizes = [len(w) for w in words]
+        if not sum(sizes):
+            return np.empty(0, np.uint64), np.empty(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, sum(sizes))
+        traits = np.frombuffer(self.traits, np.uint8)[numbers]
+        told = traits & self.TOLD > 0
+        before = np.concatenate([[0], np.cumsum(told)])  # words kept before each place
+        bounds = before[np.concatenate([[0], np.cumsum(sizes)])]
+        return np.frombuffer(self.hashes, np.uint64)[numbers[told]], traits[told], bounds
 
 
 @dataclass
 class Template:
+    """The template tokens of texts, one text behind another."""
+
     hashes: np.ndarray  # template tokens
     slots: np.ndarray  # whether a token is a placeholder
     values: np.ndarray  # hashes of the words themselves
+    bounds: np.ndarray  # where each text begins, and the end
 
 
-def templates(text: bytes, tokens: Tokens) -> tuple[Template, Template]:
-    """The template tokens of a text, with capitalised words that open a sentence as words and as names."""
-    found = [t for t in map(tokens.__getitem__, text.split()) if t[3]]
-    n = len(found)
-    values = np.fromiter((t[0] for t in found), np.uint64, n)
-    kinds = np.fromiter((t[1] for t in found), np.int8, n)
-    ends = np.fromiter((t[2] for t in found), bool, n)
-    behind = np.empty(n, np.int8)
-    behind[:1], behind[1:] = PLAIN, kinds[:-1]
+def templates(texts: list[bytes], tokens: Tokens) -> tuple[Template, Template]:
+    """The template tokens of texts, with capitalised words that open a sentence as words and as names."""
+    values, traits, bounds = tokens.of(texts)
+    n = len(values)
+    kinds = traits & 3
+    opens = bounds[:-1][bounds[:-1] < bounds[1:]]
+    behind = np.empty(n, np.uint8)
+    behind[1:], behind[opens] = kinds[:-1], PLAIN
     starts = np.empty(n, bool)
-    starts[:1], starts[1:] = True, ends[:-1]
+    starts[1:], starts[opens] = traits[:-1] & Tokens.ENDS > 0, True
     others = (kinds == NUMBER) | ((kinds == UNIT) & (behind == NUMBER))
 
     def with_names(names: np.ndarray) -> Template:
@@ -115,7 +147,7 @@ def templates(text: bytes, tokens: Tokens) -> tuple[Template, Template]:
         at = np.flatnonzero(first)
         slots = (others | names)[at]
         runs = np.add.reduceat(values, at) if n else values
-        return Template(np.where(slots, SLOT_HASH[kinds[at]], runs), slots, runs)
+        return Template(np.where(slots, SLOT_HASH[kinds[at]], runs), slots, runs, np.searchsorted(at, bounds))
 
     capital = kinds == CAPITAL
     return with_names(capital & ~starts), with_names(capital)
@@ -127,7 +159,7 @@ def marked(hashes: np.ndarray, variant: int) -> np.ndarray:
 
 
 def windows(t: Template, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window, and whether it has enough plain words."""
+    """Hash of each window of one text, and whether it has enough plain words."""
     n = len(t.hashes)
     if n == 0:
         return np.empty(0, np.uint64), np.empty(0, bool)
@@ -156,6 +188,13 @@ class Index:
     items: list[Item]
     short: tuple[int, ...]  # lengths of items that are shorter than a window
 
+    @cached_property
+    def likely(self) -> np.ndarray:
+        """By the low bits of a hash, whether any window has them: a look that spares most hashes the search."""
+        likely = np.zeros(1 << max(16, (16 * len(self.hashes)).bit_length()), bool)
+        likely[self.hashes & np.uint64(len(likely) - 1)] = True
+        return likely
+
 
 def index_blocks(rows: list[tuple[int, str]], most: int = MAX_HELD_WINDOWS) -> list[Index]:
     """Items as indexes of at most about `most` windows each; an item is in one block whole."""
@@ -172,7 +211,7 @@ def index_blocks(rows: list[tuple[int, str]], most: int = MAX_HELD_WINDOWS) -> l
             blocks.append(Index(hashes[order], item, place, [i for i, _, _ in held], short))
 
     for row, (item_id, text) in enumerate(rows):
-        for variant, t in enumerate(templates(text.encode(), tokens)):
+        for variant, t in enumerate(templates([text.encode()], tokens)):
             hashes, told = windows(t)
             if variant and not told.any():
                 continue  # names alone say nothing
@@ -188,35 +227,58 @@ def index_blocks(rows: list[tuple[int, str]], most: int = MAX_HELD_WINDOWS) -> l
     return blocks
 
 
-def matches(text: bytes, index: Index, tokens: Tokens) -> list[tuple[int, int, int, float, bool]]:
-    """item_id, windows found, windows of the item, coverage, whether slots were changed; of the items a text holds."""
-    best: dict[int, tuple[int, int, int, float, bool]] = {}
-    for variant, t in enumerate(templates(text, tokens)):
-        for row, match in _matches(t, variant, index):
-            if row not in best or match[3] > best[row][3]:
-                best[row] = match
-    return sorted(best.values())
-
-
-def _matches(t: Template, variant: int, index: Index) -> list[tuple[int, tuple[int, int, int, float, bool]]]:
-    hashes, starts = windows(t)[0], None
-    if not len(hashes):
-        return []
-    lengths = [n for n in index.short if n < min(WINDOW, len(t.hashes))]
-    if lengths:
-        every = [hashes, *(windows(t, n)[0] for n in lengths)]
-        starts = np.concatenate([np.arange(len(h)) for h in every])
-        hashes = np.concatenate(every)
-    hashes = marked(hashes, variant)
-    low = np.searchsorted(index.hashes, hashes, "left")
-    hit = np.flatnonzero(index.hashes[np.minimum(low, len(index.hashes) - 1)] == hashes)
-    if not len(hit):
-        return []
-    high = np.searchsorted(index.hashes, hashes[hit], "right")
+Match = tuple[int, int, int, float, bool]  # item_id, windows found, windows of the item, coverage, whether slots were changed
+
+
+def matches(text: bytes, index: Index, tokens: Tokens) -> list[Match]:
+    """The items a text holds."""
+    return matches_of([text], index, tokens)[0]
+
+
+def matches_of(texts: list[bytes], index: Index, tokens: Tokens) -> list[list[Match]]:
+    """The items each text holds. Texts are seen in pieces of about PIECE_BYTES."""
+    out, start, size = [], 0, 0
+    for end, text in enumerate(texts, start=1):
+        size += len(text)
+        if size >= PIECE_BYTES or end == len(texts):
+            out += _piece(texts[start:end], index, tokens)
+            start, size = end, 0
+    return out
+
+
+def _piece(texts: list[bytes], index: Index, tokens: Tokens) -> list[list[Match]]:
+    best: list[dict[int, Match]] = [{} for _ in texts]
+    for variant, t in enumerate(templates(texts, tokens)):
+        for text, hits in _hits(t, variant, index):
+            for row, match in _matches(t, index, hits):
+                if row not in best[text] or match[3] > best[text][row][3]:
+                    best[text][row] = match
+    return [sorted(b.values()) for b in best]
+
+
+def _hits(t: Template, variant: int, index: Index) -> Iterator[tuple[int, Iterator[tuple[int, int, int]]]]:
+    """Texts that have windows of the index, with the place of each and its range in the index."""
+    found = []
+    for size in (WINDOW, *index.short):
+        hashes = marked(window_hashes(t.hashes, size, MULTIPLIER), variant)
+        at = np.flatnonzero(index.likely[hashes & np.uint64(len(index.likely) - 1)])
+        text = np.searchsorted(t.bounds, at, "right") - 1
+        inside = at + size <= t.bounds[text + 1]
+        at, text = at[inside], text[inside]
+        low, high = (np.searchsorted(index.hashes, hashes[at], side) for side in ("left", "right"))
+        hit = low < high
+        found.append([x[hit] for x in (text, at, low, high)])
+    text, *places = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(text, kind="stable")
+    numbers, starts = np.unique(text[order], return_index=True)
+    for number, rows in zip(numbers.tolist(), np.split(order, starts[1:])):
+        yield number, zip(*(x[rows].tolist() for x in places))
+
+
+def _matches(t: Template, index: Index, hits: Iterator[tuple[int, int, int]]) -> list[tuple[int, Match]]:
     # For each item the distinct windows found decide whether its slots are worth a look.
     seen: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-    places = hit if starts is None else starts[hit]
-    for at, a, b in zip(places.tolist(), low[hit].tolist(), high.tolist()):
+    for at, a, b in hits:
         for k in range(a, b):
             seen[int(index.item[k])][int(index.hashes[k])].append((at, int(index.place[k])))
     found = []
@@ -309,7 +371,7 @@ def _matcher(docs: DataFrame, index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
         for batch, (ids, text) in batch_rows(batches, "doc_id", "text"):
-            rows = [(i, *m) for i, x in zip(ids, text) for m in matches(x, held.value, tokens)]
+            rows = [(i, *m) for i, found in zip(ids, matches_of(text, held.value, tokens)) for m in found]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ROW)], schema=ROW)
 
@@ -341,6 +403,6 @@ def _keeper(docs: DataFrame, index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
         for batch, (text,) in batch_rows(batches, "text"):
-            yield batch.filter(pa.array([not matches(x, held.value, tokens) for x in text], pa.bool_()))
+            yield batch.filter(pa.array([not found for found in matches_of(text, held.value, tokens)], pa.bool_()))
 
     return run

@@ -665,3 +665,23 @@ def test_planted_parts_are_found_and_clean_texts_left_alone(spark):
 def test_parts_of_a_credential(text, kinds):
     found = [secret_links.KINDS[k] for _, _, k in secret_links.secret_spans(text)[1]]
     assert found == kinds.split()
+
+
+def test_decontamination_sees_many_texts_at_once(monkeypatch):
+    items = [(1, "Tom has 12 red apples and gives 5 of them to Anna today"), (2, "two red apples"), (3, "Straße nach Köln ist 5 km weit von hier")]
+    index = template_decontam.index_blocks(items)[0]
+    odd = ["", "  ", "...", "two", "two red apples", "Straße nach Bonn ist 7 km weit von hier", "nine red apples", "Tom has 12 red"]
+    texts = [x.encode() for _, x in items for x in (x, f"Before. {x}", f"{x} after")] + [x.encode() for x in odd]
+    # A window that runs over the end of a text is no window of it.
+    texts += [b"Tom has 12 red apples and", b"gives 5 of them to Anna today"] * 3
+    alone = [template_decontam.matches(x, index, template_decontam.Tokens()) for x in texts]
+    assert [m[0][0] for m in alone[:9]] == [1] * 3 + [2] * 3 + [3] * 3 and alone[9:14] == [[]] * 4 + [[(2, 1, 1, 1.0, False)]]
+    assert alone[14][0][4] and not any(alone[15:])
+    calls, made = [], template_decontam.templates
+    monkeypatch.setattr(template_decontam, "templates", lambda *a: calls.append(1) or made(*a))
+    assert template_decontam.matches_of(texts, index, template_decontam.Tokens()) == alone
+    assert len(calls) == 1
+    monkeypatch.setattr(template_decontam, "PIECE_BYTES", 60)
+    monkeypatch.setattr(template_decontam, "WORDS_KEPT", 10)
+    assert template_decontam.matches_of(texts, index, template_decontam.Tokens()) == alone
+    assert 1 < len(calls) < len(texts)
