@@ -14,8 +14,9 @@ The model grows with the corpus, so it is never in one place. Documents are writ
 tokens (common.Blocks), a row each, which every later pass reads. Per order, each
 block sends its distinct n-gram hashes, sorted and packed, with its own counts to hash buckets; a bucket adds up and
 sends each block the totals of what that block asked for, in the order asked, so hashes travel one way only. A hash
-is in a bucket once per block at most, however frequent the n-gram. A third kind of sum, by context, gives the mass of the kept
-n-grams of a context: the first block that asked for an n-gram reports it, so each counts once. Then every block
+is in a bucket once per block at most, however frequent the n-gram. A third kind of sum, by context, gives how many n-grams a
+context has: the first block that asked for an n-gram reports it, so each counts once. Their mass is the context's own count, since a
+token stands behind every occurrence. Then every block
 builds the automaton of the n-grams it holds and runs its texts through. An n-gram is only asked for if its shorter parts
 were seen in training, and if other blocks asked for both: what holds a part that stands in one block only is in that block
 only, so its own counts are the totals.
@@ -35,20 +36,20 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import count
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxaloom.llm.common import Blocks, forget_shuffles, mix, stored, texts
+from taxaloom.llm.common import Blocks, forget_shuffles, mix, stored
 
 ORDER = 3
-MIN_COUNT = 1  # every n-gram seen in training is an arc and counts for the discounts
+MIN_COUNT = 1  # every n-gram seen in training is an arc and counts for the discounts; the mass of a context rests on that
 BLOCK_BYTES = 4 * 1024 * 1024  # of text; a block's automaton holds every n-gram, as arrays
 BUCKET_BYTES = 8 * 1024 * 1024  # of text whose n-grams of one order are added up in one task
 STRETCH = 256  # tokens of a text that are traversed in one go
@@ -64,9 +65,8 @@ def in_training(doc_id: int | None) -> bool:
 
 def packed(numbers: np.ndarray) -> bytes:
     """Numbers from 0 on, most of them small: a byte each, and eight more for those from 255 on."""
-    flat = numbers.astype(np.int64).ravel()
-    large = flat[flat >= 255]
-    return np.minimum(flat, 255).astype(np.uint8).tobytes() + large.tobytes()
+    large = numbers[numbers >= 255].astype(np.int64)
+    return np.minimum(numbers, 255).astype(np.uint8).tobytes() + large.tobytes()
 
 
 def unpacked(data: bytes, n: int) -> np.ndarray:
@@ -103,13 +103,13 @@ class Sums:
         for kind, bucket, *bits in answers:
             self.by_kind[kind][bucket] = bits
 
-    def of(self, kind: str, keys: np.ndarray, width: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of(self, kind: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Totals of keys, and whether this block was the first or the only one to ask, in the order in which they were asked for."""
-        totals = np.zeros((len(keys), width), np.int64)
+        totals = np.zeros(len(keys), np.int64)
         first, alone = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
         for bucket, at in split(keys, self.buckets):
             t, f, a = self.by_kind[kind][bucket]
-            totals[at] = unpacked(t, width * len(at)).reshape(-1, width)
+            totals[at] = unpacked(t, len(at))
             first[at] = np.unpackbits(np.frombuffer(f, np.uint8), count=len(at))
             alone[at] = np.unpackbits(np.frombuffer(a, np.uint8), count=len(at))
         return totals, first, alone
@@ -130,16 +130,17 @@ def _encode(rows: pa.Table) -> pa.Table:
 
     Frequent words appear early, so most numbers are small and compress well.
     """
-    number: defaultdict = defaultdict(count().__next__)
-    look, end = number.__getitem__, number[None]
-    parts, sizes = [], []
-    for text in texts(rows["text"]):
-        words = text.lower().split()
-        parts += [np.fromiter(map(look, words), np.int32, len(words)), np.array([end], np.int32)]
-        sizes.append(len(words) + 1)
-    words = np.array([END if w is None else xxhash.xxh3_64_intdigest(w) for w in number], np.uint64)
-    tokens = np.concatenate(parts)
-    one = (rows["block"][0].as_py(), rows["doc_id"].to_pylist(), sizes, tokens.tobytes(), words.tobytes())
+    text = pc.fill_null(rows["text"].combine_chunks().cast(pa.large_string()), "")
+    words = pc.ascii_split_whitespace(pc.ascii_lower(text))
+    told = pc.greater(pc.binary_length(words.flatten()), 0)  # blanks around a text leave empty words
+    found = words.flatten().filter(told).dictionary_encode()
+    bounds = np.append(0, np.cumsum(told.to_numpy(zero_copy_only=False)))[words.offsets.to_numpy()]
+    # The end of a text has number 0, before all words.
+    tokens = np.insert(found.indices.to_numpy() + np.int32(1), bounds[1:], 0)
+    distinct = found.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+    hashes = np.append(np.uint64(END), np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct)))
+    sizes = (np.diff(bounds) + 1).tolist()
+    one = (rows["block"][0].as_py(), rows["doc_id"].to_pylist(), sizes, tokens.tobytes(), hashes.tobytes())
     return pa.table([pa.array([x], f.type) for x, f in zip(one, ENCODED)], schema=ENCODED)
 
 
@@ -162,7 +163,7 @@ class Block:
         self.sizes = np.array(sizes, np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.trained = np.array([in_training(i) for i in self.ids], bool)
-        self.weight = np.repeat(self.trained, self.sizes).astype(np.float64)
+        self.counted = np.flatnonzero(np.repeat(self.trained, self.sizes))  # positions of training texts
         found, place = np.frombuffer(words, np.uint64), np.frombuffer(tokens, np.int32).astype(np.int64)
         self.hash = found[place]
         # Per order: distinct keys as they appear, and the place of each position's n-gram there or NONE.
@@ -176,16 +177,24 @@ class Block:
         return moved
 
     def unique(self, n: int, keys: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys among the positions of where, and for each position its place there or NONE."""
+        """Distinct keys among the positions of where, and for each position its place there or NONE.
+
+        What holds an n-gram that the block has once is there once too, so it is not looked up among the others.
+        """
+        shorter, at = self.order[n - 1]
+        once = np.append(np.bincount(at + 1, minlength=len(shorter) + 1)[1:] == 1, False)[at]
+        once |= self.before(once, False)
+        again, single = np.flatnonzero(where & ~once), np.flatnonzero(where & once)
         place = np.full(len(keys), NONE, np.int64)
-        place[where], found = pd.factorize(keys[where])
+        place[again], found = pd.factorize(keys[again])
+        place[single] = np.arange(len(found), len(found) + len(single))
+        found = np.concatenate([found, keys[single]])
         self.order[n] = (found, place)
         return found, place
 
     def local_counts(self, n: int) -> np.ndarray:
         found, place = self.order[n]
-        here = place >= 0
-        return np.bincount(place[here], self.weight[here], len(found)).astype(np.int64)
+        return np.bincount(place[self.counted] + 1, minlength=len(found) + 1)[1:]
 
 
 class Grams:
@@ -202,8 +211,7 @@ class Grams:
                 self.extend(n)
             self.total[n], self.first[n], self.alone[n] = block.local_counts(n), self.own[n].copy(), self.own[n].copy()
             asked = ~self.own[n]
-            total, self.first[n][asked], self.alone[n][asked] = sums.of(f"n{n}", block.order[n][0][asked])
-            self.total[n][asked] = total[:, 0]
+            self.total[n][asked], self.first[n][asked], self.alone[n][asked] = sums.of(f"n{n}", block.order[n][0][asked])
 
     def at(self, n: int, values: np.ndarray, missing) -> np.ndarray:
         """Values of an order's distinct n-grams at each position."""
@@ -221,12 +229,12 @@ class Grams:
         self.where[n] = enough & self.follows[n]
         found, place = block.unique(n, self.key[n], self.where[n])
         alone = self.at(n - 1, self.alone[n - 1], False)
-        alone = alone | block.before(alone, False)
+        alone |= block.before(alone, False)
         self.own[n] = np.zeros(len(found), bool)
-        self.own[n][place[self.where[n]]] = alone[self.where[n]]
+        self.own[n][place[alone & self.where[n]]] = True
 
     def context_request(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct contexts of order-n positions, the place of each position's, what this block reports on them, and which are its own."""
+        """Distinct contexts of order-n positions, the place of each position's, the n-grams that this block reports of them, and which are its own."""
         block = self.block
         shorter, shorter_place = block.order[n - 1]
         found, place = block.order[n]
@@ -234,18 +242,19 @@ class Grams:
         # A context is an n-gram of the order below, or the start of text, which stands behind them all.
         behind = block.before(shorter_place, len(shorter) if n == 2 else NONE)
         every = np.append(shorter, np.uint64(START))
-        used = np.zeros(len(every), bool)
-        used[behind[follows]] = True
-        number = np.cumsum(used) - 1
-        of = np.full(len(where), NONE, np.int64)
-        of[follows] = number[behind[follows]]
-        context = np.zeros(len(found), np.int64)
-        context[place[where]] = of[where]
+        behind[~follows] = len(every)  # behind all, where nothing is used
+        used = np.zeros(len(every) + 1, bool)
+        used[behind] = True
+        used[-1] = False
+        number = np.append(np.cumsum(used[:-1]) - 1, NONE)
+        of, used = number[behind], used[:-1]
+        context = np.zeros(len(found) + 1, np.int64)
+        context[place] = of  # positions without an n-gram write behind the others
+        context = context[:-1]
         keys = every[used]
         mine = self.first[n] & (self.total[n] >= MIN_COUNT)
-        sums = np.bincount(context[mine], self.total[n][mine], len(keys)).astype(np.int64)
-        kinds = np.bincount(context[mine], minlength=len(keys)).astype(np.int64)
-        return keys, of, np.stack([sums, kinds], axis=1), np.append(self.alone[n - 1], False)[used]
+        kinds = np.bincount(context[mine], minlength=len(keys))
+        return keys, of, kinds, np.append(self.alone[n - 1], False)[used]
 
 
 REQUEST = pa.schema(
@@ -301,16 +310,14 @@ def _add_up(rows: pa.Table) -> pa.Table:
     rows = rows.sort_by("block")
     block, kind, bucket, keys, values, own = (rows[c].to_pylist() for c in REQUEST.names)
     keys = [long_keys(k) for k in keys]
-    width = 2 if kind[0].startswith("c") else 1
-    values = [unpacked(v, width * len(k)).reshape(-1, width) for k, v in zip(keys, values)]
+    values = [unpacked(v, len(k)) for k, v in zip(keys, values)]
     inverse, found = pd.factorize(np.concatenate(keys))
-    joined = np.concatenate(values)
-    total = np.stack([np.bincount(inverse, c, len(found)) for c in joined.T], axis=1).astype(np.int64)
+    total = np.bincount(inverse, np.concatenate(values), len(found)).astype(np.int64)
     # Numbers rise where a key appears first.
     mark = np.diff(np.maximum.accumulate(inverse), prepend=-1) > 0 if len(inverse) else np.zeros(0, bool)
     alone = np.bincount(inverse, minlength=len(found))[inverse] == 1
     ends = np.cumsum([len(k) for k in keys])
-    stats = np.sum([_stats(total[:, 0]), *(o for o in own if o is not None)], axis=0).tolist()
+    stats = np.sum([_stats(total), *(o for o in own if o is not None)], axis=0).tolist()
     out = []
     for i, end in enumerate(ends):
         at = slice(end - len(keys[i]), end)
@@ -338,11 +345,11 @@ def _round(n: int, buckets: int):
         if n <= ORDER:
             asked, counts = ~grams.own[n], block.local_counts(n)
             keys = block.order[n][0][asked]
-            yield from _requests(number, f"n{n}", keys, counts[asked][:, None], buckets, _stats(counts[~asked]))
+            yield from _requests(number, f"n{n}", keys, counts[asked], buckets, _stats(counts[~asked]))
         if n == 1:
             # Texts begun in training, as a count of its own.
             start = np.array([START], np.uint64)
-            yield from _requests(number, "start", start, np.array([[block.trained.sum()]]), buckets)
+            yield from _requests(number, "start", start, np.array([block.trained.sum()]), buckets)
         if n > 2:
             keys, _, values, own = grams.context_request(n - 1)
             yield from _requests(number, f"c{n - 1}", keys[~own], values[~own], buckets)
@@ -396,27 +403,27 @@ class Automaton:
         self.start, size = 0, 1
         held = []
         for n in range(2, ORDER + 1):
-            keys, of, sums_of, own = grams.context_request(n)
-            sums_of[~own] = sums.of(f"c{n}", keys[~own], 2)[0]
+            keys, of, kinds, own = grams.context_request(n)
+            kinds[~own] = sums.of(f"c{n}", keys[~own])[0]
             total = block.before(grams.at(n - 1, grams.total[n - 1], 0), model.texts if n == 2 else 0)
-            known = np.flatnonzero(sums_of[:, 1] > 0)
+            known = np.flatnonzero(kinds > 0)
             numbers = np.zeros(len(keys), np.int64)
             numbers[known] = size + np.arange(len(known))
-            here = np.zeros(len(place), np.int64)
-            here[of >= 0] = numbers[of[of >= 0]]
+            here = np.append(numbers, 0)[of]
             # A position with a known context: any such position tells the context's count and shorter context.
             inside = here > 0
             seen = np.flatnonzero(inside)
-            one = np.zeros(len(known), np.int64)
-            one[here[seen] - size] = seen
-            mass = sums_of[known]
-            spare = 1 - (mass[:, 0] - model.discount[n] * mass[:, 1]) / np.maximum(1, total[one])
+            one, state = np.zeros(len(known), np.int64), here[seen] - size
+            one[state] = seen
+            # A token stands behind each occurrence of a context, so the counts of its n-grams add up to its own.
+            mass = total[one]
+            spare = 1 - (mass - model.discount[n] * kinds[known]) / np.maximum(1, mass)
             spare = np.maximum(spare, 1e-12)
             fails.append(lower[one])
             backs.append(np.log10(spare))
             counts_here = grams.at(n, grams.total[n], 0)
             p = p.copy()
-            p[seen] *= spare[here[seen] - size]
+            p[seen] *= spare[state]
             arc = np.flatnonzero((counts_here >= MIN_COUNT) & inside)
             p[arc] += (counts_here[arc] - model.discount[n]) / total[arc]
             held.append((here, arc, p))
